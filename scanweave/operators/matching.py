@@ -6,21 +6,22 @@ array of small hit structs.  Nothing that carries file content is ever joined,
 grouped or shuffled, so the scan is a single pass over the corpus, and the same
 expression runs on a stream.
 
-Three tests stand before a regex, cheapest first: the file's suffix or name, a
-literal word the rule requires somewhere in the file, the same word in the line.
+Before a regex runs, the file must have one of the rule's suffixes or names, and the
+line must hold the words the regex requires; those are searched for all rules at
+once.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, suffix
-from ..functions.regex import java_line_pattern, java_name_pattern, required_words
-from ..functions.words import ahocorasick, rules_possible_sql, rules_possible_udf
-from ..functions.text import LINE_BREAK, drop_last_empty, fold_sql, snippet_sql, sql_string, strip, window_sql
+from ..functions.regex import SPACE, java_line_pattern, java_name_pattern
+from ..functions.text import LINE_BREAK, drop_last_empty, fold_sql, snippet_sql, sql_string, window_sql
+from ..functions.words import ahocorasick, candidate_lines_sql, candidate_lines_udf, clauses_of
 from ..rules.catalog import Rule, builtin_rules
 
 # Longer lines are not matched; findings show this much code.
@@ -49,20 +50,16 @@ def scan_lines(
     """
     rules = builtin_rules() if rules is None else rules
     keep = keep or ["repo_id", "path"]
-    patterns = tuple(r.pattern for r in rules)
+    patterns = tuple("" if r.file_check else r.pattern for r in rules)
     automaton = ahocorasick is not None if automaton is None else automaton
+    numbered = f"filter(transform(lines, (t, i) -> IF(char_length(t) <= {MAX_LINE_CHARS}, i + 1, 0)), n -> n > 0)"
 
-    folded = with_lines(files).withColumn("low", F.expr(fold_sql("content")))
+    prepared = with_lines(files).withColumns({"low": F.expr(fold_sql("content")), "short": F.expr(numbered)})
     if automaton:
-        possible = rules_possible_udf(patterns)(F.col("low"))
+        candidates = candidate_lines_udf(patterns, MAX_LINE_CHARS)(F.col("low"))
     else:
-        possible = F.expr(rules_possible_sql("low", patterns))
-    judged = (
-        folded.withColumn("possible", possible)
-        .withColumn("lows", F.split("low", LINE_BREAK, -1))
-        .withColumn("short", F.expr(f"filter(transform(lines, (t, i) -> IF(char_length(t) <= {MAX_LINE_CHARS}, i + 1, 0)), n -> n > 0)"))
-    )
-    matched = judged.withColumn("matched", F.expr(_line_numbers(rules)))
+        candidates = F.expr(candidate_lines_sql("low", "short", patterns))
+    matched = prepared.withColumn("candidates", candidates).withColumn("matched", F.expr(_line_numbers(rules)))
     hits = matched.select(*keep, F.explode(F.expr(_hit_structs(rules))).alias("hit"))
     return hits.select(*keep, "hit.rule_no", "hit.line", "hit.code", "hit.context")
 
@@ -80,8 +77,7 @@ def _applies(rule: Rule) -> str:
 def _line_numbers(rules: tuple[Rule, ...]) -> str:
     """``array<struct<rule_no, ns>>``: per rule with hits, the numbers of its lines."""
     per_rule = [
-        f"struct({no} AS rule_no, CASE WHEN ({_applies(rule)}) AND array_contains(possible, {no}) "
-        f"THEN {_matching_lines(rule)} END AS ns)"
+        f"struct({no} AS rule_no, CASE WHEN {_applies(rule)} THEN {_matching_lines(no, rule)} END AS ns)"
         for no, rule in enumerate(rules)
         if not rule.file_check
     ]
@@ -90,10 +86,9 @@ def _line_numbers(rules: tuple[Rule, ...]) -> str:
     return f"filter(array({', '.join(per_rule)}), r -> size(r.ns) > 0)"
 
 
-def _matching_lines(rule: Rule) -> str:
-    tests = [" OR ".join(f"contains(element_at(lows, n), {sql_string(w)})" for w in c) for c in required_words(rule.pattern)]
-    tests.append(f"element_at(lines, n) RLIKE {sql_string(java_line_pattern(rule.pattern))}")
-    numbers = f"filter(short, n -> {' AND '.join(f'({t})' for t in tests)})"
+def _matching_lines(no: int, rule: Rule) -> str:
+    tried = f"get(candidates, {no})" if clauses_of(rule.pattern) else "short"
+    numbers = f"filter({tried}, n -> element_at(lines, n) RLIKE {sql_string(java_line_pattern(rule.pattern))})"
     if rule.negative_pattern:
         near = f"array_join({window_sql('lines', 'n', 4, 5)}, '\\n')"
         cancel = f"{near} RLIKE {sql_string(java_line_pattern(rule.negative_pattern))}"
@@ -117,6 +112,4 @@ def _hit_structs(rules: tuple[Rule, ...]) -> str:
 
 
 def _strip_sql(expr: str) -> str:
-    from ..functions.regex import SPACE
-
     return f"regexp_replace({expr}, {sql_string(rf'\A[{SPACE}]+|[{SPACE}]+\z')}, '')"

@@ -8,12 +8,11 @@ sends one small row per task.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, parent, suffix
+from ..functions.text import sql_string
 from ..rules.catalog import CORE_DOMAINS, DOMAINS, OPTIONAL_DOMAINS
 from .file_filters import project_files
 
@@ -86,101 +85,92 @@ MANIFESTS = ["requirements.txt", "pyproject.toml", "package.json"]
 TEST_ENDS = ["_test.py", ".test.js", ".spec.js", ".test.ts", ".spec.ts"]
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+# The tests are SQL text rather than Column objects: there are some two hundred of
+# them, and building each through the Python bridge takes longer than the query.
+
 
+def _list(values: list[str]) -> str:
+    return ", ".join(map(sql_string, values))
 
-def _starts(column: Column, values: list[str]) -> Column:
-    return _any([column.startswith(v) for v in values])
 
+def _starts(column: str, values: list[str]) -> str:
+    return "(" + " OR ".join(f"startswith({column}, {sql_string(v)})" for v in values) + ")"
 
-def _contains(column: Column, values: list[str]) -> Column:
-    return _any([F.contains(column, F.lit(v)) for v in values])
+
+def _contains(column: str, values: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, {sql_string(v)})" for v in values) + ")"
 
 
 def path_columns(files: DataFrame) -> DataFrame:
     name = file_name(F.col("path"))
-    return files.select(
-        "repo_id", "path", name.alias("name"), suffix(name).alias("ext"), F.lower("path").alias("lpath"),
-    ).withColumns({"lname": F.lower("name"), "ldir": F.concat(F.lit("/"), parent(F.col("lpath")))})
+    named = files.select("repo_id", "path", name.alias("name"), suffix(name).alias("ext"), F.lower("path").alias("lpath"))
+    return named.withColumns({"lname": F.lower("name"), "ldir": F.concat(F.lit("/"), parent(F.col("lpath")))})
 
 
-def is_test_file() -> Column:
-    path, name = F.col("lpath"), F.col("lname")
-    return (
-        _starts(path, ["tests/", "test/"])
-        | F.contains(path, F.lit("/tests/"))
-        | name.startswith("test_")
-        | _any([name.endswith(e) for e in TEST_ENDS])
-    )
+def test_file_sql() -> str:
+    """Is the file a test, judged by the path columns?"""
+    ends = " OR ".join(f"endswith(lname, {sql_string(e)})" for e in TEST_ENDS)
+    return f"({_starts('lpath', ['tests/', 'test/'])} OR contains(lpath, '/tests/') OR startswith(lname, 'test_') OR {ends})"
 
 
-def architecture_tests() -> dict[str, Column]:
-    """One boolean per architecture type, over the path columns of a file."""
+def architecture_sql() -> dict[str, str]:
+    """One test per architecture type, over the path columns of a file."""
 
-    def signal(text: str) -> Column:
+    def signal(text: str) -> str:
         low = text.lower()
         if low.startswith(".") and "/" not in low:
-            return (F.col("name") == text) | (F.col("lname") == low) | (F.col("ext") == low)
-        return F.contains("lpath", F.lit(low))
+            return f"name = {sql_string(text)} OR lname = {sql_string(low)} OR ext = {sql_string(low)}"
+        return f"contains(lpath, {sql_string(low)})"
 
-    tests = {arch: _any([signal(s) for s in signals]) for arch, signals in ARCHITECTURES.items()}
-    tests["wearable"] = tests["wearable"] | _contains(F.col("lpath"), WEARABLE_WORDS)
+    tests = {arch: " OR ".join(map(signal, signals)) for arch, signals in ARCHITECTURES.items()}
+    tests["wearable"] += " OR " + _contains("lpath", WEARABLE_WORDS)
     return tests
 
 
-def _bit_of(names: dict[str, int], column: str) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(F.element_at(table, F.col(column)), F.lit(0).cast("bigint"))
+def _bits(tests: list[str]) -> str:
+    return " | ".join(f"IF({t}, {1 << i}L, 0L)" for i, t in enumerate(tests))
 
 
-def _from_bits(mask: Column, names: list[str]) -> Column:
-    """The names whose bit is set, in order."""
-    picked = [F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]
-    return F.filter(F.array(*picked), lambda x: x.isNotNull())
+def _bit_of(names: list[str], column: str) -> str:
+    table = ", ".join(f"{sql_string(n)}, {1 << i}L" for i, n in enumerate(names))
+    return f"coalesce(element_at(map({table}), {column}), 0L)"
 
 
-def _from_halves(low: Column, high: Column, names: list[str]) -> Column:
-    return F.concat(_from_bits(low, names[:32]), _from_bits(high, names[32:]))
+def _from_bits(mask: str, names: list[str]) -> str:
+    """The names whose bit is set, in order."""
+    return f"filter(array({_list(names)}), (x, i) -> ({mask} & shiftleft(1L, i)) <> 0)"
 
 
 def repo_signals(files: DataFrame) -> DataFrame:
     """One row per repository: file count, frameworks, architecture types and flags."""
-    paths = path_columns(files)
-    names = list(FRAMEWORKS)
-    halves = [{n: 1 << i for i, n in enumerate(part)} for part in (names[:32], names[32:])]
-    fw = [_bit_of(h, "name").bitwiseOR(_bit_of(h, "lname")) for h in halves]
-    dirs = sum((F.when(_contains(F.col("ldir"), w), 1 << i).otherwise(0) for i, w in enumerate(DIRECTORY_FRAMEWORKS.values())), F.lit(0))
-    arch = sum((F.when(t, 1 << i).otherwise(0) for i, t in enumerate(architecture_tests().values())), F.lit(0))
-    counted = paths.groupBy("repo_id").agg(
+    names, labels = list(FRAMEWORKS), list(FRAMEWORKS.values())
+    low, high = names[:32], names[32:]
+    web = f"lname IN ({_list(WEB_NAMES)}) OR {_starts('lpath', WEB_STARTS)}"
+    pipeline = f"lname IN ({_list(PIPELINE_NAMES)}) OR {_starts('lpath', PIPELINE_STARTS)} OR {_contains('lpath', PIPELINE_PARTS)}"
+    counted = path_columns(files).groupBy("repo_id").agg(
         F.count("*").alias("total_files"),
-        F.bit_or(fw[0]).alias("fw_low"),
-        F.bit_or(fw[1]).alias("fw_high"),
-        F.bit_or(dirs).alias("dir_bits"),
-        F.bit_or(arch).alias("arch_bits"),
-        F.bool_or(F.col("lname").isin(WEB_NAMES) | _starts(F.col("lpath"), WEB_STARTS)).alias("web_files"),
-        F.bool_or(
-            F.col("lname").isin(PIPELINE_NAMES)
-            | _starts(F.col("lpath"), PIPELINE_STARTS)
-            | _contains(F.col("lpath"), PIPELINE_PARTS)
-        ).alias("pipeline_files"),
-        F.bool_or(F.col("lname").isin(AI_NAMES)).alias("ai_files"),
-        F.bool_or(is_test_file()).alias("has_tests"),
+        F.expr(f"bit_or({_bit_of(low, 'name')} | {_bit_of(low, 'lname')})").alias("fw_low"),
+        F.expr(f"bit_or({_bit_of(high, 'name')} | {_bit_of(high, 'lname')})").alias("fw_high"),
+        F.expr(f"bit_or({_bits([_contains('ldir', w) for w in DIRECTORY_FRAMEWORKS.values()])})").alias("dir_bits"),
+        F.expr(f"bit_or({_bits(list(architecture_sql().values()))})").alias("arch_bits"),
+        F.expr(f"bool_or({web})").alias("web_files"),
+        F.expr(f"bool_or({pipeline})").alias("pipeline_files"),
+        F.expr(f"bool_or(lname IN ({_list(AI_NAMES)}))").alias("ai_files"),
+        F.expr(f"bool_or({test_file_sql()})").alias("has_tests"),
     )
-    by_name = _from_halves(F.col("fw_low"), F.col("fw_high"), list(FRAMEWORKS.values()))
-    by_directory = _from_bits(F.col("dir_bits"), list(DIRECTORY_FRAMEWORKS))
-    types = _from_bits(F.col("arch_bits"), list(ARCHITECTURES))
+    by_name = f"{_from_bits('fw_low', labels[:32])}, {_from_bits('fw_high', labels[32:])}"
+    types = _from_bits("arch_bits", list(ARCHITECTURES))
     return counted.select(
         "repo_id", "total_files", "has_tests",
-        F.array_distinct(F.concat(by_name, by_directory)).alias("frameworks"),
-        F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("cli"))).alias("arch_types"),
+        F.expr(f"array_distinct(concat({by_name}, {_from_bits('dir_bits', list(DIRECTORY_FRAMEWORKS))}))").alias("frameworks"),
+        F.expr(f"IF(arch_bits <> 0, {types}, array('cli'))").alias("arch_types"),
         "web_files", "pipeline_files", "ai_files",
     )
 
 
 def language_counts(files: DataFrame) -> DataFrame:
     """``(repo_id, lang, n, first_path)``."""
-    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    table = F.expr(f"map({_list([x for pair in LANGUAGES.items() for x in pair])})")
     named = files.select("repo_id", "path", F.element_at(table, suffix(file_name(F.col("path")))).alias("lang"))
     return (
         named.where("lang IS NOT NULL")
@@ -202,28 +192,26 @@ def repo_languages(counts: DataFrame) -> DataFrame:
 
 def manifest_packages(files: DataFrame) -> DataFrame:
     """``(repo_id, ai_packages)``: does a root manifest name an AI package?"""
-    text = F.lower("content")
     return (
         files.where(F.col("path").isin(MANIFESTS))
         .groupBy("repo_id")
-        .agg(F.bool_or(_contains(text, AI_PACKAGES)).alias("ai_packages"))
+        .agg(F.expr(f"bool_or({_contains('lower(content)', AI_PACKAGES)})").alias("ai_packages"))
     )
 
 
 def detected_domains(signals: DataFrame) -> DataFrame:
     """Add ``security_domains``: the core domains and the optional ones switched on."""
-    arch = F.col("arch_types")
+    overlap = "arrays_overlap({0}, array({1}))".format
     has = {
-        "web": F.array_contains(arch, "web")
-        | F.arrays_overlap(F.transform("frameworks", F.lower), F.array(*map(F.lit, WEB_FRAMEWORKS)))
-        | F.col("web_files"),
-        "mobile": F.arrays_overlap(arch, F.array(*map(F.lit, MOBILE_ARCHITECTURES))),
-        "embedded": F.array_contains(arch, "embedded"),
-        "pipeline": F.array_contains(arch, "devops") | F.col("pipeline_files"),
-        "ai_ml": F.array_contains(arch, "ai_ml") | F.col("ai_files") | F.col("ai_packages"),
+        "web": f"array_contains(arch_types, 'web') OR web_files OR {overlap('transform(frameworks, x -> lower(x))', _list(WEB_FRAMEWORKS))}",
+        "mobile": overlap("arch_types", _list(MOBILE_ARCHITECTURES)),
+        "embedded": "array_contains(arch_types, 'embedded')",
+        "pipeline": "array_contains(arch_types, 'devops') OR pipeline_files",
+        "ai_ml": "array_contains(arch_types, 'ai_ml') OR ai_files OR ai_packages",
     }
-    picked = [F.lit(d) for d in CORE_DOMAINS] + [F.when(has[d], F.lit(d)) for d in OPTIONAL_DOMAINS]
-    return signals.withColumn("security_domains", F.filter(F.array(*picked), lambda x: x.isNotNull()))
+    optional = ", ".join(f"IF({has[d]}, {sql_string(d)}, NULL)" for d in OPTIONAL_DOMAINS)
+    picked = f"filter(array({_list(CORE_DOMAINS)}, {optional}), x -> x IS NOT NULL)"
+    return signals.withColumn("security_domains", F.expr(picked))
 
 
 def apply_domain_config(profile: DataFrame, configs: DataFrame | None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK
 from ..rules.examples import EXAMPLES
-from ..session import configure, spread
+from ..session import configure, materialize, spread
 
 DIRECTORIES = [
     "src", "src/pages", "lib", "app", "vendor", "tests", "build/out", "generated", "docs", ".github/workflows",
@@ -61,20 +61,24 @@ def _pick(values: list[str], by: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), by.cast("int"))
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    rows = spark.createDataFrame(plants(), "no INT, rule_id STRING, tail STRING, planted STRING")
+def plant(docs: DataFrame) -> DataFrame:
+    """Place each row of ``documents``, batch or stream, in a repository."""
+    rows = docs.sparkSession.createDataFrame(plants(), "no INT, rule_id STRING, tail STRING, planted STRING")
     repo = F.concat("source", F.lit("-"), F.expr("(doc_id div 20) % 6").cast("string"))
     path = F.concat(_pick(DIRECTORIES, F.col("doc_id") % len(DIRECTORIES)), F.lit("/"), F.col("doc_id").cast("string"), "tail")
     # The planted rows are a fixed list, one per rule.
     return docs.join(F.broadcast(rows), F.col("doc_id") % len(EXAMPLES) == F.col("no")).select(
-        repo.alias("repo_id"), "doc_id", "rule_id", path.alias("path"), "text", "planted"
+        repo.alias("repo_id"), "doc_id", "rule_id", path.alias("path"), "text",
+        F.concat("text", F.lit("\n"), "planted").alias("content"),
     )
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plant(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.concat("text", F.lit("\n"), "planted")
-    return _documents(spark, sf_dir).select("repo_id", "path", content.alias("content"))
+    return _documents(spark, sf_dir).select("repo_id", "path", "content")
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +120,10 @@ def root_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus as a files table."""
+    """The whole corpus as a stored files table, as a scan would find it."""
     texts = document_files(spark, sf_dir).unionByName(page_files(spark, sf_dir))
     everything = texts.unionByName(root_files(spark, sf_dir))
-    return everything.withColumn("size", F.octet_length("content").cast("bigint"))
+    return materialize(everything.withColumn("size", F.octet_length("content").cast("bigint")))
 
 
 def audits(spark: SparkSession, sf_dir: str) -> DataFrame:

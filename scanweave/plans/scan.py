@@ -12,6 +12,7 @@ from ..operators.matching import scan_lines
 from ..operators.profile import profile as build_profile
 from ..operators.suppression import active_findings, at_least, drop_accepted, drop_ignored, first_of_each
 from ..rules.catalog import CORE_DOMAINS, Rule, builtin_rules, rules_frame
+from ..session import materialize
 from ..sources.audits import audit_findings, selected_audits
 
 
@@ -31,14 +32,15 @@ def scan(
 ) -> Scan:
     """Profile every repository and match the rules of its active domains.
 
-    The content is read once, by the matching, which is a narrow pass.  Domains,
-    ignore lists and deduplication are applied to the hits: they are small, and the
-    corpus itself is never shuffled.
+    The content is read once, by the matching, which is a narrow pass, and the hits are
+    written to the shared folder: nothing after that repeats the pass, whatever fails.
+    Domains, ignore lists and deduplication are applied to the hits: they are small,
+    and the corpus itself is never shuffled.
     """
     rules = builtin_rules() if rules is None else rules
     about = build_profile(files, configs, cap)
     scanned = project_files(files, cap).where(scannable(F.col("path"), F.col("size"), parity))
-    hits = scan_lines(scanned, rules)
+    hits = materialize(scan_lines(scanned, rules))
     # A repository left without any domain is scanned with the core ones.
     domains = F.when(F.size("security_domains") > 0, F.col("security_domains")).otherwise(F.array(*map(F.lit, CORE_DOMAINS)))
     facts = about.withColumn("security_domains", domains)
