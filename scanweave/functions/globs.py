@@ -23,15 +23,31 @@ def glob_regex(glob: Column, and_below: bool = False) -> Column:
     """
     pieces = F.regexp_extract_all(glob, F.lit(r"(?s)\[!?\]?[^\]]*\]|\*+|\?|\[|[^*?\[]+"), F.lit(0))
 
-    def translate(piece: Column) -> Column:
+    def escape(text: Column) -> Column:
+        return F.regexp_replace(text, r"([\\\[\]&^~|-])", r"\\$1")
+
+    def member(token: Column) -> Column:
+        low, high = F.substring(token, 1, 1), F.substring(token, 3, 1)
+        span = F.when(low <= high, F.concat(escape(low), F.lit("-"), escape(high))).otherwise(F.lit(""))
+        return F.when(F.char_length(token) == 3, span).otherwise(escape(token))
+
+    def bracket(piece: Column) -> Column:
         body = F.regexp_replace(F.substring(piece, 2, 1 << 30), r"\]\z", "")
-        body = F.regexp_replace(body, r"([\\\[\]&^~|])", r"\\$1")
-        as_set = F.concat(F.lit("["), F.regexp_replace(body, r"\A!", "^"), F.lit("]"))
+        negated = body.startswith("!")
+        members = F.regexp_extract_all(F.regexp_replace(body, r"\A!", ""), F.lit("(?s).-.|."), F.lit(0))
+        inside = F.array_join(F.transform(members, member), "")
+        return (
+            F.when((inside == "") & negated, F.lit("."))
+            .when(inside == "", F.lit("(?!)"))
+            .otherwise(F.concat(F.when(negated, F.lit("[^")).otherwise(F.lit("[")), inside, F.lit("]")))
+        )
+
+    def translate(piece: Column) -> Column:
         return (
             F.when(piece.startswith("*"), F.lit(".*"))
             .when(piece == "?", F.lit("."))
             .when(piece == "[", F.lit(r"\["))
-            .when(piece.startswith("["), as_set)
+            .when(piece.startswith("["), bracket(piece))
             .otherwise(F.regexp_replace(piece, r"([^\p{L}\p{N}_/])", r"\\$1"))
         )
 

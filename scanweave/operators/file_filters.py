@@ -57,7 +57,7 @@ def scannable(path: Column, size: Column, parity: bool = False) -> Column:
 
 
 def ignored_paths(paths: DataFrame, ignores: DataFrame) -> DataFrame:
-    """The distinct ``(repo_id, path)`` that an ignore glob of their repository covers.
+    """The ``(repo_id, path)`` that an ignore glob of their repository covers, some twice.
 
     A glob ending in ``/`` covers a directory; any other glob covers the path itself
     and everything under it.  Globs without wildcards are found by equality with the
@@ -65,21 +65,21 @@ def ignored_paths(paths: DataFrame, ignores: DataFrame) -> DataFrame:
     pairwise test.  Only wildcard globs are tried one by one, in an anti-join-shaped
     semi join that stops at the first match and never emits pairs.
     """
-    globs = ignores.select("repo_id", normalise(F.col("glob")).alias("glob")).where("glob != ''").distinct()
+    globs = ignores.select("repo_id", normalise(F.col("glob")).alias("glob")).where("glob != ''")
     as_directory = F.col("glob").endswith("/")
     plain = globs.where(as_directory | ~has_wildcard(F.col("glob")))
     plain = plain.select(
         "repo_id",
         F.explode(F.when(as_directory, F.array("glob")).otherwise(F.array("glob", F.concat("glob", F.lit("/"))))).alias("start"),
-    ).distinct()
+    )
     wild = globs.where(~as_directory & has_wildcard(F.col("glob")))
     wild = wild.select(
         F.col("repo_id").alias("w_repo"),
         glob_regex(F.col("glob"), and_below=True).alias("regex"),
     )
-    paths = paths.select("repo_id", "path").distinct()
+    paths = paths.select("repo_id", "path")
     starts = paths.select("*", F.explode(F.array_append(prefixes(F.col("path")), F.col("path"))).alias("start"))
     by_start = starts.join(plain, ["repo_id", "start"], "left_semi").select("repo_id", "path")
     matches = (paths["repo_id"] == wild["w_repo"]) & F.rlike(paths["path"], wild["regex"])
     by_glob = paths.join(wild, matches, "left_semi")
-    return by_start.union(by_glob).distinct()
+    return by_start.union(by_glob)

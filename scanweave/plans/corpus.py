@@ -40,6 +40,10 @@ YAML_TEXT = (
 )
 
 
+# Files tables already written by this process: (application, input folder) -> table.
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def example_block(no: int, rule_id: str) -> str:
     """A hit, far from it a near miss, and for rules with a cancelling pattern a hit
     with the cancelling line one to seven lines below."""
@@ -120,7 +124,14 @@ def root_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus as a stored files table, as a scan would find it."""
+    """The whole corpus as a stored files table, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = build_files(spark, sf_dir)
+    return _STORED[key]
+
+
+def build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = document_files(spark, sf_dir).unionByName(page_files(spark, sf_dir))
     everything = texts.unionByName(root_files(spark, sf_dir))
     return materialize(everything.withColumn("size", F.octet_length("content").cast("bigint")))
@@ -129,9 +140,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit tool outputs made from order lines: one output per line, one package in it,
     the tool and the shape of the output chosen by the line's columns."""
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"
-    )
+    columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus"]
+    line = spread(table(spark, sf_dir, "lineitem").select(*columns))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
     c, text = F.col, lambda x: F.col(x).cast("string")

@@ -27,7 +27,7 @@ CLOCK = "2024-01-02 03:04:05"
 
 
 def _settings(files: DataFrame):
-    configs = st.configs_from_files(files)
+    configs = materialize(st.configs_from_files(files))
     return configs, st.ignores_from_files(files, configs), st.baseline_from_files(files, configs)
 
 
@@ -117,7 +117,7 @@ def baseline_keys(spark, sf):
 
 def ignored_files(spark, sf):
     files = co.files(spark, sf)
-    return ff.ignored_paths(ff.project_files(files), st.ignores_from_files(files, st.configs_from_files(files)))
+    return ff.ignored_paths(ff.project_files(files), st.ignores_from_files(files, st.configs_from_files(files))).distinct()
 
 
 # --- profile ----------------------------------------------------------------

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.regex import java_line_pattern, java_name_pattern
@@ -113,8 +114,8 @@ def _bad_pattern(spark: SparkSession, rule: Rule | None) -> str | None:
             spark._jvm.java.util.regex.Pattern.compile(jvm)
         except re.error as error:
             return f"bad pattern: {error}"
-        except Py4JJavaError as error:
-            return f"pattern not portable: {error.java_exception.getDescription()}"
+        except (Py4JJavaError, PySparkException) as error:
+            return f"pattern not portable: {str(error).splitlines()[0]}"
     return None
 
 

@@ -2,34 +2,101 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import decode_utf8, sql_string
-from ..operators.file_filters import MAX_FILE_BYTES
+from ..functions.text import decode_utf8
+from ..operators.file_filters import MAX_FILE_BYTES, WALK_SKIP
+
+_LISTED = "repo_id STRING, path STRING, is_dir BOOLEAN, size BIGINT"
 
 
-def read_directory(spark: SparkSession, root: str, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
-    """Repositories kept as sub-directories of ``root``.
+def read_directory(
+    spark: SparkSession, root: str, max_bytes: int | None = MAX_FILE_BYTES, prune: bool = True, tasks: int | None = None
+) -> DataFrame:
+    """Repositories kept as sub-directories of ``root``, on any file system.
 
-    The size limit is pushed into the file source, so larger files are listed but
-    never opened.  Pass ``None`` to get all files, as a profile needs; it prunes the
-    content column instead.
+    Spark's own file sources leave out names that start with a dot, which here are
+    some of the most telling files, so directories are listed in tasks: repositories
+    first, then their top-level entries, then everything below, dealt out anew each
+    time so that a huge repository is walked by many tasks.  Skipped directories are
+    not entered.  Content is read last, after the listing has been spread; larger
+    files than ``max_bytes`` are listed with null content.
     """
-    root = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    if max_bytes is not None:
-        found = found.where(F.col("length") <= max_bytes)
-    # Listed paths are full URIs; what follows the root's own path is relative to it.
-    start = "/" + root.split("://", 1)[-1].split("/", 1)[-1] + "/"
-    relative = F.expr(f"substring(path, locate({sql_string(start)}, path) + {len(start)})")
-    located = found.withColumn("relative", relative).withColumn("repo_id", F.substring_index("relative", "/", 1))
-    return located.select(
-        "repo_id",
-        F.expr("substring(relative, char_length(repo_id) + 2)").alias("path"),
-        decode_utf8(F.col("content")).alias("content"),
-        F.col("length").alias("size"),
-    )
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    skip = set(WALK_SKIP) if prune else set()
+    start = spark.createDataFrame([("", "", True, 0)], _LISTED)
+    repos = start.mapInPandas(_lister(root, skip, deep=False, name_repo=True), _LISTED).where("is_dir")
+    entries = repos.repartition(tasks, "repo_id").mapInPandas(_lister(root, skip, deep=False), _LISTED)
+    found = entries.repartition(tasks, "repo_id", "path").mapInPandas(_lister(root, skip, deep=True), _LISTED)
+    spread = found.where("NOT is_dir").select("repo_id", "path", "size").repartition(tasks, "repo_id", "path")
+    read = spread.mapInPandas(_reader(root, max_bytes), "repo_id STRING, path STRING, size BIGINT, raw BINARY")
+    return read.select("repo_id", "path", decode_utf8(F.col("raw")).alias("content"), "size")
+
+
+def _lister(root: str, skip: set[str], deep: bool, name_repo: bool = False):
+    """List directories one level (or, with ``deep``, all levels) down; pass files on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+
+        def children(repo, path):
+            where = "/".join(p for p in (base.rstrip("/"), repo, path) if p)
+            for entry in system.get_file_info(fs.FileSelector(where)):
+                name, is_dir = entry.base_name, entry.type == fs.FileType.Directory
+                hidden = name.startswith(".") and name not in (".github", ".gitlab")
+                if is_dir and repo and skip and (name in skip or hidden):
+                    continue
+                if name_repo:
+                    yield name, "", is_dir, 0
+                else:
+                    yield repo, f"{path}/{name}" if path else name, is_dir, entry.size or 0
+
+        columns = ["repo_id", "path", "is_dir", "size"]
+        for batch in batches:
+            out = []
+            todo = list(batch[columns].itertuples(index=False, name=None))
+            while todo:
+                repo, path, is_dir, size = todo.pop()
+                if not is_dir:
+                    out.append((repo, path, False, size))
+                elif deep:
+                    todo.extend(children(repo, path))
+                else:
+                    out.extend(children(repo, path))
+                if len(out) >= 10_000:
+                    yield pandas.DataFrame(out, columns=columns)
+                    out = []
+            yield pandas.DataFrame(out, columns=columns)
+
+    return run
+
+
+def _reader(root: str, max_bytes: int | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+
+        def content(repo, path, size):
+            if max_bytes is not None and size > max_bytes:
+                return None
+            with system.open_input_stream("/".join((base.rstrip("/"), repo, path))) as stream:
+                return stream.read()
+
+        for batch in batches:
+            for at in range(0, len(batch), 64):  # few files in memory at a time
+                part = batch.iloc[at : at + 64]
+                rows = zip(part["repo_id"], part["path"], part["size"])
+                yield part.assign(raw=[content(*row) for row in rows])[["repo_id", "path", "size", "raw"]]
+
+    return run
 
 
 def from_table(table: DataFrame) -> DataFrame:
