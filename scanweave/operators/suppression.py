@@ -22,7 +22,7 @@ def join_repo_facts(rows: DataFrame, facts: DataFrame, spread_by: list[str], how
     return dealt.join(salted, ["repo_id", "_salt"], how).drop("_salt")
 
 
-def active_findings(hits: DataFrame, rules: DataFrame, facts: DataFrame) -> DataFrame:
+def active_findings(hits: DataFrame, rules: DataFrame, facts: DataFrame, *extra: str) -> DataFrame:
     """Hits of rules whose domain is active in the repository, as findings.
 
     ``facts`` has ``repo_id, security_domains, has_tests``.  The rules are a fixed
@@ -31,7 +31,7 @@ def active_findings(hits: DataFrame, rules: DataFrame, facts: DataFrame) -> Data
     known = join_repo_facts(hits, facts.select("repo_id", "security_domains", "has_tests"), ["path", "line"])
     described = known.join(F.broadcast(rules), known["rule_no"] == rules["rule_order"])
     untested = ~((F.col("rule_id") == MISSING_TESTS) & F.col("has_tests"))
-    return as_findings(described.where(F.expr("array_contains(security_domains, domain)") & untested))
+    return as_findings(described.where(F.expr("array_contains(security_domains, domain)") & untested), *extra)
 
 
 def as_findings(described: DataFrame, *extra: str) -> DataFrame:

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.severity import severity_rank
-from ..functions.text import strip
-from ..functions.words import MIN_WORD  # noqa: F401  (documented limit of the word test)
 from ..operators import file_filters as ff
 from ..operators import profile as pr
 from ..operators import suppression as sp
 from ..operators.matching import scan_lines, with_lines
 from ..rules.catalog import builtin_rules, merge_rules, rules_frame
 from ..schemas import FINDING
-from ..session import configure, materialize
+from ..session import materialize
 from ..sources import audits as au
 from ..sources import settings as st
 from ..streaming import continuous as cs
@@ -86,8 +85,9 @@ def rule_applicability(spark, sf):
     """How many files each rule applies to: files meet rules by suffix or by name."""
     files = with_lines(_scanned(spark, sf)).groupBy("name", "ext").agg(F.count("*").alias("n"))
     rules = rules_frame(spark).select("rule_id", "langs")
-    named = rules.select("rule_id", F.explode_outer("langs").alias("lang"))
-    everywhere = named.where("lang IS NULL").crossJoin(files.agg(F.sum("n").alias("n"))).select("rule_id", "n")
+    named = rules.select("rule_id", F.explode("langs").alias("lang"))
+    unbound = F.array(*[F.lit(r.rule_id) for r in builtin_rules() if r.langs is None])
+    everywhere = files.agg(F.sum("n").alias("n")).select(F.explode(unbound).alias("rule_id"), "n")
     key = F.when(F.col("lang").startswith("."), F.lit("ext")).otherwise(F.lit("name"))
     by_ext = named.where(key == "ext").join(files.groupBy("ext").agg(F.sum("n").alias("n")), F.col("lang") == F.col("ext"))
     by_name = named.where(key == "name").join(files.groupBy("name").agg(F.sum("n").alias("n")), F.col("lang") == F.col("name"))
@@ -167,8 +167,6 @@ def line_hits(spark, sf):
 
 def negative_context(spark, sf):
     """Hits of rules with a cancelling pattern: how many stand and how many fell."""
-    from dataclasses import replace
-
     rules = tuple(r for r in builtin_rules() if r.negative_pattern)
     files = _scanned(spark, sf)
     alone = tuple(replace(r, negative_pattern=None) for r in rules)
@@ -405,7 +403,7 @@ def stream_dedup(spark, sf):
 def stream_hourly(spark, sf):
     found = cs.scan_stream(cs.corpus_versions(spark, sf, copies=1, sentinel=True))
     per_hour = cs.run_once(cs.per_window(found, "1 hour", delay="1 day"))
-    return per_hour.select("window_start", "severity", "n")
+    return per_hour.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "severity", "n")
 
 
 def stream_gate(spark, sf):

@@ -12,7 +12,7 @@ from ..operators.matching import scan_lines
 from ..operators.profile import profile as build_profile
 from ..operators.suppression import active_findings, at_least, drop_accepted, drop_ignored, first_of_each
 from ..rules.catalog import CORE_DOMAINS, Rule, builtin_rules, rules_frame
-from ..session import materialize
+from ..session import configure, materialize
 from ..sources.audits import audit_findings, selected_audits
 
 
@@ -37,6 +37,7 @@ def scan(
     Domains, ignore lists and deduplication are applied to the hits: they are small,
     and the corpus itself is never shuffled.
     """
+    configure(files.sparkSession)
     rules = builtin_rules() if rules is None else rules
     about = build_profile(files, configs, cap)
     scanned = project_files(files, cap).where(scannable(F.col("path"), F.col("size"), parity))

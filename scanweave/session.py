@@ -19,6 +19,7 @@ def configure(spark: SparkSession) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         # Whole files go through Arrow batches: keep a batch well below executor memory.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     }.items():
         spark.conf.set(key, value)
     return spark

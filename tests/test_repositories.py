@@ -183,3 +183,12 @@ def test_repeated_file_gives_a_finding_once(make_files):
     path, hit = "a" + EXAMPLES["A02-006"][0], EXAMPLES["A02-006"][1]
     found = scan(make_files([("r", path, hit), ("r", path, hit), ("q", path, hit)])).findings
     assert sorted((r.repo_id, r.id) for r in found.collect()) == [("q", "A02-006"), ("r", "A02-006")]
+
+
+def test_profile_reads_no_content(spark, make_files, tmp_path):
+    make_files(REPOS).write.parquet(str(tmp_path / "files"))
+    plan = profile(spark.read.parquet(str(tmp_path / "files")))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    with_content = [line for line in scans if "content" in line.split("ReadSchema")[1]]
+    assert scans and with_content and all("In(path" in line for line in with_content)  # manifests only
+    assert len(with_content) < len(scans)

@@ -22,6 +22,13 @@ def test_stream_finds_what_a_batch_finds(spark, tmp_path):
         ("A03-003", 1, "2024-01-01 10:00:00"), ("A03-004", 1, "2024-01-01 10:00:00"), ("CQ-003", 2, "2024-01-01 10:00:00")}
 
 
+def test_stored_profiles_select_domains(spark, tmp_path):
+    stream = versions(spark, tmp_path, [[("r", "2024-01-01 10:00:00", "a.py", "eval(x)\nprint(x)"), ("s", "2024-01-01 10:00:00", "a.py", "print(x)")]])
+    facts = spark.createDataFrame([("r", ["code_quality"], False), ("s", ["core"], False)], "repo_id STRING, security_domains ARRAY<STRING>, has_tests BOOLEAN")
+    found = cs.run_once(cs.scan_stream(stream, facts=facts)).collect()
+    assert {(r.repo_id, r.id) for r in found} == {("r", "CQ-003")}
+
+
 def test_repeats_are_passed_on_once(spark, tmp_path):
     row = ("r", "2024-01-01 10:00:00", "a.py", "eval(x)")
     stream = versions(spark, tmp_path, [[row], [(row[0], "2024-01-01 10:30:00", *row[2:])]])
