@@ -23,6 +23,8 @@ BINARY_SUFFIXES = [
     ".woff", ".woff2", ".ttf", ".eot", ".mp3", ".mp4", ".webm", ".avi", ".mov", ".lock",
 ]
 MAX_FILE_BYTES = 500_000
+# Join keys over which the paths of one repository are dealt out.
+GLOB_SALTS = 16
 
 
 def in_project(path: Column) -> Column:
@@ -62,8 +64,9 @@ def ignored_paths(paths: DataFrame, ignores: DataFrame) -> DataFrame:
     A glob ending in ``/`` covers a directory; any other glob covers the path itself
     and everything under it.  Globs without wildcards are found by equality with the
     path or one of its directories, so a repository with many of them needs no
-    pairwise test.  Only wildcard globs are tried one by one, in an anti-join-shaped
-    semi join that stops at the first match and never emits pairs.
+    pairwise test.  Only wildcard globs are tried one by one, in a semi join that stops
+    at the first match and emits no pairs; a repository's paths are dealt out over
+    several keys for it.
     """
     globs = ignores.select("repo_id", normalise(F.col("glob")).alias("glob")).where("glob != ''")
     as_directory = F.col("glob").endswith("/")
@@ -76,10 +79,12 @@ def ignored_paths(paths: DataFrame, ignores: DataFrame) -> DataFrame:
     wild = wild.select(
         F.col("repo_id").alias("w_repo"),
         glob_regex(F.col("glob"), and_below=True).alias("regex"),
+        F.explode(F.sequence(F.lit(0), F.lit(GLOB_SALTS - 1))).alias("w_salt"),
     )
     paths = paths.select("repo_id", "path")
     starts = paths.select("*", F.explode(F.array_append(prefixes(F.col("path")), F.col("path"))).alias("start"))
     by_start = starts.join(plain, ["repo_id", "start"], "left_semi").select("repo_id", "path")
-    matches = (paths["repo_id"] == wild["w_repo"]) & F.rlike(paths["path"], wild["regex"])
-    by_glob = paths.join(wild, matches, "left_semi")
+    dealt = paths.withColumn("salt", F.pmod(F.hash("path"), F.lit(GLOB_SALTS)))
+    same = (dealt["repo_id"] == wild["w_repo"]) & (dealt["salt"] == wild["w_salt"])
+    by_glob = dealt.join(wild, same & F.rlike(dealt["path"], wild["regex"]), "left_semi").select("repo_id", "path")
     return by_start.union(by_glob)

@@ -40,23 +40,18 @@ def as_findings(described: DataFrame, *extra: str) -> DataFrame:
     ).select(*extra, *FINDING, *[c for c in SEQ if c not in FINDING])
 
 
-def first_of_each(findings: DataFrame) -> DataFrame:
-    """One finding per rule, file and line: the first, with ties broken by content.
+def first_of_each(hits: DataFrame) -> DataFrame:
+    """One hit per rule, file and line; of different contents the smallest.
 
-    Copies are merged before the shuffle, so many copies of one file cost nothing."""
-    key = ["repo_id", "id", "file", "line"]
-    rest = [c for c in findings.columns if c not in key]
-    order = SEQ_REST + [c for c in rest if c not in SEQ_REST]
-    first = findings.groupBy(*key).agg(F.min(F.struct(*order)).alias("f"))
-    return first.select(*[F.col(c) if c in key else F.col(f"f.{c}").alias(c) for c in findings.columns])
+    A file handed in several times gives equal hits.  They are merged before the
+    shuffle, so any number of copies costs little."""
+    kept = hits.groupBy("repo_id", "path", "rule_no", "line").agg(F.min(F.struct("code", "context")).alias("f"))
+    return kept.select("repo_id", "path", "rule_no", "line", "f.code", "f.context")
 
 
-SEQ_REST = [c for c in SEQ if c not in ("file", "line")]
-
-
-def drop_ignored(findings: DataFrame, ignored: DataFrame) -> DataFrame:
-    """Remove findings in ignored files; ``ignored`` is ``(repo_id, path)``."""
-    return findings.join(ignored.withColumnRenamed("path", "file"), ["repo_id", "file"], "left_anti")
+def drop_ignored(hits: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Remove hits in ignored files; ``ignored`` is ``(repo_id, path)``."""
+    return hits.join(ignored, ["repo_id", "path"], "left_anti")
 
 
 def _keyed(findings: DataFrame) -> DataFrame:

@@ -231,10 +231,10 @@ def findings_dedup(spark, sf):
     """The corpus handed in twice gives every finding once."""
     files = co.files(spark, sf)
     c, ignores, _ = _settings(files)
-    hits = scan_lines(_scanned(spark, sf))
-    facts = pr.profile(files, c)
-    twice = sp.active_findings(hits.unionAll(hits), rules_frame(spark), facts)
-    once = sp.drop_ignored(sp.first_of_each(twice), ff.ignored_paths(ff.project_files(files), ignores))
+    hits = materialize(scan_lines(_scanned(spark, sf)))
+    ignored = ff.ignored_paths(ff.project_files(files), ignores)
+    kept = sp.drop_ignored(sp.first_of_each(hits.unionAll(hits)), ignored)
+    once = sp.active_findings(kept, rules_frame(spark), pr.profile(files, c))
     return once.groupBy("repo_id", "id").agg(F.count("*").alias("n"))
 
 

@@ -41,13 +41,14 @@ def scan(
     rules = builtin_rules() if rules is None else rules
     about = build_profile(files, configs, cap)
     scanned = project_files(files, cap).where(scannable(F.col("path"), F.col("size"), parity))
-    hits = materialize(scan_lines(scanned, rules))
+    hits = first_of_each(materialize(scan_lines(scanned, rules)))
+    if ignores is not None:
+        hits = drop_ignored(hits, ignored_paths(files.where(in_project(F.col("path"))), ignores))
     # A repository left without any domain is scanned with the core ones.
     domains = F.when(F.size("security_domains") > 0, F.col("security_domains")).otherwise(F.array(*map(F.lit, CORE_DOMAINS)))
     facts = about.withColumn("security_domains", domains)
-    findings = first_of_each(active_findings(hits, rules_frame(files.sparkSession, rules), facts))
-    if ignores is not None:
-        findings = drop_ignored(findings, ignored_paths(files.where(in_project(F.col("path"))), ignores))
+    # The rules' texts are attached last, so they are not carried through the joins.
+    findings = active_findings(hits, rules_frame(files.sparkSession, rules), facts)
     return Scan(about, findings)
 
 

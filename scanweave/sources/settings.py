@@ -17,6 +17,8 @@ from .simple_yaml import yaml_to_json
 # Names of the settings files, the first that exists counts.
 CONFIG_FILES = [".security-agent.json", ".security-agent.yml", ".security-agent.yaml"]
 IGNORE_FILE = ".securityignore"
+# Up to this many different baseline file names are used as a filter.
+MAX_NAMES = 1000
 # Defaults.
 FAIL_THRESHOLD = "CRITICAL"
 AUDIT_TOOLS = ["pip-audit", "npm-audit", "osv-scanner"]
@@ -97,12 +99,21 @@ def accepted_keys(content: Column) -> Column:
 
 
 def baseline_from_files(files: DataFrame, configs: DataFrame) -> DataFrame:
-    """``(repo_id, finding_key)`` from the file each configuration names."""
+    """``(repo_id, finding_key)`` from the file each configuration names.
+
+    The names in use are few as a rule, so they are looked up first and become a filter
+    on the files; only if there are very many is the content joined by name.
+    """
     named = configs.where("baseline_file IS NOT NULL").select("repo_id", F.col("baseline_file").alias("path"))
-    wanted = named.select("path").distinct()
-    content = files.join(wanted, "path", "left_semi").select("repo_id", "path", "content")
+    names = named.select("path").distinct()
+    few = [r.path for r in names.limit(MAX_NAMES + 1).collect()]
+    if len(few) <= MAX_NAMES:
+        content = files.where(F.col("path").isin(few))
+    else:
+        content = files.join(names, "path", "left_semi")
     return (
-        content.join(named, ["repo_id", "path"])
+        content.select("repo_id", "path", "content")
+        .join(named, ["repo_id", "path"])
         .select("repo_id", F.explode(accepted_keys(F.col("content"))).alias("finding_key"))
         .distinct()
     )

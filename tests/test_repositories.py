@@ -7,6 +7,7 @@ from scanweave.operators.file_filters import ignored_paths, project_files, scann
 from scanweave.operators.profile import profile
 from scanweave.rules.examples import EXAMPLES
 from scanweave.schemas import AUDIT_RAW, BASELINE, CONFIGS, IGNORES
+from scanweave.sources import settings
 from scanweave.sources.settings import accepted_keys, baseline_from_files, configs_from_files, ignores_from_files
 from pyspark.sql import functions as F
 
@@ -145,7 +146,7 @@ def test_settings_files(make_files):
     assert named == {"y": "CRITICAL", "j": "HIGH", "n": "CRITICAL"}
 
 
-def test_baselines(spark, make_files):
+def test_baselines(spark, make_files, monkeypatch):
     texts = {
         '{"accepted_findings": ["A03-005:main.py:1", {"id": "X", "file": "a b.py", "line": 3}]}': ["A03-005:main.py:1", "X:a b.py:3"],
         '["k:1:2"]': ["k:1:2"], "broken {": [], "{}": [], '{"accepted_findings": [{"id": "X"}]}': ["X:None:None"],
@@ -157,6 +158,8 @@ def test_baselines(spark, make_files):
     ])
     got = {(r.repo_id, r.finding_key) for r in baseline_from_files(files, configs_from_files(files)).collect()}
     assert got == {("r", "A03-005:main.py:1"), ("r", "X:a b.py:3")}
+    monkeypatch.setattr(settings, "MAX_NAMES", 0)  # as if there were very many names
+    assert got == {(r.repo_id, r.finding_key) for r in baseline_from_files(files, configs_from_files(files)).collect()}
 
 
 def test_full_scan(spark, make_files):
