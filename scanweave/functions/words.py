@@ -89,7 +89,9 @@ def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int):
                 found = on_line[n]
                 for no in {no for w in found for no in asked_by.get(w, ())}:
                     if not any(found.isdisjoint(c) for c in clauses[no]):
-                        out[no] = (out[no] or []) + [n]
+                        if out[no] is None:
+                            out[no] = []
+                        out[no].append(n)
             return out
 
         for texts in batches:

@@ -16,7 +16,6 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.session.timeZone": "UTC",
         # Whole files go through Arrow batches: keep a batch well below executor memory.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
         "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
