@@ -100,9 +100,11 @@ def _hit_structs(rules: tuple[Rule, ...]) -> str:
     code = f"substring({_strip_sql('element_at(lines, n)')}, 1, {CODE_CHARS})"
     hit = f"struct(m.rule_no AS rule_no, n AS line, {code} AS code, {snippet_sql('lines', 'n')} AS context)"
     line_hits = f"flatten(transform(matched, m -> transform(m.ns, n -> {hit})))"
+    # The start of the file as text: every line break written as a line feed.
+    head = f"substring(regexp_replace(substring(content, 1, {2 * CODE_CHARS}), '\\\\r\\\\n?', '\\n'), 1, {CODE_CHARS})"
     by_name = [
         f"CASE WHEN ({_applies(rule)}) AND name RLIKE {sql_string(java_name_pattern(rule.pattern))} THEN "
-        f"struct({no} AS rule_no, 0 AS line, '.env file detected' AS code, substring(content, 1, 200) AS context) END"
+        f"struct({no} AS rule_no, 0 AS line, '.env file detected' AS code, {head} AS context) END"
         for no, rule in enumerate(rules)
         if rule.file_check
     ]

@@ -200,7 +200,8 @@ PARTS: dict[str, tuple[list[str], str]] = {
           lambda i: printf('%s %4d: ', CASE WHEN i = n THEN '>>>' ELSE '   ' END, i) || lines[i]), chr(10)) AS context
       FROM raw_hits WHERE NOT cancelled
       UNION ALL
-      SELECT repo_id, path, {next(i for i, r in enumerate(_R) if r.file_check)}, 0, '.env file detected', substring(content, 1, 200)
+      SELECT repo_id, path, {next(i for i, r in enumerate(_R) if r.file_check)}, 0, '.env file detected',
+        substring(regexp_replace(substring(content, 1, 400), '\\r\\n?', chr(10), 'g'), 1, 200)
       FROM scanned WHERE regexp_matches(name, '(?i)^\\.env(\\.(local|dev|development|prod|production|staging))?$')"""),
     "framework_rows": ([], f"SELECT * FROM ({values(_framework_rows())}) AS t(ord, sig, fw)"),
     "frameworks": (["kept", "framework_rows"], f"""

@@ -90,6 +90,15 @@ def test_negative_window_is_four_before_and_five_after(make_files):
     assert found == {-6, -5, 6}
 
 
+def test_file_name_rule_shows_the_start_of_the_file(make_files):
+    text = "A=1\r\nB=2\rC=3\n" + "\r\n" * 150 + "end"
+    rows = [("r", ".env", text), ("r", "x/.ENV.local", "Z=1"), ("r", "my.env", "Z=1"), ("r", ".environment", "Z=1")]
+    rule = next(r for r in RULES if r.file_check)
+    got = {(h[1], h[3], h[4], h[5]) for h in spark_hits(make_files(rows), (rule,))}
+    shown = text.replace("\r\n", "\n").replace("\r", "\n")[:200]
+    assert got == {(".env", 0, ".env file detected", shown), ("x/.ENV.local", 0, ".env file detected", "Z=1")}
+
+
 def test_required_words_are_in_every_match():
     pool = [line for e in EXAMPLES.values() for line in e[1:]] + ODD_LINES
     for rule in RULES:
