@@ -1,0 +1,145 @@
+"""Secret scan: three patterns, and sliding-window entropy over candidate strings.
+
+Candidates are runs of at least 20 token characters.  A candidate's characters put it in a
+class with an alphabet and an entropy bound; runs of digits or of letters of one case are
+in none.  A window of 20 characters slides over it: counts per symbol and the sum of
+c * log2(c) are updated for the character that enters and the one that leaves, so a step
+costs the same wherever it is.  Windows at or above the bound merge into spans, unless the
+candidate is allow-listed (identifiers, checksums, placeholders, alphabets in order).
+
+Spans count code points, end exclusive.  Texts never leave their row: no shuffle, no Python.
+
+Defined cases: a null or empty text has no spans; a repeated row gives its result again;
+an empty table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import text_of
+
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]{24,}"
+MIN_VALUE, MIN_ACCESS = 6, 20
+
+TOKEN = "A-Za-z0-9+/_=-"
+WINDOW = 20
+CANDIDATE = rf"(?<![{TOKEN}])[{TOKEN}]{{{WINDOW},}}"
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# Kind, pattern of the whole candidate, symbols, least entropy of a window in bits.
+CLASSES = (
+    ("entropy_hex", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdefABCDEF", 3.0),
+    ("entropy_alnum", r"^(?=.*[0-9])(?=.*[a-zA-Z])([0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOWER + _UPPER, 3.6),
+    ("entropy_mixed", r"^(?=.*[A-Z])(?=.*[a-z]).*$", _UPPER + _LOWER + _DIGITS + "+/_=-", 3.9),
+)
+ALLOWED = (
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    r"(?i)(example|placeholder|changeme|dummy|sample|xxxxxx)",
+    r"(?i)^(sha(1|256|384|512)|md5)[-_=]",
+    r"(?i)(abcdefghijklmnop|0123456789abcdef)",
+)
+KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
+
+_SPAN = "ARRAY<STRUCT<start: INT, ord: INT, stop: INT>>"
+
+
+
+
+def _literal(text: str) -> str:
+    """A string literal that reads back as ``text``."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _matches(pattern: str, ord_: int, keep: str = "true", extra: str = "''") -> str:
+    """Spans of the pattern in ``text``: the gaps between matches tell where they are.
+
+    ``keep`` tests a match, ``i.`0` ``, and what ``extra`` has beside it, ``i.`2` ``.
+    """
+    p = _literal(pattern)
+    found = f"arrays_zip(regexp_extract_all(text, {p}, 0), transform(split(text, {p}, -1), g -> char_length(g)), {extra})"
+    after = "s.at + i.`1` + char_length(i.`0`)"
+    span = f"named_struct('start', s.at + i.`1`, 'ord', {ord_}, 'stop', {after})"
+    step = (
+        "CASE WHEN i.`0` IS NULL THEN s ELSE named_struct("
+        f"'at', {after}, 'spans', IF({keep}, concat(s.spans, array({span})), s.spans)) END"
+    )
+    spans = f"aggregate({found}, named_struct('at', 0, 'spans', CAST(array() AS {_SPAN})), (s, i) -> {step}, s -> s.spans)"
+    return f"CASE WHEN text RLIKE {p} THEN {spans} ELSE CAST(array() AS {_SPAN}) END"
+
+
+def _windows(symbols: str, bound: float) -> str:
+    """``array<struct<a, b>>``: merged windows of ``chars`` with at least ``bound`` bits."""
+    w, n = WINDOW, len(symbols)
+    total = lambda c: f"IF({c} > 1, {c} * log2({c}), 0D)"
+    # enter and leave are symbol numbers; leave is -1 while the window fills.
+    enter = f"instr({_literal(symbols)}, get(chars, i)) - 1"
+    leave = f"IF(i >= {w}, instr({_literal(symbols)}, get(chars, i - {w})) - 1, -1)"
+    one = "named_struct('a', s.a, 'b', s.b)"
+    counts = "transform(s.counts, (c, k) -> c + IF(k = t.enter, 1, 0) - IF(k = t.leave, 1, 0))"
+    more, less = "get(s.counts, t.enter)", "get(s.counts, t.leave)"
+    moved = (
+        f"IF(t.enter = t.leave, s.total, s.total + {total(f'({more} + 1)')} - {total(more)} "
+        f"+ IF(t.leave < 0, 0D, {total(f'({less} - 1)')} - {total(less)}))"
+    )
+    high = f"i >= {w - 1} AND log2({w}) - u.total / {w} >= {bound} - 1e-9"
+    closes = f"{high} AND s.b >= 0 AND s.b < i - {w - 1}"
+    step = (
+        f"transform(array(named_struct('enter', {enter}, 'leave', {leave})), t -> "
+        f"transform(array(named_struct('counts', {counts}, 'total', CAST({moved} AS DOUBLE))), u -> named_struct("
+        f"'counts', u.counts, 'total', u.total, "
+        f"'a', IF({high}, IF(s.b >= i - {w - 1}, s.a, i - {w - 1}), s.a), 'b', IF({high}, i + 1, s.b), "
+        f"'done', IF({closes}, concat(s.done, array({one})), s.done)))[0])[0]"
+    )
+    start = (
+        f"named_struct('counts', array_repeat(0, {n}), 'total', 0D, 'a', -1, 'b', -1, "
+        "'done', CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>))"
+    )
+    return (
+        f"aggregate(sequence(0, size(chars) - 1), {start}, (s, i) -> {step}, "
+        f"s -> IF(s.b >= 0, concat(s.done, array({one})), s.done))"
+    )
+
+
+def _entropy_spans() -> str:
+    """Spans of high entropy in ``text``, of all classes."""
+    allowed = " OR ".join(f"m RLIKE {_literal(a)}" for a in ALLOWED)
+    none = "CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>)"
+    spans = []
+    for no, (_, shape, symbols, bound) in enumerate(CLASSES):
+        earlier = "".join(f" AND NOT m RLIKE {_literal(c[1])}" for c in CLASSES[:no])
+        in_class = f"m RLIKE {_literal(shape)}{earlier} AND NOT ({allowed})"
+        # The characters are split once, by wrapping them in an array of one.
+        windows = f"transform(array(split(m, '')), chars -> {_windows(symbols, bound)})[0]"
+        here = f"IF({in_class}, {windows}, {none})"
+        spans.append(f"transform({here}, z -> named_struct('start', c.start + z.a, 'ord', {3 + no}, 'stop', c.start + z.b))")
+    of_candidate = f"transform(array(substring(text, c.start + 1, c.stop - c.start)), m -> concat({', '.join(spans)}))[0]"
+    return f"flatten(transform(candidates, c -> {of_candidate}))"
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns (by default ``doc_id``) and ``spans(start, ord, stop)`` of each row.
+
+    ``ord`` is the place of the span's kind in ``KINDS``; spans are sorted by start, then kind.
+    """
+    keep = keep or ["doc_id"]
+    values = f"regexp_extract_all(text, {_literal(ASSIGN)}, 2)"
+    base = [
+        _matches(ASSIGN, 0, f"char_length(i.`2`) >= {MIN_VALUE}", values),
+        _matches(ACCESS, 1, f"char_length(i.`0`) >= {MIN_ACCESS}", "CAST(array() AS ARRAY<STRING>)"),
+        _matches(HEX, 2, "true", "CAST(array() AS ARRAY<STRING>)"),
+    ]
+    rows = docs.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], text_of(text_col).alias("text"))
+    rows = rows.withColumn("candidates", F.expr(_matches(CANDIDATE, 0, "true", "CAST(array() AS ARRAY<STRING>)")))
+    spans = F.concat(*map(F.expr, base), F.expr(_entropy_spans()))
+    return rows.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], F.array_sort(spans).alias("spans"))
+
+
+def span_text(spans: Column) -> Column:
+    """``kind:start:end`` of each span, comma-joined."""
+    kind = F.array(*map(F.lit, KINDS))
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["ord"]), s["start"].cast("string"), s["stop"].cast("string"))), ","
+    )
