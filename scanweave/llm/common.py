@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import materialize, shared_dir
+from ..session import configure, materialize, shared_dir
 
 # A key with more than one in so many rows is joined by broadcast; fewer than this
 # many keys can hold that share, however large the table is.
@@ -22,7 +22,7 @@ new_folder = shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_of(column: str) -> Column:
@@ -86,3 +86,31 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
     placed = ranges.withColumn("_at", inside).join(F.broadcast(starts), "_range")  # one row per range
     return placed.withColumn(name, F.col("_start") + F.col("_at") - 1).drop("_start", "_at", "_range")
+
+
+def map_batches(rows: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches that stay small when texts are long."""
+    configure(rows.sparkSession)
+    return rows.mapInArrow(function, schema)
+
+
+def packed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """All columns of ``docs`` in the struct ``_row``, beside ``extra`` ones, whatever they are called."""
+    return docs.select(F.struct(F.col("*")).alias("_row"), *[c.alias(name) for name, c in extra.items()])
+
+
+def text_hash(column: str) -> Column:
+    return F.xxhash64(text_of(column))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose id and ``text_hash`` are in ``dropped(id, hash)``, a stored table.
+
+    Only rows that may be dropped are moved; the others pass in place.
+    """
+    rows = packed(docs, _id=F.col(id_col), _hash=text_hash(text_col))
+    keys = [F.col("_id"), F.col("_hash")]
+    marked = maybe_member(rows, keys, dropped, [F.col("id"), F.col("hash")], "_maybe")
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
+    tested = marked.where("_maybe").join(dropped, same, "left_anti")
+    return marked.where("NOT _maybe").unionByName(tested).select("_row.*")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_facts, numbered, store, text_of
+from .common import join_facts, numbered, packed, store, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -232,13 +232,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """``docs`` with every row as often as the mix takes it, which may be never."""
     decided = round_copies(store(sized(docs, id_col, source_col, text_col)))
     decided = store(decided.where("copies > 0").select(*_SOURCE, F.col("_id").alias("_key"), "size", "copies"))
-    keyed = docs.withColumns({
-        "_no_source": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col), F.lit("")),
-        "_size": F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"),
-    })
+    keyed = packed(
+        docs, _id=F.col(id_col), _none=F.col(source_col).isNull(), _name=F.coalesce(F.col(source_col), F.lit("")),
+        _size=F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"),
+    )
     same = (
-        (keyed["_no_source"] == decided["_no_source"]) & (keyed["_source"] == decided["_source"])
-        & (keyed["_size"] == decided["size"]) & keyed[id_col].eqNullSafe(decided["_key"])
+        (keyed["_none"] == decided["_no_source"]) & (keyed["_name"] == decided["_source"])
+        & (keyed["_size"] == decided["size"]) & keyed["_id"].eqNullSafe(decided["_key"])
     )
-    copied = keyed.join(decided, same).withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), decided["copies"])))
-    return copied.select(*[keyed[c] for c in docs.columns])
+    copied = keyed.join(decided, same).withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return copied.select("_row.*")
