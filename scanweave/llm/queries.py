@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, secret_scan, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, mixing, secret_scan, sharding, simhash, toxicity, warc
 from .common import read
 
 
@@ -26,6 +26,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(warc.planned(read(spark, sf_dir, "pages")))
+    records = warc.read_archives(archives).where("kind != 'gap'")
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "item_words", "distance", "position")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(read(spark, sf_dir, "documents"))
 
@@ -52,7 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_secrets, op7_mixing, op8_simhash, op9_sharding, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op2_exact_dedup, op3_secrets, op5_warc, op6_decontamination, op7_mixing, op8_simhash, op9_sharding, op10_toxicity,
+    )
 }
 
 ORACLE: dict[str, str] = {
@@ -62,4 +76,19 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op5_warc": """
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+                   row_number() OVER same AS place, first_value(page_id) OVER same AS first_id
+            FROM pages WINDOW same AS (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST)
+        ), fives AS (
+            SELECT *, list_transform(range(8), i -> ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS five FROM payloads
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(flatten(list_transform(five, v -> list_transform([15, 10, 5, 0],
+                   s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)))), '') AS payload_digest,
+               CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN place > 1 THEN first_id END AS refers_to
+        FROM fives
+    """,
 }
