@@ -1,4 +1,8 @@
-"""From documents to training shards: each stage works on what the one before it kept."""
+"""From documents to training shards: each stage works on what the one before it kept.
+
+All stages but the last return the columns of ``documents``.  Defined cases are those of the
+operators: null texts are empty, rows without an id pass, an empty table passes through.
+"""
 
 from __future__ import annotations
 
@@ -6,23 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import mixing, sharding
+from scanweave.llm import decontaminate, mixing, sharding, simhash, toxicity
 from scanweave.llm.common import read, store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on ``labels``, does not reject."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target asks for."""
     return mixing.mix(docs)
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where every document of the mix is written."""
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard of every document of the mix and its place there."""
     return sharding.assign_shards(docs)[0]
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix_sources), ("sharding", shard)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_benchmark_copies),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
 
 # Classifiers, fingerprints by XXH64 and random rounding have no SQL form.
 ORACLE_SQL: str | None = None
