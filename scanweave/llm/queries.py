@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, secret_scan, sharding, simhash, toxicity, warc
+from . import decontaminate, exact_dedup, line_dedup, mixing, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
 from .common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    lines = line_dedup.line_rows(docs)
+    dropped = line_dedup.dropped_lines(docs, lines=lines)
+    entry = F.concat_ws(":", "line", "kind", "first_id", "first_line")
+    per_text = dropped.groupBy("id", "hash").agg(
+        F.count_if(F.col("kind") == "exact").alias("n_exact"), F.count_if(F.col("kind") == "near").alias("n_near"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", entry.alias("e")))), lambda x: x["e"]), ",").alias("dropped"),
+    )
+    counts = lines.groupBy("id", "hash").agg(F.count("*").alias("n_lines"))
+    return counts.join(per_text, ["id", "hash"], "left").select(
+        F.col("id").alias("doc_id"), "n_lines", F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped"),
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"), digest_all=True)
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -26,6 +42,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("stop").alias("stop_word"), F.col("first_id").alias("first_doc_id"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(warc.planned(read(spark, sf_dir, "pages")))
     records = warc.read_archives(archives).where("kind != 'gap'")
@@ -65,7 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_exact_dedup, op3_secrets, op5_warc, op6_decontamination, op7_mixing, op8_simhash, op9_sharding, op10_toxicity,
+        op1_line_dedup, op2_exact_dedup, op3_secrets, op4_suffix_dedup, op5_warc, op6_decontamination, op7_mixing, op8_simhash, op9_sharding, op10_toxicity,
     )
 }
 
