@@ -103,11 +103,11 @@ ORACLE: dict[str, str] = {
                    row_number() OVER same AS place, first_value(page_id) OVER same AS first_id
             FROM pages WINDOW same AS (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST)
         ), fives AS (
-            SELECT *, list_transform(range(8), i -> ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS five FROM payloads
+            SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::BIGINT) AS five FROM payloads
         )
         SELECT page_id, payload_bytes,
-               array_to_string(flatten(list_transform(five, v -> list_transform([15, 10, 5, 0],
-                   s -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)))), '') AS payload_digest,
+               array_to_string(flatten(list_transform(five, lambda v: list_transform([15, 10, 5, 0],
+                   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)))), '') AS payload_digest,
                CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN place > 1 THEN first_id END AS refers_to
         FROM fives
