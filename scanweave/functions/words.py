@@ -3,8 +3,8 @@
 Hundreds of words are looked for in every file.  One string search per word costs
 more than everything else in the scan, so all words are found together in one pass
 by an automaton, in an Arrow batch function.  (Measured on prose: about 14 times
-faster than ``contains`` per word.)  The string-search variant remains for clusters
-without the library.
+faster than ``contains`` per word in SQL.)  A worker without the library searches for the
+words one by one, with the same result; the driver's own libraries play no part.
 """
 
 from __future__ import annotations
@@ -17,11 +17,6 @@ from pyspark.sql import functions as F
 from .regex import required_words
 from .text import LINE_BREAK, sql_string
 
-try:
-    import ahocorasick
-except ImportError:  # the string-search variant is used instead
-    ahocorasick = None
-
 # Shorter words are on nearly every line: looking for them is wasted work.
 MIN_WORD = 3
 
@@ -41,9 +36,9 @@ def candidate_lines_sql(text: str, short_lines: str, patterns: tuple[str, ...])
     return f"array({', '.join(tests)})"
 
 
-def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int):
+def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int | None = None, library: bool = True):
     """``array<array<int>>`` of the folded text: per pattern the numbers of the lines, of
-    at most ``max_chars``, that hold its required words.
+    at most ``max_chars`` if given, that hold its required words.
 
     The function carries its word lists with it and imports what it needs where it
     runs, so executors need no copy of this package.
@@ -61,20 +56,34 @@ def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int):
         import re
         from bisect import bisect_right
 
-        import ahocorasick
         import pandas
 
-        automaton = ahocorasick.Automaton()
-        for word in words:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
+        try:
+            if not library:
+                raise ImportError
+            from ahocorasick import Automaton
+
+            automaton = Automaton()
+            for word in words:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            occurrences = automaton.iter
+        except ImportError:
+
+            def occurrences(text):
+                for word in words:
+                    at = text.find(word)
+                    while at >= 0:
+                        yield at + len(word) - 1, word
+                        at = text.find(word, at + 1)
+
         breaks = re.compile(line_break)
 
         def find(text):
             on_line = {}
             if text and words:
                 ends = None
-                for at, word in automaton.iter(text):
+                for at, word in occurrences(text):
                     if ends is None:
                         ends = [(m.start(), m.end()) for m in breaks.finditer(text)]
                         starts = [0] + [e for _, e in ends]
@@ -84,7 +93,7 @@ def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int):
             out = [None] * n_patterns
             for n in sorted(on_line):
                 end = ends[n - 1][0] if n <= len(ends) else len(text)
-                if end - starts[n - 1] > max_chars:
+                if max_chars is not None and end - starts[n - 1] > max_chars:
                     continue
                 found = on_line[n]
                 for no in {no for w in found for no in asked_by.get(w, ())}:

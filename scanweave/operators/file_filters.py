@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import glob_regex, has_wildcard, normalise
@@ -22,7 +22,8 @@ BINARY_SUFFIXES = [
     ".dll", ".so", ".dylib", ".class", ".jar", ".war", ".ear", ".pyc", ".pyo", ".bin", ".hex", ".elf", ".o", ".a",
     ".woff", ".woff2", ".ttf", ".eot", ".mp3", ".mp4", ".webm", ".avi", ".mov", ".lock",
 ]
-MAX_FILE_BYTES = 500_000
+# Fixed value: with ``parity`` larger files are not scanned.
+PARITY_FILE_BYTES = 500_000
 # Join keys over which the paths of one repository are dealt out.
 GLOB_SALTS = 16
 
@@ -37,25 +38,22 @@ def in_project(path: Column) -> Column:
     return ~F.exists(directories(path), dropped)
 
 
-def project_files(files: DataFrame, cap: int | None = None) -> DataFrame:
-    """The files of each repository.  ``cap`` keeps the first files in path order; off
-    by default, since it makes results incomplete."""
-    kept = files.where(in_project(F.col("path")))
-    if cap is None:
-        return kept
-    order = F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))
-    return kept.withColumn("_n", order).where(F.col("_n") <= cap).drop("_n")
+def project_files(files: DataFrame) -> DataFrame:
+    """The files of each repository."""
+    return files.where(in_project(F.col("path")))
 
 
-def scannable(path: Column, size: Column, parity: bool = False) -> Column:
-    """True for files whose lines are matched.
+def scannable(path: Column, size: Column, parity: bool = False, max_bytes: int | None = None) -> Column:
+    """True for files whose lines are matched, of any size unless ``max_bytes`` is given.
 
     By default only directories are compared with the skip list.  With ``parity`` the
-    file name is compared too, which hides a committed ``.env``.
+    file name is compared too, which hides a committed ``.env``, and files over
+    500,000 bytes are left out.
     """
+    max_bytes = PARITY_FILE_BYTES if parity and max_bytes is None else max_bytes
     parts = F.split(path, "/") if parity else directories(path)
     skipped = F.exists(parts, lambda part: part.isin(SCAN_SKIP))
-    return ~skipped & ~suffix(file_name(path)).isin(BINARY_SUFFIXES) & (size <= MAX_FILE_BYTES)
+    return ~skipped & ~suffix(file_name(path)).isin(BINARY_SUFFIXES) & (F.lit(True) if max_bytes is None else size <= max_bytes)
 
 
 def ignored_paths(paths: DataFrame, ignores: DataFrame) -> DataFrame:
@@ -88,3 +86,19 @@ def ignored_paths(paths: DataFrame, ignores: DataFrame) -> DataFrame:
     same = (dealt["repo_id"] == wild["w_repo"]) & (dealt["salt"] == wild["w_salt"])
     by_glob = dealt.join(wild, same & F.rlike(dealt["path"], wild["regex"]), "left_semi").select("repo_id", "path")
     return by_start.union(by_glob)
+
+
+def not_ignored(hits: DataFrame, ignores: DataFrame) -> DataFrame:
+    """``hits(repo_id, path, ..)``, batch or stream, without those an ignore glob covers.
+
+    The globs of a repository become one pattern, a static row; a stream joins it without
+    state, and its pattern is tested once per hit.
+    """
+    globs = ignores.select("repo_id", normalise(F.col("glob")).alias("glob")).where("glob != ''")
+    directory = F.concat(F.lit(r"(?s)\A"), F.regexp_replace("glob", r"([^\p{L}\p{N}_/])", r"\\$1"), F.lit(".*"))
+    regex = F.when(F.col("glob").endswith("/"), directory).otherwise(glob_regex(F.col("glob"), and_below=True))
+    one = globs.select("repo_id", regex.alias("regex")).groupBy("repo_id").agg(
+        F.concat(F.lit("(?:"), F.array_join(F.array_sort(F.collect_set("regex")), ")|(?:"), F.lit(")")).alias("_ignored")
+    )
+    covered = F.coalesce(F.rlike(F.col("path"), F.col("_ignored")), F.lit(False))
+    return hits.join(one, "repo_id", "left").where(~covered).drop("_ignored")

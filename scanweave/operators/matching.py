@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from ..functions.paths import file_name, suffix
 from ..functions.regex import SPACE, java_line_pattern, java_name_pattern
 from ..functions.text import LINE_BREAK, drop_last_empty, fold_sql, snippet_sql, sql_string, window_sql
-from ..functions.words import ahocorasick, candidate_lines_sql, candidate_lines_udf, clauses_of
+from ..functions.words import candidate_lines_sql, candidate_lines_udf, clauses_of
 from ..rules.catalog import Rule, builtin_rules
 
-# Longer lines are not matched; findings show this much code.
-MAX_LINE_CHARS = 2000
+# With ``parity`` longer lines are not matched; findings show this much code.
+PARITY_LINE_CHARS = 2000
 CODE_CHARS = 200
 
 
@@ -40,23 +40,26 @@ def with_lines(files: DataFrame) -> DataFrame:
 
 
 def scan_lines(
-    files: DataFrame, rules: tuple[Rule, ...] | None = None, keep: list[str] | None = None, automaton: bool | None = None
+    files: DataFrame, rules: tuple[Rule, ...] | None = None, keep: list[str] | None = None, automaton: bool = True,
+    max_line_chars: int | None = None,
 ) -> DataFrame:
     """Match line rules and file-name rules against ``files(repo_id, path, content)``.
 
     One output row per hit: the ``keep`` columns of the file, then ``rule_no`` (the
-    rule's place in ``rules``), ``line``, ``code`` and ``context``.  ``automaton``
-    chooses how required words are searched; by default by what is installed.
+    rule's place in ``rules``), ``line``, ``code`` and ``context``.  Required
+    words are searched in an Arrow batch function, or with ``automaton=False`` in SQL.
+    ``max_line_chars`` leaves out longer lines; see :func:`unscanned` for what that costs.
     """
     rules = builtin_rules() if rules is None else rules
     keep = keep or ["repo_id", "path"]
     patterns = tuple("" if r.file_check else r.pattern for r in rules)
-    automaton = ahocorasick is not None if automaton is None else automaton
-    numbered = f"filter(transform(lines, (t, i) -> IF(char_length(t) <= {MAX_LINE_CHARS}, i + 1, 0)), n -> n > 0)"
+    numbered = "transform(lines, (t, i) -> i + 1)"
+    if max_line_chars is not None:
+        numbered = f"filter(transform(lines, (t, i) -> IF(char_length(t) <= {max_line_chars}, i + 1, 0)), n -> n > 0)"
 
     prepared = with_lines(files).withColumns({"low": F.expr(fold_sql("content")), "short": F.expr(numbered)})
     if automaton:
-        candidates = candidate_lines_udf(patterns, MAX_LINE_CHARS)(F.col("low"))
+        candidates = candidate_lines_udf(patterns, max_line_chars)(F.col("low"))
     else:
         candidates = F.expr(candidate_lines_sql("low", "short", patterns))
     matched = prepared.withColumn("candidates", candidates).withColumn("matched", F.expr(_line_numbers(rules)))
@@ -64,7 +67,26 @@ def scan_lines(
     return hits.select(*keep, "hit.rule_no", "hit.line", "hit.code", "hit.context")
 
 
+def unscanned(files: DataFrame, max_line_chars: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
+    """``(repo_id, path, reason, lines, bytes)``: what these limits leave out of ``files``."""
+    parts = []
+    if max_file_bytes is not None:
+        large = files.where(F.col("size") > max_file_bytes)
+        parts.append(large.select("repo_id", "path", F.lit("file size").alias("reason"), F.lit(None).cast("bigint").alias("lines"), F.col("size").alias("bytes")))
+    if max_line_chars is not None:
+        rest = files if max_file_bytes is None else files.where(F.col("size") <= max_file_bytes)
+        long = F.filter("lines", lambda t: F.char_length(t) > max_line_chars)
+        size = F.aggregate("long", F.lit(0).cast("bigint"), lambda s, t: s + F.octet_length(t))
+        rows = with_lines(rest).withColumn("long", long).where(F.size("long") > 0)
+        parts.append(rows.select("repo_id", "path", F.lit("line length").alias("reason"), F.size("long").cast("bigint").alias("lines"), size.alias("bytes")))
+    if not parts:
+        return files.where("false").selectExpr("repo_id", "path", "'' AS reason", "0L AS lines", "0L AS bytes")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _applies(rule: Rule) -> str:
+    if rule.langs is not None and not rule.langs:
+        return "false"  # bound to no file at all
     tests = []
     if rule.suffixes:
         tests.append(f"ext IN ({', '.join(map(sql_string, rule.suffixes))})")

@@ -229,9 +229,9 @@ def apply_domain_config(profile: DataFrame, configs: DataFrame | None) -> DataFr
     return profile.withColumn("skipped_domains", F.array_except(optional, "security_domains"))
 
 
-def profile(files: DataFrame, configs: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+def profile(files: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     """One row per repository: languages, frameworks, architecture, domains, counts."""
-    kept = project_files(files, cap)
+    kept = project_files(files)
     signals = (
         repo_signals(kept)
         .join(repo_languages(language_counts(kept)), "repo_id", "left")

@@ -33,9 +33,10 @@ CONFIG_TEXTS = [
     '{"fail_threshold": "INFO", "include_domains": ["pipeline", "other"], "exclude_domains": ["web"]}',
     '{"fail_threshold": "URGENT", "dependency_audit": {"enabled": false}}',
     '{"fail_threshold": "MEDIUM", "dependency_audit": {"tools": ["pip-audit"]}, "baseline_file": ".security_baseline.json"}',
+    '{"fail_threshold": "LOW", oops}',
 ]
 YAML_TEXT = (
-    "# settings\nfail_threshold: 'HIGH'\ninclude_domains:\n  - web\n  - ai_ml\n\nignore_patterns: [\"*.js\", docs/]\n"
+    "# settings\nfail_threshold: 'HIGH'\ninclude_domains:\n  - web\n  - ai_ml\n\nignore_patterns: [\"*.js\", docs/, \"a\tb.txt\"]\n"
     "dependency_audit:\n  enabled: false\nbaseline_file: .security_baseline.json\n"
 )
 
@@ -116,7 +117,7 @@ def root_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.array(
         entry(F.lit(True), _pick(MANIFEST_NAMES, d % 4), _pick(MANIFEST_TEXTS, d % 3)),
         entry(d % 3 == 0, F.lit(".securityignore"), F.lit(IGNORE_TEXT)),
-        entry(d % 4 == 1, F.lit(".security-agent.json"), _pick(CONFIG_TEXTS, d % 5)),
+        entry(d % 4 == 1, F.lit(".security-agent.json"), _pick(CONFIG_TEXTS, F.expr("doc_id div 4") % len(CONFIG_TEXTS))),
         entry(d % 4 == 2, F.lit(".security-agent.yml"), F.lit(YAML_TEXT)),
         entry(d % 2 == 1, F.lit(".security_baseline.json"), baseline),
     )

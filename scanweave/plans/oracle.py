@@ -94,7 +94,7 @@ def _hits_sql() -> str:
             SELECT *, lines[n] AS line FROM (
               SELECT repo_id, path, name, ext, lines, unnest(range(1, len(lines) + 1)) AS n FROM scanned
             )
-          ) WHERE length(line) <= 2000
+          )
         )
       )"""
 
@@ -126,7 +126,7 @@ def _config_sql(files: str = "files") -> str:
     text = lambda k: f"json_extract_string(j, '$.{k}')"
     names = lambda k: f"coalesce(CAST(json_extract(j, '$.{k}') AS VARCHAR[]), [])"
     yaml = (
-        '{"fail_threshold": "HIGH", "include_domains": ["web", "ai_ml"], "ignore_patterns": ["*.js", "docs/"], '
+        '{"fail_threshold": "HIGH", "include_domains": ["web", "ai_ml"], "ignore_patterns": ["*.js", "docs/", "a\\tb.txt"], '
         '"dependency_audit": {"enabled": false}, "baseline_file": ".security_baseline.json"}'
     )
     return f"""
@@ -137,7 +137,7 @@ def _config_sql(files: str = "files") -> str:
         coalesce(CAST(json_extract(j, '$.dependency_audit.tools') AS VARCHAR[]), ['pip-audit', 'npm-audit', 'osv-scanner']) AS audit_tools
       FROM (SELECT DISTINCT repo_id FROM {files}) LEFT JOIN (
         SELECT repo_id, path AS config_path,
-          CAST(CASE WHEN ends_with(path, '.json') THEN content ELSE {q(yaml)} END AS JSON) AS j
+          TRY_CAST(CASE WHEN ends_with(path, '.json') THEN content ELSE {q(yaml)} END AS JSON) AS j
         FROM {files} WHERE path IN {among(CONFIG_FILES)}
         QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY CASE path {order} END) = 1
       ) USING (repo_id)"""
@@ -171,7 +171,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
         UNION ALL
         SELECT repo_id, {strings(co.MANIFEST_NAMES)}[CAST(d % 4 AS INT) + 1], {strings(co.MANIFEST_TEXTS)}[CAST(d % 3 AS INT) + 1] FROM roots
         UNION ALL SELECT repo_id, '.securityignore', {q(co.IGNORE_TEXT)} FROM roots WHERE d % 3 = 0
-        UNION ALL SELECT repo_id, '.security-agent.json', {strings(co.CONFIG_TEXTS)}[CAST(d % 5 AS INT) + 1] FROM roots WHERE d % 4 = 1
+        UNION ALL SELECT repo_id, '.security-agent.json', {strings(co.CONFIG_TEXTS)}[CAST((d // 4) % {len(co.CONFIG_TEXTS)} AS INT) + 1] FROM roots WHERE d % 4 = 1
         UNION ALL SELECT repo_id, '.security-agent.yml', {q(co.YAML_TEXT)} FROM roots WHERE d % 4 = 2
         UNION ALL SELECT repo_id, '.security_baseline.json', CASE d % 3
             WHEN 0 THEN '{{"accepted_findings": ["' || k || '", "X-1:none.py:1"]}}'
@@ -187,7 +187,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
       SELECT *, CASE WHEN s[-1] = '' THEN s[1:-2] ELSE s END AS lines
       FROM (SELECT *, string_split_regex(content, {q(LINE_BREAK)}) AS s FROM kept)
       WHERE len(list_filter(dirs, lambda x: x IN {among(ff.SCAN_SKIP)})) = 0
-        AND ext NOT IN {among(ff.BINARY_SUFFIXES)} AND size <= 500000"""),
+        AND ext NOT IN {among(ff.BINARY_SUFFIXES)} """),
     "rules": ([], f"""SELECT * FROM ({values([
         (i, r.rule_id, r.domain, r.category, r.name, r.severity, r.description, r.fix, r.owasp, r.cwe, r.negative_pattern is not None)
         for i, r in enumerate(_R)
@@ -550,8 +550,17 @@ def oracle() -> dict[str, str]:
         "page_hits": sql("SELECT repo_id, id, count(*) AS n FROM hits JOIN rules USING (rule_no) WHERE starts_with(path, 'site/') GROUP BY 1, 2", "hits", "rules"),
         "secrets_hits": sql(hit.format(", h.code", f"r.id IN {listed(secrets)}"), "hits", "rules"),
         "context_snippets": sql(hit.format(", h.code, h.context", "true"), "hits", "rules"),
-        "user_rules": sql(f"""SELECT id, count(*) AS n FROM hits JOIN rules USING (rule_no) WHERE id IN {listed(secrets + ['A01-001'])} GROUP BY id
-          UNION ALL SELECT 'X-001', sum(len(list_filter(lines, lambda x: length(x) <= 2000 AND {matches('x', own_rule)})))::BIGINT FROM scanned WHERE ext IN ('.py', '.js', '.java')""", "hits", "rules", "scanned"),
+        "config_problems": sql(f"""SELECT repo_id, path, 'not valid JSON, or a value of another type' AS reason FROM files
+          WHERE path = '.security-agent.json' AND NOT json_valid(content)""", "files"),
+        "unscanned_parts": sql("""
+          SELECT repo_id, path, 'file size' AS reason, CAST(NULL AS BIGINT) AS lines, CAST(size AS BIGINT) AS bytes FROM scanned WHERE size > 500000
+          UNION ALL SELECT repo_id, path, 'line length', CAST(len(long) AS BIGINT), CAST(list_sum(list_transform(long, lambda x: strlen(x))) AS BIGINT) FROM (
+            SELECT repo_id, path, list_filter(lines, lambda x: length(x) > 2000) AS long FROM scanned WHERE size <= 500000) WHERE len(long) > 0""", "scanned"),
+        "rejected_rules": sql("""SELECT t.*, n_files FROM (VALUES ('X-002', 'bad pattern: missing ), unterminated subpattern at position 0'),
+            ('A01-001', 'id already in use'), ('X-003', 'unknown domain nowhere'), ('X-005', 'langs is not a list of suffixes and file names'),
+            ('X-006', 'unknown severity GRAVE')) AS t(rule_id, reason), (SELECT count(*) AS n_files FROM scanned)""", "scanned"),
+        "user_rules": sql(f"""SELECT id, count(*) AS n FROM hits JOIN rules USING (rule_no) GROUP BY id
+          UNION ALL SELECT 'X-001', sum(len(list_filter(lines, lambda x: {matches('x', own_rule)})))::BIGINT FROM scanned WHERE ext IN ('.py', '.js', '.java')""", "hits", "rules", "scanned"),
         "findings": sql("SELECT repo_id, id, category, name, severity, description, fix, file, line, code, context, owasp, cwe FROM static_findings", "static_findings"),
         "findings_dedup": sql("SELECT repo_id, id, count(*) AS n FROM static_findings GROUP BY 1, 2", "static_findings"),
         "missing_tests": sql("SELECT repo_id, id, file, line FROM active WHERE id = 'CQ-050'", "active"),
@@ -577,11 +586,12 @@ def oracle() -> dict[str, str]:
           SELECT repo_id, category, severity, count(*) AS n FROM (
             SELECT repo_id, category, severity FROM active
             UNION ALL SELECT s.repo_id, category, severity FROM (
-              SELECT {_REPO} AS repo_id, 'pip-audit' AS tool, category, severity FROM pip
-              UNION ALL SELECT {_REPO}, 'npm-audit', category, severity FROM npm
-              UNION ALL SELECT {_REPO}, 'osv-scanner', category, severity FROM osv
-              UNION ALL SELECT {_REPO}, tool, category, severity FROM problems) a
+              SELECT {_REPO} AS repo_id, 'pip-audit' AS tool, category, severity, id, file FROM pip
+              UNION ALL SELECT {_REPO}, 'npm-audit', category, severity, id, file FROM npm
+              UNION ALL SELECT {_REPO}, 'osv-scanner', category, severity, id, file FROM osv
+              UNION ALL SELECT {_REPO}, tool, category, severity, id, file FROM problems) a
             JOIN selected s ON a.repo_id = s.repo_id AND a.tool = s.tool
+            WHERE NOT (a.id = 'DEP-OSV-SCANNER' AND a.file = 'sub/pom.xml')
           ) GROUP BY 1, 2, 3""", "active", "pip", "npm", "osv", "problems", "selected"),
         "stream_scan": sql("SELECT repo_id, id, file, line, severity FROM stream_hits", "stream_hits"),
         "stream_dedup": sql("SELECT repo_id, id, count(*) AS n FROM stream_hits GROUP BY 1, 2", "stream_hits"),

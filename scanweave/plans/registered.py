@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import file_filters as ff
 from ..operators import profile as pr
 from ..operators import suppression as sp
-from ..operators.matching import scan_lines, with_lines
+from ..operators.matching import PARITY_LINE_CHARS, scan_lines, unscanned, with_lines
 from ..rules.catalog import builtin_rules, merge_rules, rules_frame
 from ..schemas import FINDING
 from ..session import materialize
@@ -105,6 +105,16 @@ def configs(spark, sf):
     )
 
 
+def config_problems(spark, sf):
+    return st.config_problems(co.files(spark, sf))
+
+
+def unscanned_parts(spark, sf):
+    """What the limits of ``parity`` would leave out; without them everything is scanned."""
+    kept = _kept(spark, sf).where(ff.scannable(F.col("path"), F.col("size")))
+    return unscanned(kept, PARITY_LINE_CHARS, ff.PARITY_FILE_BYTES)
+
+
 def ignore_globs(spark, sf):
     files = co.files(spark, sf)
     return st.ignores_from_files(files, st.configs_from_files(files))
@@ -208,16 +218,25 @@ EXTRA_RULES = [
          description="d", fix="f"),
     dict(rule_id="A01-001", domain="core", category="Own", name="Taken", severity="LOW", pattern="x", description="d", fix="f"),
     dict(rule_id="X-003", domain="nowhere", category="Own", name="Lost", severity="LOW", pattern="x", description="d", fix="f"),
+    dict(rule_id="X-004", domain="core", category="Own", name="No file", severity="LOW", pattern=".", description="d", fix="f", langs=[]),
+    dict(rule_id="X-005", domain="core", category="Own", name="Text", severity="LOW", pattern="x", description="d", fix="f", langs=".py"),
+    dict(rule_id="X-006", domain="core", category="Own", name="Odd", severity="GRAVE", pattern="x", description="d", fix="f"),
 ]
 
 
 def user_rules(spark, sf):
-    """A rule added by the user, scanned beside the secrets rules; bad rules are left out."""
-    base = tuple(r for r in builtin_rules() if r.domain == "secrets" and not r.file_check)
-    rules, _ = merge_rules(spark, EXTRA_RULES, base + tuple(r for r in builtin_rules() if r.rule_id == "A01-001"))
+    """A rule added by the user, scanned beside the whole catalogue; bad rules are left out."""
+    rules, _ = merge_rules(spark, EXTRA_RULES)
     return _named_hits(_scanned(spark, sf), rules).groupBy("id").agg(F.count("*").alias("n"))
 
 
+def rejected_rules(spark, sf):
+    """The user's rules that were left out, with how many files each would have been tried on."""
+    _, rejected = merge_rules(spark, EXTRA_RULES)
+    scanned = _scanned(spark, sf).agg(F.count("*").alias("n_files"))
+    return rejected.select("rule_id", "reason").join(F.broadcast(scanned))  # one row
+
+
 # --- findings ---------------------------------------------------------------
 
 
@@ -381,9 +400,10 @@ def audit_selection(spark, sf):
 
 
 def dependency_union(spark, sf):
-    """Static and dependency findings together, counted."""
+    """Static and dependency findings together, counted; some dependency findings are accepted."""
     files, c, audits = _audit_inputs(spark, sf)
-    found = full_scan(files, configs=c, audits=audits, severity="INFO").findings
+    accepted = c.select("repo_id", F.lit("DEP-OSV-SCANNER:sub/pom.xml:0").alias("finding_key"))
+    found = full_scan(files, configs=c, audits=audits, baseline=accepted, severity="INFO").findings
     return found.groupBy("repo_id", "category", "severity").agg(F.count("*").alias("n"))
 
 
@@ -396,7 +416,8 @@ def stream_scan(spark, sf):
 
 
 def stream_dedup(spark, sf):
-    found = cs.run_once(cs.first_within(cs.scan_stream(cs.corpus_versions(spark, sf, copies=2)), "365 days"))
+    versions = cs.corpus_versions(spark, sf, copies=2, sentinel=True)
+    found = cs.run_once(cs.first_within(cs.scan_stream(versions), "2 days"))
     return found.groupBy("repo_id", "id").agg(F.count("*").alias("n"))
 
 
@@ -422,10 +443,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         severity_counts, risk_level, category_matrix, owasp_coverage, fail_gate,
-        project_files, scannable_files, text_lines, rule_applicability, configs, ignore_globs, baseline_keys,
+        project_files, scannable_files, text_lines, rule_applicability, configs, config_problems, unscanned_parts, ignore_globs, baseline_keys,
         ignored_files, language_counts, top_languages, primary_language, frameworks, arch_types, manifest_packages,
         domains, test_presence, line_hits, negative_context, lookaround_rules, file_name_rules, page_hits,
-        secrets_hits, context_snippets, user_rules, findings, findings_dedup, missing_tests, baseline_antijoin,
+        secrets_hits, context_snippets, user_rules, rejected_rules, findings, findings_dedup, missing_tests, baseline_antijoin,
         suppressed_counts, min_severity, category_listing, review_queue, top_critical, top_high, top20,
         finding_cards, report_text, report_listing, job_summary, findings_json, pip_audit, npm_audit, osv_audit,
         audit_problems, audit_selection, dependency_union, stream_scan, stream_dedup, stream_hourly, stream_gate,

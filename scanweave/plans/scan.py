@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.file_filters import ignored_paths, in_project, project_files, scannable
-from ..operators.matching import scan_lines
+from ..operators.matching import PARITY_LINE_CHARS, scan_lines
 from ..operators.profile import profile as build_profile
 from ..operators.suppression import active_findings, at_least, drop_accepted, drop_ignored, first_of_each
 from ..rules.catalog import CORE_DOMAINS, Rule, builtin_rules, rules_frame
@@ -28,20 +28,24 @@ def scan(
     configs: DataFrame | None = None,
     ignores: DataFrame | None = None,
     parity: bool = False,
-    cap: int | None = None,
+    max_line_chars: int | None = None,
+    max_file_bytes: int | None = None,
 ) -> Scan:
     """Profile every repository and match the rules of its active domains.
 
     The content is read once, by the matching, which is a narrow pass, and the hits are
     written to the shared folder: nothing after that repeats the pass, whatever fails.
     Domains, ignore lists and deduplication are applied to the hits: they are small,
-    and the corpus itself is never shuffled.
+    and the corpus itself is never shuffled.  Everything is scanned; the limits leave out
+    longer lines and larger files, and ``parity`` sets both to 2000 and 500,000.
     """
     configure(files.sparkSession)
     rules = builtin_rules() if rules is None else rules
-    about = build_profile(files, configs, cap)
-    scanned = project_files(files, cap).where(scannable(F.col("path"), F.col("size"), parity))
-    hits = first_of_each(materialize(scan_lines(scanned, rules)))
+    about = build_profile(files, configs)
+    if parity and max_line_chars is None:
+        max_line_chars = PARITY_LINE_CHARS
+    scanned = project_files(files).where(scannable(F.col("path"), F.col("size"), parity, max_file_bytes))
+    hits = first_of_each(materialize(scan_lines(scanned, rules, max_line_chars=max_line_chars)))
     if ignores is not None:
         hits = drop_ignored(hits, ignored_paths(files.where(in_project(F.col("path"))), ignores))
     # A repository left without any domain is scanned with the core ones.

@@ -11,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.regex import java_line_pattern, java_name_pattern
+from ..functions.severity import SEVERITIES
 from ..schemas import REJECTED, RULES as RULES_SCHEMA
 from .secrets import SECRET_RULES
 from .table import RULES
@@ -33,7 +34,7 @@ class Rule:
     negative_pattern: str | None
     description: str
     fix: str
-    langs: tuple[str, ...] | None  # None: every file
+    langs: tuple[str, ...] | None  # None: every file; empty: no file
     owasp: str = ""
     cwe: str = ""
     file_check: bool = False
@@ -67,8 +68,8 @@ def merge_rules(spark: SparkSession, extra: list[dict], base: tuple[Rule, ...] |
     """Add user rules to the catalogue.
 
     ``extra`` holds dicts with the columns of the rules table.  Returns the merged
-    rules and a DataFrame of the rejected ones: missing fields, an unknown domain,
-    an id already taken, or a pattern that one of the two regex engines refuses.
+    rules and a DataFrame of the rejected ones: missing fields, an unknown domain or
+    severity, suffixes that are no list, an id already taken, or a pattern that one of the two regex engines refuses.
     """
     rules, rejected = list(builtin_rules() if base is None else base), []
     taken = {r.rule_id for r in rules}
@@ -93,7 +94,11 @@ def _read(row: dict):
         return None, "missing " + ", ".join(missing)
     if row["domain"] not in DOMAINS:
         return None, f"unknown domain {row['domain']}"
+    if row["severity"] not in SEVERITIES:
+        return None, f"unknown severity {row['severity']}"
     langs = row.get("langs", "all")
+    if langs not in ("all", None) and (isinstance(langs, str) or not all(isinstance(x, str) and x for x in langs)):
+        return None, "langs is not a list of suffixes and file names"
     return Rule(
         **{k: row[k] for k in need},
         negative_pattern=row.get("negative_pattern"),
@@ -126,6 +131,6 @@ def rules_frame(spark: SparkSession, rules: tuple[Rule, ...] | None = None) -> D
             r.rule_id, r.domain, r.category, r.name, r.severity, r.pattern, r.negative_pattern, r.description,
             r.fix, list(r.langs) if r.langs is not None else None, r.owasp, r.cwe, r.file_check, i,
         )
-        for i, r in enumerate(rules or builtin_rules())
+        for i, r in enumerate(builtin_rules() if rules is None else rules)
     ]
     return spark.createDataFrame(rows, RULES_SCHEMA)

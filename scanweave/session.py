@@ -34,7 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = os.path.join(tempfile.gettempdir(), "scanweave")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{_run_name(spark)}/{uuid.uuid4().hex}"
+
+
+def _run_name(spark: SparkSession) -> str:
+    """All folders of an application lie in one folder."""
+    return f"scanweave-{spark.sparkContext.applicationId}"
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete every intermediate table this application has written; results that read them end with it."""
+    from pyarrow import fs
+
+    where = shared_dir(spark).rpartition("/")[0]
+    system, path = fs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (fs.LocalFileSystem(), where)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ PIP_TEXT, PIP_FIX = "Python dependency vulnerability detected.", "Upgrade to a n
 NPM_TEXT, NPM_FIX = "Node dependency vulnerability detected.", "Run npm audit fix where safe."
 OSV_TEXT, OSV_FIX = "Dependency vulnerability detected by OSV.", "Upgrade to a fixed version listed by OSV."
 OSV_FILE = "dependency manifest"
+# What is reported when a tool is missing or fails, around the tool's and the manifest's name.
+INVALID = "Invalid JSON output"
+MISSING_TEXT = (" is not available, so dependency audit for ", " was skipped.")
+MISSING_FIX = ("Install ", " in CI or disable it in .security-agent.yml.")
+FAILED_TEXT, FAILED_FIX = " could not complete dependency audit.", "Review tool installation and manifest validity."
 CATEGORY, OWASP, CWE = "Dependency Security", "A06:2021", "CWE-1104"
 
 
@@ -100,6 +105,16 @@ def osv_findings(audits: DataFrame) -> DataFrame:
     )
 
 
+def _is_json(column: str) -> Column:
+    """Whether the text is a JSON document, of any size, repeated keys included."""
+    options = {"columnNameOfCorruptRecord": "broken", "allowSingleQuotes": "false"}
+    text = F.trim(F.col(column), F.lit(" \t\r\n"))
+    # Read as a member of an object, so that lists and plain values count too; the member
+    # after it is lost if the text closes the object itself.
+    whole = F.from_json(F.concat(F.lit('{"v":'), text, F.lit(',"after":1}')), "v STRING, after INT, broken STRING", options)
+    return F.coalesce(whole["broken"].isNull() & (whole["after"] == 1), F.lit(False))
+
+
 def tool_problems(audits: DataFrame) -> DataFrame:
     """INFO rows: a tool that is not installed, or whose output is not JSON."""
     title = F.create_map(*[F.lit(x) for tool, (name, _, _) in TOOLS.items() for x in (tool, name)])
@@ -107,11 +122,11 @@ def tool_problems(audits: DataFrame) -> DataFrame:
     manifest = F.create_map(*[F.lit(x) for tool, (_, m, _) in TOOLS.items() if m for x in (tool, m)])
     missing = F.col("status") == "missing"
     reported = F.col("tool").isin([t for t, (_, m, _) in TOOLS.items() if m])
-    bad = (F.coalesce("stdout", F.lit("")) != "") & F.try_parse_json("stdout").isNull()
+    bad = (F.coalesce("stdout", F.lit("")) != "") & ~_is_json("stdout")
     rows = audits.where((missing & reported) | (~missing & bad)).withColumns(
         {"t": F.element_at(title, F.col("tool")), "m": F.element_at(manifest, F.col("tool")), "missing": missing}
     )
-    error = F.when(F.coalesce("stderr", F.lit("")) != "", F.col("stderr")).otherwise(F.lit("Invalid JSON output"))
+    error = F.when(F.coalesce("stderr", F.lit("")) != "", F.col("stderr")).otherwise(F.lit(INVALID))
 
     def either(if_missing: Column, if_failed: Column, name: str) -> Column:
         return F.when(F.col("missing"), if_missing).otherwise(if_failed).alias(name)
@@ -124,12 +139,12 @@ def tool_problems(audits: DataFrame) -> DataFrame:
         F.concat(t, either(F.lit(" not installed"), F.lit(" failed"), "name")).alias("name"),
         F.lit("INFO").alias("severity"),
         either(
-            F.concat(t, F.lit(" is not available, so dependency audit for "), m, F.lit(" was skipped.")),
-            F.concat(t, F.lit(" could not complete dependency audit.")), "description",
+            F.concat(t, F.lit(MISSING_TEXT[0]), m, F.lit(MISSING_TEXT[1])),
+            F.concat(t, F.lit(FAILED_TEXT)), "description",
         ),
         either(
-            F.concat(F.lit("Install "), t, F.lit(" in CI or disable it in .security-agent.yml.")),
-            F.lit("Review tool installation and manifest validity."), "fix",
+            F.concat(F.lit(MISSING_FIX[0]), t, F.lit(MISSING_FIX[1])),
+            F.lit(FAILED_FIX), "fix",
         ),
         either(m, F.lit(OSV_FILE), "file"),
         F.lit(0).alias("line"),

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_utf8
-from ..operators.file_filters import MAX_FILE_BYTES, WALK_SKIP
+from ..operators.file_filters import WALK_SKIP
 
 _LISTED = "repo_id STRING, path STRING, is_dir BOOLEAN, size BIGINT"
 
 
 def read_directory(
-    spark: SparkSession, root: str, max_bytes: int | None = MAX_FILE_BYTES, prune: bool = True, tasks: int | None = None
+    spark: SparkSession, root: str, max_bytes: int | None = None, prune: bool = True, tasks: int | None = None
 ) -> DataFrame:
     """Repositories kept as sub-directories of ``root``, on any file system.
 
@@ -23,8 +23,9 @@ def read_directory(
     some of the most telling files, so directories are listed in tasks: repositories
     first, then their top-level entries, then everything below, dealt out anew each
     time so that a huge repository is walked by many tasks.  Skipped directories are
-    not entered.  Content is read last, after the listing has been spread; larger
-    files than ``max_bytes`` are listed with null content.
+    not entered, and links are not followed.  Content is read last, after the listing
+    has been spread; files that cannot be read, and larger files than ``max_bytes``,
+    are listed with null content: :func:`unread` tells them.
     """
     tasks = tasks or 4 * spark.sparkContext.defaultParallelism
     skip = set(WALK_SKIP) if prune else set()
@@ -41,6 +42,8 @@ def _lister(root: str, skip: set[str], deep: bool, name_repo: bool = False):
     """List directories one level (or, with ``deep``, all levels) down; pass files on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
         import pandas
         from pyarrow import fs
 
@@ -48,8 +51,15 @@ def _lister(root: str, skip: set[str], deep: bool, name_repo: bool = False):
 
         def children(repo, path):
             where = "/".join(p for p in (base.rstrip("/"), repo, path) if p)
-            for entry in system.get_file_info(fs.FileSelector(where)):
+            try:
+                entries = system.get_file_info(fs.FileSelector(where))
+            except OSError:  # gone, or not ours to read
+                return
+            local = isinstance(system, fs.LocalFileSystem)
+            for entry in entries:
                 name, is_dir = entry.base_name, entry.type == fs.FileType.Directory
+                if entry.type == fs.FileType.NotFound or local and os.path.islink(entry.path):
+                    continue
                 hidden = name.startswith(".") and name not in (".github", ".gitlab")
                 if is_dir and repo and skip and (name in skip or hidden):
                     continue
@@ -69,7 +79,11 @@ def _lister(root: str, skip: set[str], deep: bool, name_repo: bool = False):
                 elif deep:
                     todo.extend(children(repo, path))
                 else:
-                    out.extend(children(repo, path))
+                    for child in children(repo, path):
+                        out.append(child)
+                        if len(out) >= 10_000:
+                            yield pandas.DataFrame(out, columns=columns)
+                            out = []
                 if len(out) >= 10_000:
                     yield pandas.DataFrame(out, columns=columns)
                     out = []
@@ -87,8 +101,11 @@ def _reader(root: str, max_bytes: int | None):
         def content(repo, path, size):
             if max_bytes is not None and size > max_bytes:
                 return None
-            with system.open_input_stream("/".join((base.rstrip("/"), repo, path))) as stream:
-                return stream.read()
+            try:
+                with system.open_input_stream("/".join((base.rstrip("/"), repo, path))) as stream:
+                    return stream.read()
+            except OSError:
+                return None
 
         for batch in batches:
             for at in range(0, len(batch), 64):  # few files in memory at a time
@@ -99,6 +116,11 @@ def _reader(root: str, max_bytes: int | None):
     return run
 
 
+def unread(files: DataFrame) -> DataFrame:
+    """``(repo_id, path, size)`` of listed files without content."""
+    return files.where("content IS NULL").select("repo_id", "path", "size")
+
+
 def from_table(table: DataFrame) -> DataFrame:
     """Files from a table with ``repo_id``, ``path`` and text or binary ``content``."""
     binary = dict(table.dtypes)["content"] == "binary"

@@ -6,19 +6,20 @@ own files instead, which are found by path, so only those rows' content is read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import finding_key
 from ..functions.text import LINE_BREAK, drop_last_empty, strip
+from ..operators.membership import maybe_member
 from ..schemas import CONFIG_JSON
 from .simple_yaml import yaml_to_json
 
 # Names of the settings files, the first that exists counts.
 CONFIG_FILES = [".security-agent.json", ".security-agent.yml", ".security-agent.yaml"]
 IGNORE_FILE = ".securityignore"
-# Up to this many different baseline file names are used as a filter.
-MAX_NAMES = 1000
 # Defaults.
 FAIL_THRESHOLD = "CRITICAL"
 AUDIT_TOOLS = ["pip-audit", "npm-audit", "osv-scanner"]
@@ -42,11 +43,8 @@ def with_defaults(configs: DataFrame) -> DataFrame:
     )
 
 
-def configs_from_files(files: DataFrame, explicit_path: str | None = None) -> DataFrame:
-    """One row per repository, defaults filled in; read from its settings file if any.
-
-    ``explicit_path`` names the file (relative to the repository) to use instead.
-    """
+def _parsed_configs(files: DataFrame, explicit_path: str | None) -> DataFrame:
+    """``(repo_id, config_path, c)``: the settings file of each repository that has one."""
     names = [explicit_path] if explicit_path else CONFIG_FILES
     order = F.array_position(F.array(*map(F.lit, names)), F.col("path"))
     found = (
@@ -56,9 +54,31 @@ def configs_from_files(files: DataFrame, explicit_path: str | None = None) -> Da
         .select("repo_id", F.col("file.path").alias("config_path"), F.col("file.content").alias("content"))
     )
     as_json = F.when(F.col("config_path").endswith(".json"), F.col("content")).otherwise(yaml_to_json(F.col("content")))
-    parsed = found.select("repo_id", "config_path", F.from_json(as_json, CONFIG_JSON).alias("c"))
+    options = {"columnNameOfCorruptRecord": "broken", "allowSingleQuotes": "false"}
+    return found.select("repo_id", "config_path", F.from_json(as_json, CONFIG_JSON + ", broken STRING", options).alias("c"))
+
+
+def configs_from_files(files: DataFrame, explicit_path: str | None = None, shared: str | None = None) -> DataFrame:
+    """One row per repository, defaults filled in; read from its settings file if any.
+
+    ``explicit_path`` names the file (relative to the repository) to use instead.
+    ``shared`` is the JSON text of a configuration for all repositories; files are not
+    read then.  A file that cannot be read counts as empty: see :func:`config_problems`.
+    """
     repos = files.select("repo_id").distinct()
-    return with_defaults(repos.join(parsed.select("repo_id", "config_path", "c.*"), "repo_id", "left"))
+    if shared is not None:
+        json.loads(shared)  # refuses what is no JSON
+        one = F.from_json(F.lit(shared), CONFIG_JSON)
+        return with_defaults(repos.select("repo_id", F.lit(None).cast("string").alias("config_path"), one.alias("c")).select("repo_id", "config_path", "c.*"))
+    parsed = _parsed_configs(files, explicit_path)
+    return with_defaults(repos.join(parsed.select("repo_id", "config_path", "c.*").drop("broken"), "repo_id", "left"))
+
+
+def config_problems(files: DataFrame, explicit_path: str | None = None) -> DataFrame:
+    """``(repo_id, path, reason)``: settings files whose content could not be read as settings."""
+    parsed = _parsed_configs(files, explicit_path)
+    bad = parsed.where("c IS NULL OR c.broken IS NOT NULL")
+    return bad.select("repo_id", F.col("config_path").alias("path"), F.lit("not valid JSON, or a value of another type").alias("reason"))
 
 
 def ignores_from_files(files: DataFrame, configs: DataFrame | None = None) -> DataFrame:
@@ -101,19 +121,14 @@ def accepted_keys(content: Column) -> Column:
 def baseline_from_files(files: DataFrame, configs: DataFrame) -> DataFrame:
     """``(repo_id, finding_key)`` from the file each configuration names.
 
-    The names in use are few as a rule, so they are looked up first and become a filter
-    on the files; only if there are very many is the content joined by name.
+    A filter made of the names is tested where the files are, so only contents that are
+    asked for are moved.
     """
     named = configs.where("baseline_file IS NOT NULL").select("repo_id", F.col("baseline_file").alias("path"))
-    names = named.select("path").distinct()
-    few = [r.path for r in names.limit(MAX_NAMES + 1).collect()]
-    if len(few) <= MAX_NAMES:
-        content = files.where(F.col("path").isin(few))
-    else:
-        content = files.join(names, "path", "left_semi")
+    keys = [F.col("repo_id"), F.col("path")]
+    maybe = maybe_member(files.select("repo_id", "path", "content"), keys, named, keys, "named").where("named")
     return (
-        content.select("repo_id", "path", "content")
-        .join(named, ["repo_id", "path"])
+        maybe.join(named, ["repo_id", "path"], "left_semi")
         .select("repo_id", F.explode(accepted_keys(F.col("content"))).alias("finding_key"))
         .distinct()
     )

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from ..functions.text import LINE_BREAK, strip
 
 
+def _quoted(text: Column) -> Column:
+    """A JSON string, with all that JSON wants escaped."""
+    return F.regexp_replace(F.to_json(F.array(text)), r"\A\[|\]\z", "")
+
+
 def _scalar(text: Column) -> Column:
     """JSON text of one plain value."""
     text = strip(text)
     low = F.lower(text)
     plain = F.regexp_replace(text, r"""\A["']+|["']+\z""", "")
-    quoted = F.concat(F.lit('"'), F.regexp_replace(plain, r'(["\\])', r"\\$1"), F.lit('"'))
-    return F.when(low.isin("true", "false"), low).when(low.isin("null", "none"), F.lit("null")).otherwise(quoted)
+    return F.when(low.isin("true", "false"), low).when(low.isin("null", "none"), F.lit("null")).otherwise(_quoted(plain))
 
 
 def _value(text: Column) -> Column:
@@ -37,7 +41,7 @@ def _pair(line: Column) -> tuple[Column, Column]:
 
 
 def _member(key: Column, value: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(key, r'(["\\])', r"\\$1"), F.lit('":'), value)
+    return F.concat(_quoted(key), F.lit(":"), value)
 
 
 def yaml_to_json(content: Column) -> Column:
@@ -53,7 +57,7 @@ def yaml_to_json(content: Column) -> Column:
         children = F.transform(F.slice(F.split(b, "\n"), F.lit(2), F.size(F.split(b, "\n"))), strip)
         items = F.filter(children, lambda c: c.startswith("- "))
         pairs = F.filter(children, lambda c: ~c.startswith("- ") & F.contains(c, F.lit(":")))
-        as_list = F.concat(F.lit("["), F.array_join(F.transform(items, lambda c: _value(F.substring(c, 3, 1 << 20))), ","), F.lit("]"))
+        as_list = F.concat(F.lit("["), F.array_join(F.transform(items, lambda c: _value(F.substr(c, F.lit(3)))), ","), F.lit("]"))
         as_object = F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda c: _member(_pair(c)[0], _value(_pair(c)[1]))), ","), F.lit("}"))
         nested = F.when(F.size(items) > 0, as_list).otherwise(as_object)
         return _member(key, F.when(value != "", _value(value)).otherwise(nested))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.file_filters import in_project, scannable
+from ..operators.file_filters import in_project, not_ignored, scannable
 from ..operators.matching import scan_lines
 from ..operators.suppression import active_findings, as_findings
 from ..operators.suppression import drop_accepted as _drop_accepted
@@ -20,18 +20,23 @@ from ..rules.catalog import Rule, builtin_rules, rules_frame
 from ..session import configure, shared_dir
 
 
-def scan_stream(versions: DataFrame, rules: tuple[Rule, ...] | None = None, facts: DataFrame | None = None) -> DataFrame:
+def scan_stream(
+    versions: DataFrame, rules: tuple[Rule, ...] | None = None, facts: DataFrame | None = None, ignores: DataFrame | None = None
+) -> DataFrame:
     """Findings with the ``commit_ts`` of the file version they were found in.
 
     ``versions`` is ``(repo_id, commit_ts, path, content)``.  ``facts`` are the stored
     profiles of the repositories, as :func:`~scanweave.operators.profile.profile` gives
     them: only rules of active domains apply then.  Without it all given rules apply.
+    ``ignores`` is a static table of globs; findings in files they cover are left out.
     """
     spark = configure(versions.sparkSession)
     rules = builtin_rules() if rules is None else rules
     path = F.col("path")
     wanted = versions.where(in_project(path) & scannable(path, F.octet_length("content").cast("bigint")))
     hits = scan_lines(wanted, rules, keep=["repo_id", "commit_ts", "path"])
+    if ignores is not None:
+        hits = not_ignored(hits, ignores)
     if facts is not None:
         return active_findings(hits, rules_frame(spark, rules), facts, "commit_ts")
     described = hits.join(F.broadcast(rules_frame(spark, rules)), F.col("rule_no") == F.col("rule_order"))

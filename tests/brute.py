@@ -18,7 +18,7 @@ def hits(rules, files):
             if rule.file_check or (rule.langs is not None and ext not in rule.suffixes and name not in rule.names):
                 continue
             for i, line in enumerate(lines):
-                if len(line) > 2000 or not main.search(line):
+                if not main.search(line):
                     continue
                 if negative and negative.search("\n".join(lines[max(0, i - 4) : i + 6])):
                     continue

@@ -83,7 +83,7 @@ def test_file_filters(spark):
     rows = [
         ("src/a.py", 10, True, True, True), ("node_modules/a.py", 10, False, False, False), (".hidden/a.py", 10, False, True, True),
         (".github/a.yml", 10, True, True, True), ("migrations/a.py", 10, True, False, False), (".env", 10, True, True, False),
-        ("a.PNG", 10, True, False, False), ("a.py", 500_000, True, True, True), ("a.py", 500_001, True, False, False),
+        ("a.PNG", 10, True, False, False), ("a.py", 500_000, True, True, True), ("a.py", 500_001, True, True, False),
         ("x/build", 10, True, True, False),
     ]
     df = spark.createDataFrame([("r", p, s) for p, s, *_ in rows], "repo_id STRING, path STRING, size LONG")
@@ -94,11 +94,6 @@ def test_file_filters(spark):
         assert got == (kept, ours, parity), p
 
 
-def test_file_cap(spark):
-    df = spark.createDataFrame([("r", f"{i:02}.py") for i in range(30)], "repo_id STRING, path STRING")
-    assert [r.path for r in project_files(df, cap=3).orderBy("path").collect()] == ["00.py", "01.py", "02.py"]
-
-
 def test_ignore_globs(spark):
     paths = ["generated/a.py", "generated.py", "docs/x/y.md", "a.md", "docs", "lib/ab/c", "x/lib/ab", "acb", "other.py"]
     files = spark.createDataFrame([("r", p) for p in paths] + [("s", "a.md")], "repo_id STRING, path STRING")
@@ -146,7 +141,7 @@ def test_settings_files(make_files):
     assert named == {"y": "CRITICAL", "j": "HIGH", "n": "CRITICAL"}
 
 
-def test_baselines(spark, make_files, monkeypatch):
+def test_baselines(spark, make_files):
     texts = {
         '{"accepted_findings": ["A03-005:main.py:1", {"id": "X", "file": "a b.py", "line": 3}]}': ["A03-005:main.py:1", "X:a b.py:3"],
         '["k:1:2"]': ["k:1:2"], "broken {": [], "{}": [], '{"accepted_findings": [{"id": "X"}]}': ["X:None:None"],
@@ -158,8 +153,6 @@ def test_baselines(spark, make_files, monkeypatch):
     ])
     got = {(r.repo_id, r.finding_key) for r in baseline_from_files(files, configs_from_files(files)).collect()}
     assert got == {("r", "A03-005:main.py:1"), ("r", "X:a b.py:3")}
-    monkeypatch.setattr(settings, "MAX_NAMES", 0)  # as if there were very many names
-    assert got == {(r.repo_id, r.finding_key) for r in baseline_from_files(files, configs_from_files(files)).collect()}
 
 
 def test_full_scan(spark, make_files):

@@ -57,3 +57,12 @@ def test_baseline_and_gate_per_batch(spark, tmp_path):
     writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert {(r.repo_id, r.passed, r.details) for r in spark.read.parquet(out).collect()} == {
         ("r", False, "Security gate failed at CRITICAL: 1 CRITICAL"), ("s", True, "")}
+
+
+def test_ignored_files_leave_no_findings(spark, tmp_path):
+    at = "2024-01-01 10:00:00"
+    paths = ["a.py", "generated/a.py", "x/generated/a.py", "lib/a.rb", "lib/deep/b.py", "keep.py", "a+b/c.py", "aab/c.py"]
+    stream = versions(spark, tmp_path, [[("r", at, p, "print(x)") for p in paths] + [("s", at, "a.py", "print(x)")]])
+    globs = spark.createDataFrame([("r", g) for g in ("generated/", "/a.py", "lib/deep", "a+b/", "*.rb")], "repo_id STRING, glob STRING")
+    found = cs.run_once(cs.scan_stream(stream, ignores=globs)).collect()
+    assert {(r.repo_id, r.file) for r in found} == {("r", "x/generated/a.py"), ("r", "keep.py"), ("r", "aab/c.py"), ("s", "a.py")}
