@@ -126,7 +126,7 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, weight: float = 5.0, steps
 
 
 def train(
-    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, seen: int = 80_000, batch: int = 64,
+    rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, seen: int = 60_000, batch: int = 64,
     rate: float = 0.5, seed: int = 0, start_sq: float = 1e-3,
 ) -> tuple[np.ndarray, float]:
     """Fit embeddings and softmax together; returns ``(logit share by bucket, bias)``.
@@ -145,7 +145,7 @@ def train(
             picked = order[start:start + batch]
             lengths = np.array([len(rows[i][0]) for i in picked])
             bucket = np.concatenate([rows[i][0] for i in picked])
-            share = np.concatenate([rows[i][1] / (rows[i][1].sum() + PRIOR) for i in picked]).astype(np.float32)
+            share = np.concatenate([rows[i][1] / (float(rows[i][1].sum()) + PRIOR) for i in picked]).astype(np.float32)
             begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             mean = np.add.reduceat(embed[bucket] * share[:, None], begins, axis=0)
             logits = mean @ out + bias

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import subwords
 from .common import map_batches, packed, ship, text_of
 
-MAX_ROWS = 8192
+MAX_ROWS = 4096
 MAX_BYTES = 1 << 14
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
@@ -49,17 +49,17 @@ def held_out(id_col: str) -> Column:
 
 
 def _bag_batches(batches):
-    """``(key, label, text)`` to one row per window."""
+    """``(key, label, text)`` to one row per window; numbers travel as bytes."""
     for batch in batches:
         keys, labels, found = [], [], []
         for key, label, text in zip(*(column.to_pylist() for column in batch.columns)):
             windows = subwords.bags(text)
             keys += [key] * len(windows)
             labels += [label] * len(windows)
-            found += windows
-        lists = [pa.array([w[i].tolist() for w in found], type=pa.list_(pa.int32())) for i in (0, 1)]
+            found += [(bucket.tobytes(), count.astype(np.uint8).tobytes()) for bucket, count in windows]
+        packed_bags = [pa.array([w[i] for w in found], type=pa.binary()) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, type=pa.int64()), pa.array(labels, type=pa.int32()), *lists], names=["key", "label", "bucket", "count"]
+            [pa.array(keys, type=pa.int64()), pa.array(labels, type=pa.int32()), *packed_bags], names=["key", "label", "bucket", "count"]
         )
 
 
@@ -75,16 +75,14 @@ def fit(
     chosen = known.orderBy(order, "_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).cast("binary").alias("text"))
     sample = texts.where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "_id")
-    # An id that occurs again may bring more rows than were chosen.
-    sample = sample.orderBy(order, "_id", "text").limit(max_rows).select(order.alias("key"), "label", "text")
-    table = map_batches(sample, _bag_batches, "key long, label int, bucket array<int>, count array<int>").toArrow()
-    table = table.combine_chunks()
+    # An id that occurs again stays one row.
+    sample = sample.groupBy("_id", "label").agg(F.min("text").alias("text")).select(order.alias("key"), "label", "text")
+    table = map_batches(sample, _bag_batches, "key long, label int, bucket binary, count binary").toArrow()
     keys, targets = table.column("key").to_numpy(), table.column("label").to_numpy().astype(np.int64)
-    windows = []
-    if table.num_rows:
-        lists = [table.column(c).chunk(0) for c in ("bucket", "count")]
-        cuts = lists[0].offsets.to_numpy()[1:-1]
-        windows = list(zip(*(np.split(c.flatten().to_numpy(), cuts) for c in lists)))
+    windows = [
+        (np.frombuffer(bucket, dtype=np.int32), np.frombuffer(count, dtype=np.uint8))
+        for bucket, count in zip(table.column("bucket").to_pylist(), table.column("count").to_pylist())
+    ]
     # Sorted by key, so that the fit does not depend on the order in which tasks ended.
     order_of = sorted(range(len(windows)), key=lambda i: (int(keys[i]), windows[i][0].tobytes()))
     if len(set(targets.tolist())) < 2:
@@ -100,7 +98,7 @@ def _curve(windows, keys, targets, order_of, weights, bias) -> tuple[float, floa
     for i in order_of:
         if keys[i] % 4 == 0:
             bucket, count = windows[i]
-            logit = bias + float((weights[bucket] * count).sum() / (count.sum() + subwords.PRIOR))
+            logit = bias + float((weights[bucket] * count).sum() / (int(count.sum()) + subwords.PRIOR))
             key = int(keys[i])
             top[key] = (max(logit, top[key][0]) if key in top else logit, int(targets[i]))
     if not top:
