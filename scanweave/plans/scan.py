@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.file_filters import ignored_paths, in_project, project_files, scannable
+from ..operators.file_filters import not_ignored, project_files, scannable
 from ..operators.matching import PARITY_LINE_CHARS, scan_lines
 from ..operators.profile import profile as build_profile
-from ..operators.suppression import active_findings, at_least, drop_accepted, drop_ignored, first_of_each
+from ..operators.suppression import active_findings, at_least, drop_accepted, first_of_each
 from ..rules.catalog import CORE_DOMAINS, Rule, builtin_rules, rules_frame
 from ..session import configure, materialize
 from ..sources.audits import audit_findings, selected_audits
@@ -41,13 +41,14 @@ def scan(
     """
     configure(files.sparkSession)
     rules = builtin_rules() if rules is None else rules
-    about = build_profile(files, configs)
+    # One row per repository, used by the findings and by every report.
+    about = materialize(build_profile(files, configs))
     if parity and max_line_chars is None:
         max_line_chars = PARITY_LINE_CHARS
     scanned = project_files(files).where(scannable(F.col("path"), F.col("size"), parity, max_file_bytes))
     hits = first_of_each(materialize(scan_lines(scanned, rules, max_line_chars=max_line_chars)))
     if ignores is not None:
-        hits = drop_ignored(hits, ignored_paths(files.where(in_project(F.col("path"))), ignores))
+        hits = not_ignored(hits, ignores)
     # A repository left without any domain is scanned with the core ones.
     domains = F.when(F.size("security_domains") > 0, F.col("security_domains")).otherwise(F.array(*map(F.lit, CORE_DOMAINS)))
     facts = about.withColumn("security_domains", domains)
