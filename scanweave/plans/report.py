@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import SEVERITIES, cwe_link, severity_rank
 from ..operators.ranking import first_rows, number_within
-from ..operators.suppression import join_repo_facts
 from ..schemas import FINDING, SEQ
 
 # The OWASP Top 10 of 2021.
@@ -95,15 +94,14 @@ def review_queue(findings: DataFrame) -> DataFrame:
     """All findings, numbered i of N per repository, highest severity first, and
     numbered within their severity."""
     ranked = findings.withColumn("rank", severity_rank(F.col("severity")))
-    numbered = number_within(ranked, ["repo_id"], ["rank", *SEQ], "position")
     sizes = findings.groupBy("repo_id").agg(*_counts(), F.count("*").alias("total"))
     before, higher = F.lit(0), F.lit(0)
     for i, s in enumerate(SEVERITIES):
         before = F.when(F.col("rank") == i, higher).otherwise(before)
         higher = higher + F.col(s.lower())
     before = F.when(F.col("rank") > 4, higher).otherwise(before)
-    joined = join_repo_facts(numbered, sizes, ["file", "line"])
-    return joined.withColumn("ordinal", F.col("position") - before).select(
+    numbered = number_within(ranked, ["repo_id"], ["rank", *SEQ], "position", sizes)
+    return numbered.withColumn("ordinal", F.col("position") - before).select(
         *FINDING, *[c for c in SEQ if c not in FINDING], "rank", "position", "total", "ordinal"
     )
 
