@@ -87,10 +87,14 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages"))
+    return as_files(spread(table(spark, sf_dir, "pages"))).drop("page_id")
+
+
+def as_files(pages: DataFrame) -> DataFrame:
+    """Each row of ``pages``, batch or stream, as a file of its site."""
     name = _pick(PAGE_NAMES, F.col("page_id") % len(PAGE_NAMES))
     return pages.select(
-        F.regexp_extract("url", "https?://([^/]+)", 1).alias("repo_id"),
+        "page_id", F.regexp_extract("url", "https?://([^/]+)", 1).alias("repo_id"),
         F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit("/"), name).alias("path"),
         F.concat("html", F.lit(PAGE_LINES)).alias("content"),
     )

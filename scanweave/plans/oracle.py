@@ -374,11 +374,14 @@ PARTS["selected"] = (["configs", "files"], """
   SELECT repo_id, tool FROM (SELECT repo_id, unnest(audit_tools) AS tool FROM configs WHERE audit_enabled) c
   WHERE tool = 'osv-scanner' OR EXISTS (SELECT 1 FROM files f WHERE f.repo_id = c.repo_id
     AND f.path = CASE tool WHEN 'pip-audit' THEN 'requirements.txt' ELSE 'package.json' END)""")
-PARTS["stream_hits"] = (["raw_hits", "docs", "rules", "scanned"], """
+PARTS["arrivals"] = (["docs", "kept"], """
+  SELECT repo_id, path, d FROM docs
+  UNION ALL SELECT repo_id, path, CAST(string_split(path, '/')[2] AS BIGINT) FROM kept WHERE starts_with(path, 'site/')""")
+PARTS["stream_hits"] = (["raw_hits", "arrivals", "rules", "scanned"], """
   SELECT h.repo_id, d.d, h.path AS file, CAST(h.n AS INT) AS line, r.id, r.severity FROM raw_hits h
-  JOIN docs d ON h.repo_id = d.repo_id AND h.path = d.path JOIN rules r USING (rule_no) WHERE NOT h.cancelled
+  JOIN arrivals d ON h.repo_id = d.repo_id AND h.path = d.path JOIN rules r USING (rule_no) WHERE NOT h.cancelled
   UNION ALL
-  SELECT s.repo_id, d.d, s.path, 0, 'SEC-010', 'HIGH' FROM scanned s JOIN docs d ON s.repo_id = d.repo_id AND s.path = d.path
+  SELECT s.repo_id, d.d, s.path, 0, 'SEC-010', 'HIGH' FROM scanned s JOIN arrivals d ON s.repo_id = d.repo_id AND s.path = d.path
   WHERE s.name = '.env'""")
 
 _DEP = "repo_id, id, name, severity, description, fix, file, code, context, owasp, cwe"
@@ -597,6 +600,12 @@ def oracle() -> dict[str, str]:
         "stream_dedup": sql("SELECT repo_id, id, count(*) AS n FROM stream_hits GROUP BY 1, 2", "stream_hits"),
         "stream_hourly": sql("""SELECT date_trunc('hour', TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(d AS BIGINT))) AS window_start, severity, count(*) AS n
           FROM stream_hits GROUP BY 1, 2""", "stream_hits"),
+        "stream_sliding": sql("""SELECT window_start, severity, count(*) AS n FROM (
+            SELECT severity, unnest([w, w - INTERVAL 2 HOURS, w - INTERVAL 4 HOURS]) AS window_start FROM (
+              SELECT severity, time_bucket(INTERVAL 2 HOURS, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(d AS BIGINT)), TIMESTAMP '2024-01-01 00:00:00') AS w FROM stream_hits)
+          ) GROUP BY 1, 2""", "stream_hits"),
+        "severity_heads": sql(f"""SELECT DISTINCT repo_id, CAST(5 + rank AS INT) AS section,
+            chr(10) || '## ' || {_MARK} || ' ' || severity || ' Severity Findings' || chr(10) AS text FROM queue WHERE rank < 4""", "queue"),
         "stream_gate": sql(_GATE.format("""SELECT repo_id, 'CRITICAL' AS fail_threshold, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
             count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (severity = 'INFO') AS info
           FROM stream_hits s WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.repo_id = s.repo_id AND b.finding_key = s.id || ':' || s.file || ':' || s.line) GROUP BY repo_id"""), "stream_hits", "baseline"),

@@ -349,6 +349,13 @@ def report_text(spark, sf):
     return blocks.where(~F.col("section").between(docs.LISTS, docs.LISTING))
 
 
+def severity_heads(spark, sf):
+    profile, found, c = _reported(spark, sf)
+    blocks = docs.report_blocks(profile, found, c, F.lit(CLOCK).cast("timestamp"))
+    heads = blocks.where(F.col("section").between(docs.LISTS, docs.LISTS + 3) & (F.col("block") == 0))
+    return heads.select("repo_id", F.col("section").cast("int").alias("section"), "text")
+
+
 def report_listing(spark, sf):
     profile, found, c = _reported(spark, sf)
     blocks = docs.report_blocks(profile, found, c, F.lit(CLOCK).cast("timestamp"))
@@ -431,7 +438,14 @@ def stream_gate(spark, sf):
     files = co.files(spark, sf)
     baseline = st.baseline_from_files(files, st.configs_from_files(files))
     found = cs.drop_accepted(cs.scan_stream(cs.corpus_versions(spark, sf)), baseline)
-    return rp.gate(rp.severity_counts(cs.run_once(found)))
+    return cs.gate_once(found).drop("batch")
+
+
+def stream_sliding(spark, sf):
+    """Findings per six hours, counted every two."""
+    found = cs.scan_stream(cs.corpus_versions(spark, sf, sentinel=True))
+    counts = cs.run_once(cs.per_window(found, "6 hours", "2 hours", delay="1 day"))
+    return counts.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "severity", "n")
 
 
 LOOKAROUND = [
@@ -449,6 +463,6 @@ QUERIES = {
         secrets_hits, context_snippets, user_rules, rejected_rules, findings, findings_dedup, missing_tests, baseline_antijoin,
         suppressed_counts, min_severity, category_listing, review_queue, top_critical, top_high, top20,
         finding_cards, report_text, report_listing, job_summary, findings_json, pip_audit, npm_audit, osv_audit,
-        audit_problems, audit_selection, dependency_union, stream_scan, stream_dedup, stream_hourly, stream_gate,
+        audit_problems, audit_selection, dependency_union, stream_scan, stream_dedup, stream_hourly, stream_sliding, stream_gate, severity_heads,
     )
 }

@@ -65,6 +65,19 @@ def gate_batches(findings: DataFrame, write: Callable[[DataFrame, int], None], c
     return findings.writeStream.foreachBatch(lambda batch, no: write(gate(severity_counts(batch), configs), no))
 
 
+def gate_once(findings: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """The gate of every micro-batch of what is there, ``batch`` being its number."""
+    base = shared_dir(findings.sparkSession)
+
+    def write(rows: DataFrame, no: int) -> None:
+        # A batch that is repeated after a failure replaces what it wrote before.
+        rows.write.mode("overwrite").parquet(f"{base}/out/batch={no}")
+
+    query = gate_batches(findings, write, configs).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return findings.sparkSession.read.parquet(f"{base}/out")
+
+
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Process what is there, into files in the shared folder, and read them back."""
     base = shared_dir(stream.sparkSession)
@@ -77,16 +90,21 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def corpus_versions(spark: SparkSession, sf_dir: str, copies: int = 1, sentinel: bool = False) -> DataFrame:
-    """The documents as a stream of file versions, one document per minute.
+    """Documents and pages as a stream of file versions, one of each per minute.
 
     ``copies`` versions of each file arrive a minute apart.  With ``sentinel`` one
     file far in the future follows, which closes all windows before it."""
     configure(spark)
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
-    start = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(doc_id AS INT), 0)"
+
+    def arriving(name: str) -> DataFrame:
+        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+        return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+    files = corpus.plant(arriving("documents")).select("repo_id", F.col("doc_id").alias("minute"), "path", "content")
+    files = files.unionByName(corpus.as_files(arriving("pages")).withColumnRenamed("page_id", "minute"))
+    start = "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(minute AS INT), 0)"
     times = [f"{start} + INTERVAL {i} MINUTES" for i in range(copies)]
     if sentinel:
-        times.append(f"IF(doc_id = 1, {start} + INTERVAL 100 YEARS, NULL)")
+        times.append(f"IF(minute = 1, {start} + INTERVAL 100 YEARS, NULL)")
     seen = F.expr(f"explode(filter(array({', '.join(times)}), t -> t IS NOT NULL))")
-    return corpus.plant(arriving).select("repo_id", seen.alias("commit_ts"), "path", "content")
+    return files.select("repo_id", seen.alias("commit_ts"), "path", "content")
