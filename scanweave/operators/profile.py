@@ -8,7 +8,7 @@ sends one small row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, parent, suffix
@@ -142,13 +142,19 @@ def _from_bits(mask: str, names: list[str]) -> str:
 
 
 def repo_signals(files: DataFrame) -> DataFrame:
-    """One row per repository: file count, frameworks, architecture types and flags."""
+    """One row per repository: file count, languages, frameworks, architecture types and flags.
+
+    Signals are combined per language first, so one pass over the paths serves all; the
+    second step has as many rows per repository as it has languages.
+    """
     names, labels = list(FRAMEWORKS), list(FRAMEWORKS.values())
     low, high = names[:32], names[32:]
     web = f"lname IN ({_list(WEB_NAMES)}) OR {_starts('lpath', WEB_STARTS)}"
     pipeline = f"lname IN ({_list(PIPELINE_NAMES)}) OR {_starts('lpath', PIPELINE_STARTS)} OR {_contains('lpath', PIPELINE_PARTS)}"
-    counted = path_columns(files).groupBy("repo_id").agg(
-        F.count("*").alias("total_files"),
+    table = F.expr(f"map({_list([x for pair in LANGUAGES.items() for x in pair])})")
+    by_language = path_columns(files).groupBy("repo_id", F.element_at(table, F.col("ext")).alias("lang")).agg(
+        F.count("*").alias("n"),
+        F.min("path").alias("first_path"),
         F.expr(f"bit_or({_bit_of(low, 'name')} | {_bit_of(low, 'lname')})").alias("fw_low"),
         F.expr(f"bit_or({_bit_of(high, 'name')} | {_bit_of(high, 'lname')})").alias("fw_high"),
         F.expr(f"bit_or({_bits([_contains('ldir', w) for w in DIRECTORY_FRAMEWORKS.values()])})").alias("dir_bits"),
@@ -158,13 +164,18 @@ def repo_signals(files: DataFrame) -> DataFrame:
         F.expr(f"bool_or(lname IN ({_list(AI_NAMES)}))").alias("ai_files"),
         F.expr(f"bool_or({test_file_sql()})").alias("has_tests"),
     )
+    bits, flags = ["fw_low", "fw_high", "dir_bits", "arch_bits"], ["web_files", "pipeline_files", "ai_files", "has_tests"]
+    counted = by_language.groupBy("repo_id").agg(
+        F.sum("n").alias("total_files"), _top_languages(F.col("lang").isNotNull()).alias("languages"),
+        *[F.bit_or(b).alias(b) for b in bits], *[F.bool_or(f).alias(f) for f in flags],
+    )
     by_name = f"{_from_bits('fw_low', labels[:32])}, {_from_bits('fw_high', labels[32:])}"
     types = _from_bits("arch_bits", list(ARCHITECTURES))
     return counted.select(
         "repo_id", "total_files", "has_tests",
         F.expr(f"array_distinct(concat({by_name}, {_from_bits('dir_bits', list(DIRECTORY_FRAMEWORKS))}))").alias("frameworks"),
         F.expr(f"IF(arch_bits <> 0, {types}, array('cli'))").alias("arch_types"),
-        "web_files", "pipeline_files", "ai_files",
+        "web_files", "pipeline_files", "ai_files", "languages",
     )
 
 
@@ -183,11 +194,13 @@ def repo_languages(counts: DataFrame) -> DataFrame:
     """The ten commonest languages of each repository, ties by first path.
 
     There are fewer languages than suffixes in the table, so the list is short."""
-    ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col("n")).alias("k"), "first_path", "lang", "n"))
-    )
-    top = F.transform(F.slice(ordered, 1, 10), lambda x: F.struct(x["lang"].alias("lang"), x["n"].alias("n")))
-    return counts.groupBy("repo_id").agg(top.alias("languages"))
+    return counts.groupBy("repo_id").agg(_top_languages(F.lit(True)).alias("languages"))
+
+
+def _top_languages(wanted: Column) -> Column:
+    """Aggregate of ``(lang, n, first_path)`` rows: the ten commonest languages, in order."""
+    listed = F.collect_list(F.when(wanted, F.struct((-F.col("n")).alias("k"), "first_path", "lang", "n")))
+    return F.transform(F.slice(F.array_sort(listed), 1, 10), lambda x: F.struct(x["lang"].alias("lang"), x["n"].alias("n")))
 
 
 def manifest_packages(files: DataFrame) -> DataFrame:
@@ -234,7 +247,6 @@ def profile(files: DataFrame, configs: DataFrame | None = None) -> DataFrame:
     kept = project_files(files)
     signals = (
         repo_signals(kept)
-        .join(repo_languages(language_counts(kept)), "repo_id", "left")
         .join(manifest_packages(files), "repo_id", "left")
         .withColumn("ai_packages", F.coalesce("ai_packages", F.lit(False)))
     )
