@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.membership import maybe_member  # noqa: F401  (for the operators)
 from ..session import configure, materialize, shared_dir
 
 # A key with more than one in so many rows is joined by broadcast; fewer than this
 # many keys can hold that share, however large the table is.
 HOT_SHARE = 1024
-# Bits of a membership filter, in words of 64: 2 MB of bits, 262,144 words at most.
-FILTER_BITS = 1 << 24
 
 store = materialize
 new_folder = shared_dir
@@ -36,27 +35,6 @@ def ship(*modules: ModuleType) -> None:
         cloudpickle.register_pickle_by_value(module)
 
 
-def maybe_member(rows: DataFrame, keys: list[Column], members: DataFrame, member_keys: list[Column], name: str) -> DataFrame:
-    """Add boolean ``name``: false only where the row's keys are surely not in ``members``.
-
-    The members become a bit array of fixed size, held as at most 262,144 rows, so it is
-    broadcast whatever the size of ``members``, and the rows, with all they carry, stay
-    where they are.  With very many members most bits are set and the answer is "maybe".
-    """
-    bit = lambda ks: F.pmod(F.xxhash64(*ks), F.lit(FILTER_BITS))
-    words = (
-        members.select(bit(member_keys).alias("_bit"))
-        .groupBy(F.shiftright("_bit", 6).alias("_word"))
-        .agg(F.expr("bit_or(shiftleft(1L, CAST(_bit % 64 AS INT)))").alias("_bits"))
-    )
-    # A written table: its size is known, and no later step repeats the work behind it.
-    words = store(words)
-    found = rows.withColumn("_bit", bit(keys)).withColumn("_word", F.shiftright("_bit", 6))
-    found = found.join(F.broadcast(words), "_word", "left")
-    hit = F.expr("shiftright(_bits, CAST(_bit % 64 AS INT)) & 1L") == 1
-    return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bit", "_word", "_bits")
-
-
 def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
     """Join ``facts``, one row per key with the number of its rows in ``count``, to ``rows``.
 
