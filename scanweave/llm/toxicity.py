@@ -63,6 +63,17 @@ def _bag_batches(batches):
         )
 
 
+def _slices(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The byte strings of a column as numbers, in the memory they arrived in."""
+    found = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        cuts = np.frombuffer(offsets, dtype=np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+        values = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+        found += [values[a:b].view(kind) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return found
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
     max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
@@ -79,10 +90,8 @@ def fit(
     sample = sample.groupBy("_id", "label").agg(F.min("text").alias("text")).select(order.alias("key"), "label", "text")
     table = map_batches(sample, _bag_batches, "key long, label int, bucket binary, count binary").toArrow()
     keys, targets = table.column("key").to_numpy(), table.column("label").to_numpy().astype(np.int64)
-    windows = [
-        (np.frombuffer(bucket, dtype=np.int32), np.frombuffer(count, dtype=np.uint8))
-        for bucket, count in zip(table.column("bucket").to_pylist(), table.column("count").to_pylist())
-    ]
+    windows = list(zip(_slices(table.column("bucket"), np.int32), _slices(table.column("count"), np.uint8)))
+    del table
     # Sorted by key, so that the fit does not depend on the order in which tasks ended.
     order_of = sorted(range(len(windows)), key=lambda i: (int(keys[i]), windows[i][0].tobytes()))
     if len(set(targets.tolist())) < 2:
