@@ -31,13 +31,13 @@ TEXTS = {
     "A04-002": ("Request fields are used without validation.", "Validate the request against a schema."),
     # configuration
     "A05-001": ("Debug mode is on.", "Turn debug mode off outside development."),
-    "A05-002": ("A server starts without security headers.", "Add the usual security headers, for example through middleware."),
+    "A05-002": ("Responses go out with no protective headers set.", "Add the usual security headers, for example through middleware."),
     "A05-003": ("A default password is set.", "Remove the default and require a chosen secret."),
     "A05-004": ("A cookie is set without its protective attributes.", "Set HttpOnly, Secure and SameSite."),
     "A05-005": ("A stack trace may reach the client.", "Log the trace and answer with a generic message."),
     # components
     "A06-001": ("A dependency accepts any version.", "Pin the version and commit the lock file."),
-    "A06-002": ("Requirements are installed without pinned versions.", "Pin versions with hashes or a lock file."),
+    "A06-002": ("What gets installed can change from one build to the next.", "Pin versions with hashes or a lock file."),
     # authentication
     "A07-001": ("Token verification may be bypassed.", "Name the accepted algorithms and always verify."),
     "A07-002": ("A password may be stored as it was typed.", "Store an argon2 or bcrypt hash."),
@@ -48,7 +48,7 @@ TEXTS = {
     "A08-002": ("Untrusted objects may be deserialised.", "Filter the accepted classes or use a data-only format."),
     "A08-003": ("YAML is loaded with a loader that can build objects.", "Use safe_load."),
     # logging
-    "A09-001": ("A secret may be written to the log.", "Remove or mask sensitive fields before logging."),
+    "A09-001": ("A secret may be written to the log.", "Let only harmless fields reach the log."),
     "A09-002": ("An exception is dropped without a trace.", "Log the exception or let it rise."),
     # request forgery
     "A10-001": ("The server fetches an address taken from the request.", "Allow known hosts only and block private address ranges."),
@@ -81,7 +81,7 @@ TEXTS = {
     "WEB-011": ("A GET route changes state.", "Use POST, PUT, PATCH or DELETE."),
     "WEB-020": ("Files are accepted without a type check nearby.", "Check extension, content type and size."),
     "WEB-021": ("Uploads land in a directory served to the public.", "Store uploads outside the web root."),
-    "WEB-030": ("A socket connection is accepted without authentication.", "Authenticate in the handshake."),
+    "WEB-030": ("Anyone may open this socket.", "Authenticate in the handshake."),
     "WEB-031": ("A socket server does not check the origin.", "Compare the origin with a list."),
     "WEB-040": ("Pages may be framed by other sites.", "Send frame-ancestors or X-Frame-Options."),
     "WEB-041": ("The content policy allows inline script.", "Use nonces or hashes instead of unsafe-inline."),
@@ -118,7 +118,7 @@ TEXTS = {
     "MOB-041": ("A key is built into the app bundle.", "Fetch the key from your server at run time."),
     # embedded
     "EMB-001": ("A network password is written in the firmware.", "Provision it at set-up time into protected storage."),
-    "EMB-002": ("Broker credentials are written in the firmware.", "Use per-device credentials or certificates."),
+    "EMB-002": ("All devices share the broker login in this source.", "Use per-device credentials or certificates."),
     "EMB-003": ("An administration password is written in the firmware.", "Require a password to be chosen at set-up."),
     "EMB-004": ("A service key is written in the firmware.", "Keep keys in a secure element or on the server."),
     "EMB-010": ("A device talks without TLS.", "Use the TLS client."),
@@ -183,7 +183,7 @@ TEXTS = {
     "AIML-014": ("An experiment server is used without authentication nearby.", "Configure credentials."),
     "AIML-015": ("A prediction endpoint does not check its input.", "Validate the input against a schema."),
     "AIML-016": ("A notebook holds a secret.", "Remove it, rotate it and clear the outputs."),
-    "AIML-017": ("A model registry is used without access control nearby.", "Use private models and tokens."),
+    "AIML-017": ("Models are fetched or pushed here with nothing that limits who may.", "Use private models and tokens."),
     "AIML-020": ("A vector store is used without authentication nearby.", "Configure credentials."),
     "AIML-021": ("Retrieval does not filter by what the user may see.", "Filter by tenant or user."),
     "AIML-030": ("A demo app has no login nearby.", "Add authentication."),
