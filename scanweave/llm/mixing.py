@@ -240,5 +240,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         (keyed["_none"] == decided["_no_source"]) & (keyed["_name"] == decided["_source"])
         & (keyed["_size"] == decided["size"]) & keyed["_id"].eqNullSafe(decided["_key"])
     )
-    copied = keyed.join(decided, same).withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    # The decisions grow with the documents, so they are not broadcast at any size.
+    copied = keyed.join(decided.hint("shuffle_hash"), same).withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return copied.select("_row.*")
