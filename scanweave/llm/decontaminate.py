@@ -2,13 +2,15 @@
 
 Items and texts become sequences of words, folded to lower case and without punctuation.
 An item is found where a stretch of a text is within ``RATE`` edits per word of it (words
-inserted, deleted or replaced).  Items are indexed by keys sampled from the steps that a
-walk takes inside a window of their size; texts are walked from every fourth word and only
-stretches that share a key are compared.  Exact copies always share all keys; measured on
-the benchmark, 0.9 or more of copies with 20 % of their words edited are found.
+inserted, deleted or replaced).  Items are indexed by keys sampled from the steps of walks
+that start at places along their whole length; texts are walked from every fourth word and
+only stretches that share a key are compared.  Exact copies always share all keys; of
+synthetic copies with 20 % of their words edited, spread or in one stretch at the beginning,
+middle or end, 0.9 or more are found.
 
-Items are taken in blocks of ``BLOCK_ITEMS``; a block's index is bounded and goes to the
-tasks, each of which reads whole texts.  More items mean more passes, not a larger index.
+Items are taken in blocks of ``BLOCK_ITEMS``, and these in parts of ``PART_WORDS`` words; a
+part's index is bounded and goes to the tasks, each of which reads whole texts.  More items
+mean more passes, not a larger index.
 
 Defined cases: null texts are empty and match nothing; items with fewer than 8 words are
 too common to tell a copy by and are not searched; an item that occurs again in a text is
@@ -27,6 +29,7 @@ from .common import map_batches, numbered, ship, store, text_hash, text_of, with
 
 RATE = 0.2
 BLOCK_ITEMS = 5000
+PART_WORDS = 1 << 18
 
 ship(walks)
 
@@ -44,6 +47,20 @@ def _search(index: walks.Index, rate: float):
     return run
 
 
+def _parts(items: list[tuple[int, str]], most: int):
+    """The items in lists of about ``most`` words; a longer item is in a list of its own."""
+    part, size = [], 0
+    for item in items:
+        count = len(walks.symbols(item[1]))
+        if part and size + count > most:
+            yield part
+            part, size = [], 0
+        part.append(item)
+        size += count
+    if part:
+        yield part
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", rate: float = RATE, block: int = BLOCK_ITEMS,
@@ -58,12 +75,13 @@ def contaminated(
     for no in range((-1 if blocks is None else blocks) + 1):
         # At most ``block`` items.
         own = items.where(F.col("_block") == no).select("item", "words").collect()
-        index = walks.Index([(r.item, r.words) for r in own])
-        if not len(index.keys):
-            continue
-        schema = "id long, hash long, item_id long, item_words long, distance long, position long"
-        part = map_batches(texts, _search(index, rate), schema)
-        found = part if found is None else found.unionByName(part)
+        for items_of_part in _parts([(r.item, r.words) for r in own], PART_WORDS):
+            index = walks.Index(items_of_part)
+            if not len(index.keys):
+                continue
+            schema = "id long, hash long, item_id long, item_words long, distance long, position long"
+            part = map_batches(texts, _search(index, rate), schema)
+            found = part if found is None else found.unionByName(part)
     if found is None:
         nothing = F.lit(None).cast("long")
         names = ("item_id", "item_words", "distance", "position")

@@ -20,9 +20,12 @@ KEYS = 10
 SAMPLED = 4
 # Items of this many words or more, the steps from which their keys are sampled.
 CLASSES = ((8, 8), (16, 20), (32, 44))
+TESTED = 48
 PIECE = 1 << 18
 WALKERS = 1 << 15
-_TABLE_BITS = 19
+# Bits of the table of keys, and slots for each key in between.
+_TABLE_BITS = (19, 24)
+_SLOTS = 32
 
 _SPACE = re.compile(r"\s")
 _FOLD = np.array([c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
@@ -80,29 +83,49 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, classes: list[int]):
         for step in range(steps):
             here = words[pointer].astype(np.uint64)
             mixed = here * _STEPS[e, step]
+            high = mixed >> np.uint64(17)
             for (c, k), key in made.items():
                 if step in _SAMPLED[c][k]:
                     key *= np.uint64(0x9E3779B97F4A7C15)
-                    key ^= mixed >> np.uint64(17)
+                    key ^= high
             pointer = np.minimum(pointer + (mixed >> np.uint64(63)).astype(pointer.dtype), last)
         for (c, k), key in made.items():
             number = (e * len(CLASSES) + c) * KEYS + k
             yield number, (key + np.uint64(number)) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The distinct rows in order."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
 
 
 def class_of(count: int) -> int:
     return max(c for c, (least, _) in enumerate(CLASSES) if count >= least)
 
 
+def walk_starts(count: int, c: int) -> list[int]:
+    """Words of an item of ``count`` words at which it is walked with class ``c``.
+
+    ``STRIDE`` in a row make a place that no text's walks miss; places are half a walk apart,
+    the last one as near the end as a walk fits.
+    """
+    span = CLASSES[c][1] // 2
+    last = max(0, count - span)
+    places = [*range(0, last, max(STRIDE, span // 2)), max(0, last - STRIDE + 1)]
+    return sorted({o for at in places for o in range(at, min(at + STRIDE, count))})
+
+
 class Index:
-    """The keys of a block of items, each walked from its first ``STRIDE`` words.
+    """The keys of a block of items, each walked from places along its whole length.
 
     Texts are then walked from every ``STRIDE``-th word only: one of these meets one of
-    the item's walks at the same word of the item.
+    the walks of each place at the same word of the item.  So a copy is a candidate if any
+    of its places is close enough, wherever its other words were changed.
     """
 
     def __init__(self, items: list[tuple[int, str]]):
@@ -111,30 +134,40 @@ class Index:
         self.items = known
         self.distinct = [frozenset(words.tolist()) for _, words in known]
         keys, owners, offsets = [], [], []
-        self.classes = sorted({class_of(len(w)) for _, w in known})
+        walked = [class_of(len(w)) for _, w in known]
+        self.classes = sorted(set(walked))
+        padding = np.zeros(CLASSES[-1][1] + 1, dtype=np.uint32)
         for c in self.classes:
-            members = [i for i, (_, w) in enumerate(known) if class_of(len(w)) == c]
-            padding = np.zeros(CLASSES[-1][1] + 1, dtype=np.uint32)
             joined, starts, owner, offset, at = [], [], [], [], 0
-            for i in members:
+            for i in (i for i, own in enumerate(walked) if own == c):
                 words = known[i][1]
-                for o in range(STRIDE):
-                    starts.append(at + o)
-                    owner.append(i)
-                    offset.append(o)
+                own = walk_starts(len(words), c)
+                starts += [at + o for o in own]
+                owner += [i] * len(own)
+                offset += own
                 joined += [words, padding]
                 at += len(words) + len(padding)
+            owner, offset = np.array(owner, dtype=np.int32), np.array(offset, dtype=np.int32)
             for _, key in walk_keys(np.concatenate(joined), np.array(starts, dtype=np.int64), [c]):
                 keys.append(key)
-                owners.append(np.array(owner))
-                offsets.append(np.array(offset))
+                owners.append(owner)
+                offsets.append(offset)
         self.keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
-        self.owners = np.concatenate(owners)[order] if keys else np.zeros(0, dtype=np.int64)
-        self.offsets = np.concatenate(offsets)[order] if keys else np.zeros(0, dtype=np.int64)
-        self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-        self.table[_slot(self.keys)] = True
+        self.owners = np.concatenate(owners)[order] if keys else np.zeros(0, dtype=np.int32)
+        self.offsets = np.concatenate(offsets)[order] if keys else np.zeros(0, dtype=np.int32)
+        self.bits = min(max(_TABLE_BITS[0], (_SLOTS * len(self.keys)).bit_length()), _TABLE_BITS[1])
+        self.table = np.zeros(1 << self.bits, dtype=bool)
+        self.table[_slot(self.keys, self.bits)] = True
+        # Each item's distinct words, those in the fewest items first, as numbers in the vocabulary.
+        each = [np.fromiter(d, dtype=np.uint32, count=len(d)) for d in self.distinct]
+        flat = np.concatenate([np.zeros(0, dtype=np.uint32), *each])
+        self.vocabulary, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(each)), [len(d) for d in each])
+        self.codes = code[np.lexsort((code, often[code], owner))]
+        self.ends = np.cumsum([len(d) for d in each], dtype=np.int64)
+        self.lengths = np.array([len(w) for _, w in known], dtype=np.int64)
 
     def candidates(self, words: np.ndarray) -> np.ndarray:
         """Distinct ``(item, word where it would begin, word where the walk began)`` of shared keys."""
@@ -143,19 +176,49 @@ class Index:
         for low in range(0, len(words), WALKERS * STRIDE):
             starts = np.arange(low, min(len(words), low + WALKERS * STRIDE), STRIDE, dtype=np.int64)
             for _, keys in walk_keys(padded, starts, self.classes):
-                at = np.flatnonzero(self.table[_slot(keys)])
+                at = np.flatnonzero(self.table[_slot(keys, self.bits)])
                 if not len(at):
                     continue
                 first = np.searchsorted(self.keys, keys[at], "left")
+                here = self.keys[np.minimum(first, len(self.keys) - 1)] == keys[at]
+                at, first = at[here], first[here]
                 count = np.searchsorted(self.keys, keys[at], "right") - first
                 which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 start = np.repeat(starts[at], count)
                 found.append(np.stack([self.owners[which], start - self.offsets[which], start], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), dtype=np.int64)
+        return _distinct(np.concatenate(found)) if found else np.zeros((0, 3), dtype=np.int64)
 
 
-def best_distance(item: np.ndarray, words: np.ndarray) -> int:
-    """The least word edit distance between ``item`` and any stretch of ``words``."""
+def plausible(index: Index, words: np.ndarray, hits: np.ndarray, low: np.ndarray, high: np.ndarray, rate: float) -> np.ndarray:
+    """Which hits may hold their item: no more of its ``TESTED`` rarest words are missing than edits are allowed.
+
+    ``low`` and ``high`` bound the text of each hit.
+    """
+    at = np.searchsorted(index.vocabulary, words)
+    known = np.flatnonzero(index.vocabulary[np.minimum(at, len(index.vocabulary) - 1)] == words)
+    width = len(words) + 1
+    places = np.sort(at[known] * width + known)
+    owner, length = hits[:, 0], index.lengths[hits[:, 0]]
+    allowed = (rate * length).astype(np.int64)
+    low = np.maximum(low, hits[:, 1] - allowed)
+    high = np.minimum(high, hits[:, 1] + length + allowed)
+    missing = np.zeros(len(hits), dtype=np.int64)
+    begins = np.concatenate([[0], index.ends[:-1]])
+    left = np.flatnonzero(high - low >= length - allowed)
+    for tested in range(TESTED):
+        own = begins[owner[left]] + tested
+        some = own < index.ends[owner[left]]
+        rows, code = left[some], index.codes[own[some]].astype(np.int64) * width
+        first = np.searchsorted(places, code + low[rows])
+        found = first < len(places)
+        found[found] = places[first[found]] < (code + high[rows])[found]
+        missing[rows] += ~found
+        left = left[missing[left] <= allowed[left]]
+    return left
+
+
+def _distances(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """By number of words, the least word edit distance between ``item`` and a stretch that ends there."""
     width = len(words) + 1
     across = np.arange(width)
     row = np.zeros(width, dtype=np.int64)
@@ -164,7 +227,18 @@ def best_distance(item: np.ndarray, words: np.ndarray) -> int:
         step[0] = i
         step[1:] = np.minimum(row[:-1] + (words != word), row[1:] + 1)
         row = np.minimum.accumulate(step - across) + across
-    return int(row.min())
+    return row
+
+
+def best_distance(item: np.ndarray, words: np.ndarray) -> int:
+    """The least word edit distance between ``item`` and any stretch of ``words``."""
+    return int(_distances(item, words).min())
+
+
+def best_place(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
+    """The least distance, and the first word of the earliest stretch at it."""
+    row = _distances(item[::-1], words[::-1])[::-1]
+    return int(row.min()), int(row.argmin())
 
 
 def verified(index: Index, words: np.ndarray, hits: np.ndarray, rate: float) -> list[tuple[int, int, int, int]]:
@@ -177,7 +251,8 @@ def verified(index: Index, words: np.ndarray, hits: np.ndarray, rate: float) ->
         # Every word of the item that the region lacks costs an edit.
         if len(region) < len(item) - allowed or len(index.distinct[owner].difference(region.tolist())) > allowed:
             continue
-        found = (best_distance(item, region), max(0, begin))
+        distance, place = best_place(item, region)
+        found = (distance, max(0, begin - allowed) + place)
         if found[0] <= allowed and found < best.get(owner, (allowed + 1, 0)):
             best[owner] = found
     return [(index.items[o][0], len(index.items[o][1]), *found) for o, found in sorted(best.items())]
@@ -193,12 +268,14 @@ def batch_matches(index: Index, texts: list[str], rate: float) -> list[tuple[int
         begins = np.cumsum([0] + [len(words) + 1 for _, words in group])
         hits = index.candidates(joined)
         text = np.searchsorted(begins, hits[:, 2], "right") - 1
+        likely = plausible(index, joined, hits, begins[text], begins[text + 1] - 1, rate)
+        hits, text = hits[likely], text[likely]
         order = np.argsort(text, kind="stable")
         cuts = np.flatnonzero(np.diff(text[order])) + 1
         for own in np.split(order, cuts):
             if len(own):
                 no, words = group[text[own[0]]]
-                own_hits = np.unique(hits[own, :2] - np.array([0, begins[text[own[0]]]]), axis=0)
+                own_hits = _distinct(hits[own, :2] - np.array([0, begins[text[own[0]]]]))
                 out.extend((no, *m) for m in verified(index, words, own_hits, rate))
         group.clear()
 

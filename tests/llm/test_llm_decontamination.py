@@ -79,6 +79,32 @@ def test_recall_against_brute_force(spark):
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_copies_changed_in_one_stretch_are_found():
+    rng, vocabulary, _ = corpus()
+    some = lambda count: [rng.choice(vocabulary) for _ in range(count)]
+    for least, most in ((8, 16), (16, 32), (32, 70), (70, 100), (100, 500)):
+        bench = [some(rng.randrange(least, most)) for _ in range(40)]
+        index = walks.Index([(n, " ".join(item)) for n, item in enumerate(bench)])
+        for part in (0, 0.5, 1):
+            texts, begins = [], []
+            for item in bench:
+                count = int(0.2 * len(item))
+                at = int(part * (len(item) - count))
+                begins.append(rng.randrange(60))
+                texts.append(" ".join(some(begins[-1]) + item[:at] + some(count) + item[at + count:] + some(60)))
+            found = {(t, n): (distance, place) for t, n, _, distance, place in walks.batch_matches(index, texts, 0.2)}
+            assert sum((n, n) in found for n in range(len(bench))) >= 0.9 * len(bench), (least, part)
+            assert all(found[n, n][0] <= int(0.2 * len(item)) for n, item in enumerate(bench) if (n, n) in found)
+        exact = walks.batch_matches(index, [" ".join(some(n) + item + some(9)) for n, item in enumerate(bench)], 0.2)
+        assert {(n, n, len(item), 0, n) for n, item in enumerate(bench)} <= set(exact)
+
+
+def test_parts_hold_all_items():
+    items = [(n, " ".join(["w"] * count)) for n, count in enumerate([3, 3, 50, 0, 4, 9])]
+    parts = list(decontaminate._parts(items, 10))
+    assert [item for part in parts for item in part] == items and [len(part) for part in parts] == [2, 1, 2, 1]
+
+
 def test_long_texts_are_walked_in_slices(monkeypatch):
     rng, vocabulary, bench = corpus(items=5)
     index = walks.Index(bench)
