@@ -12,8 +12,11 @@ Items are taken in blocks of ``BLOCK_ITEMS``, and these in parts of ``PART_WORDS
 part's index is bounded and goes to the tasks, each of which reads whole texts.  More items
 mean more passes, not a larger index.
 
-Defined cases: null texts are empty and match nothing; items with fewer than 8 words are
-too common to tell a copy by and are not searched; an item that occurs again in a text is
+Items with fewer than 8 words are too short to walk.  They are cut into one piece more than
+edits are allowed (below 5 words none is), whole pieces are looked up at every word of the
+texts, and all copies are found: an item of one common word is found in every text with it.
+
+Defined cases: null texts and items are empty and match nothing; an item that occurs again in a text is
 reported once, at its best place; equal items are all reported; a repeated row gives its
 result again; empty tables give an empty result; other columns are ignored.
 """
@@ -76,7 +79,7 @@ def contaminated(
         # At most ``block`` items.
         own = items.where(F.col("_block") == no).select("item", "words").collect()
         for items_of_part in _parts([(r.item, r.words) for r in own], PART_WORDS):
-            index = walks.Index(items_of_part)
+            index = walks.Index(items_of_part, rate)
             if not len(index.keys):
                 continue
             schema = "id long, hash long, item_id long, item_words long, distance long, position long"

@@ -120,22 +120,41 @@ def walk_starts(count: int, c: int) -> list[int]:
     return sorted({o for at in places for o in range(at, min(at + STRIDE, count))})
 
 
+def stretch_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """A key for every ``size`` words in a row."""
+    keys = np.full(max(0, len(words) - size + 1), size, dtype=np.uint64)
+    for i in range(size):
+        keys = (keys ^ words[i:len(words) - size + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys * np.uint64(0xD6E8FEB86659FD93)
+
+
+def pieces(count: int, rate: float) -> list[tuple[int, int]]:
+    """``(first word, words)`` of the pieces of a short item: one more than the edits allowed, so one is left whole."""
+    many = min(int(rate * count) + 1, count)
+    cuts = [count * i // many for i in range(many + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 class Index:
     """The keys of a block of items, each walked from places along its whole length.
 
     Texts are then walked from every ``STRIDE``-th word only: one of these meets one of
     the walks of each place at the same word of the item.  So a copy is a candidate if any
     of its places is close enough, wherever its other words were changed.
+
+    Items under ``MIN_WORDS`` words are too short to walk: their pieces are looked up at every
+    word of a text, which finds all copies within ``rate`` edits per word.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], rate: float = 0.2):
         known = [(no, symbols(text)) for no, text in items]
-        known = [(no, words) for no, words in known if len(words) >= MIN_WORDS]
+        known = [(no, words) for no, words in known if len(words)]
         self.items = known
         self.distinct = [frozenset(words.tolist()) for _, words in known]
         keys, owners, offsets = [], [], []
-        walked = [class_of(len(w)) for _, w in known]
-        self.classes = sorted(set(walked))
+        walked = [class_of(len(w)) if len(w) >= MIN_WORDS else None for _, w in known]
+        self.classes = sorted(set(walked) - {None})
         padding = np.zeros(CLASSES[-1][1] + 1, dtype=np.uint32)
         for c in self.classes:
             joined, starts, owner, offset, at = [], [], [], [], 0
@@ -152,6 +171,12 @@ class Index:
                 keys.append(key)
                 owners.append(owner)
                 offsets.append(offset)
+        short = [(i, at, size) for i, own in enumerate(walked) if own is None for at, size in pieces(len(known[i][1]), rate)]
+        self.sizes = sorted({size for _, _, size in short})
+        if short:
+            keys.append(np.concatenate([stretch_keys(known[i][1][at:at + size], size) for i, at, size in short]))
+            owners.append(np.array([i for i, _, _ in short], dtype=np.int32))
+            offsets.append(np.array([at for _, at, _ in short], dtype=np.int32))
         self.keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
@@ -173,19 +198,27 @@ class Index:
         """Distinct ``(item, word where it would begin, word where the walk began)`` of shared keys."""
         padded = np.concatenate([words, np.zeros(1, dtype=np.uint32)])
         found = []
-        for low in range(0, len(words), WALKERS * STRIDE):
-            starts = np.arange(low, min(len(words), low + WALKERS * STRIDE), STRIDE, dtype=np.int64)
-            for _, keys in walk_keys(padded, starts, self.classes):
-                at = np.flatnonzero(self.table[_slot(keys, self.bits)])
-                if not len(at):
-                    continue
-                first = np.searchsorted(self.keys, keys[at], "left")
-                here = self.keys[np.minimum(first, len(self.keys) - 1)] == keys[at]
-                at, first = at[here], first[here]
-                count = np.searchsorted(self.keys, keys[at], "right") - first
-                which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = np.repeat(starts[at], count)
-                found.append(np.stack([self.owners[which], start - self.offsets[which], start], axis=1))
+
+        def look_up(keys, starts):
+            at = np.flatnonzero(self.table[_slot(keys, self.bits)])
+            if not len(at):
+                return
+            first = np.searchsorted(self.keys, keys[at], "left")
+            here = self.keys[np.minimum(first, len(self.keys) - 1)] == keys[at]
+            at, first = at[here], first[here]
+            count = np.searchsorted(self.keys, keys[at], "right") - first
+            which = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            start = np.repeat(starts[at], count)
+            found.append(np.stack([self.owners[which], start - self.offsets[which], start], axis=1))
+
+        if self.classes:
+            for low in range(0, len(words), WALKERS * STRIDE):
+                starts = np.arange(low, min(len(words), low + WALKERS * STRIDE), STRIDE, dtype=np.int64)
+                for _, keys in walk_keys(padded, starts, self.classes):
+                    look_up(keys, starts)
+        for size in self.sizes:
+            keys = stretch_keys(words, size)
+            look_up(keys, np.arange(len(keys), dtype=np.int64))
         return _distinct(np.concatenate(found)) if found else np.zeros((0, 3), dtype=np.int64)
 
 
@@ -245,6 +278,9 @@ def verified(index: Index, words: np.ndarray, hits: np.ndarray, rate: float) ->
     """``(item, words, distance, first word)`` of the items that ``words`` holds, each at its best place."""
     best: dict[int, tuple[int, int]] = {}
     for owner, begin in hits.tolist():
+        # Places are in order: after a whole copy no other is better.
+        if best.get(owner, (1, 0))[0] == 0:
+            continue
         item = index.items[owner][1]
         allowed = int(rate * len(item))
         region = words[max(0, begin - allowed): max(0, begin + len(item) + allowed)]

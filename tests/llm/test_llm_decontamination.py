@@ -99,6 +99,29 @@ def test_copies_changed_in_one_stretch_are_found():
         assert {(n, n, len(item), 0, n) for n, item in enumerate(bench)} <= set(exact)
 
 
+def test_items_under_eight_words_equal_brute_force():
+    rng, vocabulary, long_items = corpus(items=5)
+    few = vocabulary[:12]
+    bench = [(n, " ".join(rng.choice(few) for _ in range(count))) for n, count in enumerate([1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7] * 3)]
+    texts = ["", few[0]] + [" ".join(rng.choice(few) for _ in range(rng.randrange(40))) for _ in range(150)] + [long_items[0][1]]
+    expected = set()
+    for t, text in enumerate(texts):
+        words = walks.symbols(text)
+        for n, item in ((n, walks.symbols(i)) for n, i in bench):
+            distance = slow_distance(item.tolist(), words.tolist())
+            if distance <= int(0.2 * len(item)):
+                expected.add((t, n, distance))
+    index = walks.Index([*bench, (900, ""), *((n + 1000, i) for n, i in long_items)])
+    found = walks.batch_matches(index, texts, 0.2)
+    assert {(t, n, d) for t, n, _, d, _ in found if n < 900} == expected and len(expected) > 300
+    for t, n, count, distance, place in found:
+        words = walks.symbols(texts[t])
+        if n < 900 and distance == 0:
+            at = [i for i in range(len(words)) if np.array_equal(words[i:i + count], walks.symbols(bench[n][1]))]
+            assert place == at[0]
+    assert (len(texts) - 1, 1000, len(walks.symbols(long_items[0][1])), 0, 0) in found
+
+
 def test_parts_hold_all_items():
     items = [(n, " ".join(["w"] * count)) for n, count in enumerate([3, 3, 50, 0, 4, 9])]
     parts = list(decontaminate._parts(items, 10))
