@@ -1,11 +1,13 @@
 """Secret scan: three patterns, and sliding-window entropy over candidate strings.
 
 Candidates are runs of at least 20 token characters.  A candidate's characters put it in a
-class with an alphabet and an entropy bound; runs of digits or of letters of one case are
-in none.  A window of 20 characters slides over it: counts per symbol and the sum of
-c * log2(c) are updated for the character that enters and the one that leaves, so a step
-costs the same wherever it is.  Windows at or above the bound merge into spans, unless the
-candidate is allow-listed (identifiers, checksums, placeholders, alphabets in order).
+class with an alphabet and an entropy bound; digits or letters of one case, with other
+token characters or without, are in none.  Hexadecimal pieces of a candidate with other
+characters are classed by themselves too.  A window of 20 characters slides over it: counts
+per symbol and the sum of c * log2(c) are updated for the character that enters and the one
+that leaves, so a step costs the same wherever it is.  Windows at or above the bound merge
+into spans, unless they overlap something allow-listed (identifiers, checksums,
+placeholders, alphabets in order).
 
 Spans count code points, end exclusive.  Texts never leave their row: no shuffle, no Python.
 
@@ -34,11 +36,20 @@ CLASSES = (
     ("entropy_hex", r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdefABCDEF", 3.0),
     ("entropy_alnum", r"^(?=.*[0-9])(?=.*[a-zA-Z])([0-9a-z]+|[0-9A-Z]+)$", _DIGITS + _LOWER + _UPPER, 3.6),
     ("entropy_mixed", r"^(?=.*[A-Z])(?=.*[a-z]).*$", _UPPER + _LOWER + _DIGITS + "+/_=-", 3.9),
+    (
+        "entropy_symbols", r"^(?=.*[0-9])(?=.*[a-zA-Z])(?=.*[+/_=-])([0-9a-z+/_=-]+|[0-9A-Z+/_=-]+)$",
+        _DIGITS + _LOWER + _UPPER + "+/_=-", 3.6,
+    ),
 )
+# Between other characters of a candidate.
+PIECE = rf"(?<![A-Za-z0-9])(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])([0-9a-f]{{{WINDOW},}}|[0-9A-F]{{{WINDOW},}})(?![A-Za-z0-9])"
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i)(example|placeholder|changeme|dummy|sample|xxxxxx)",
-    r"(?i)^(sha(1|256|384|512)|md5)[-_=]",
+    # With its digest, hexadecimal or base64.
+    r"(?i)^(md5[-_=]([0-9a-f]{32}|[a-z0-9+/]{22}|[a-z0-9+/]*)|sha1[-_=]([0-9a-f]{40}|[a-z0-9+/]{27}|[a-z0-9+/]*)"
+    r"|sha256[-_=]([0-9a-f]{64}|[a-z0-9+/]{43}|[a-z0-9+/]*)|sha384[-_=]([0-9a-f]{96}|[a-z0-9+/]{64}|[a-z0-9+/]*)"
+    r"|sha512[-_=]([0-9a-f]{128}|[a-z0-9+/]{86}|[a-z0-9+/]*))={0,2}",
     r"(?i)(abcdefghijklmnop|0123456789abcdef)",
 )
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
@@ -53,13 +64,13 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(pattern: str, ord_: int, keep: str = "true", extra: str = "''") -> str:
+def _matches(pattern: str, ord_: int, keep: str = "true", extra: str = "''", text: str = "text") -> str:
     """Spans of the pattern in ``text``: the gaps between matches tell where they are.
 
     ``keep`` tests a match, ``i.`0` ``, and what ``extra`` has beside it, ``i.`2` ``.
     """
     p = _literal(pattern)
-    found = f"arrays_zip(regexp_extract_all(text, {p}, 0), transform(split(text, {p}, -1), g -> char_length(g)), {extra})"
+    found = f"arrays_zip(regexp_extract_all({text}, {p}, 0), transform(split({text}, {p}, -1), g -> char_length(g)), {extra})"
     after = "s.at + i.`1` + char_length(i.`0`)"
     span = f"named_struct('start', s.at + i.`1`, 'ord', {ord_}, 'stop', {after})"
     step = (
@@ -67,11 +78,14 @@ def _matches(pattern: str, ord_: int, keep: str = "true", extra: str = "''") ->
         f"'at', {after}, 'spans', IF({keep}, concat(s.spans, array({span})), s.spans)) END"
     )
     spans = f"aggregate({found}, named_struct('at', 0, 'spans', CAST(array() AS {_SPAN})), (s, i) -> {step}, s -> s.spans)"
-    return f"CASE WHEN text RLIKE {p} THEN {spans} ELSE CAST(array() AS {_SPAN}) END"
+    return f"CASE WHEN {text} RLIKE {p} THEN {spans} ELSE CAST(array() AS {_SPAN}) END"
 
 
-def _windows(symbols: str, bound: float) -> str:
-    """``array<struct<a, b>>``: merged windows of ``chars`` with at least ``bound`` bits."""
+def _windows(symbols: str, bound: float, at: str = "0") -> str:
+    """``array<struct<a, b>>``: merged windows of ``chars`` with at least ``bound`` bits.
+
+    ``chars`` begins at ``at`` of the candidate; windows that overlap a span of ``v.allowed`` are left out.
+    """
     w, n = WINDOW, len(symbols)
     total = lambda c: f"IF({c} > 1, {c} * log2({c}), 0D)"
     # enter and leave are symbol numbers; leave is -1 while the window fills.
@@ -84,7 +98,7 @@ def _windows(symbols: str, bound: float) -> str:
         f"IF(t.enter = t.leave, s.total, s.total + {total(f'({more} + 1)')} - {total(more)} "
         f"+ IF(t.leave < 0, 0D, {total(f'({less} - 1)')} - {total(less)}))"
     )
-    high = f"i >= {w - 1} AND log2({w}) - u.total / {w} >= {bound} - 1e-9"
+    high = f"i >= {w - 1} AND log2({w}) - u.total / {w} >= {bound} - 1e-9 AND NOT exists(v.allowed, z -> z.start <= i + {at} AND z.stop > i + {at} - {w - 1})"
     closes = f"{high} AND s.b >= 0 AND s.b < i - {w - 1}"
     step = (
         f"transform(array(named_struct('enter', {enter}, 'leave', {leave})), t -> "
@@ -105,17 +119,26 @@ def _windows(symbols: str, bound: float) -> str:
 
 def _entropy_spans() -> str:
     """Spans of high entropy in ``text``, of all classes."""
-    allowed = " OR ".join(f"m RLIKE {_literal(a)}" for a in ALLOWED)
+    empty = "CAST(array() AS ARRAY<STRING>)"
+    allowed = f"concat({', '.join(_matches(a, 0, 'true', empty, 'm') for a in ALLOWED)})"
     none = "CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>)"
     spans = []
     for no, (_, shape, symbols, bound) in enumerate(CLASSES):
-        earlier = "".join(f" AND NOT m RLIKE {_literal(c[1])}" for c in CLASSES[:no])
-        in_class = f"m RLIKE {_literal(shape)}{earlier} AND NOT ({allowed})"
+        earlier = "".join(f" AND NOT v.m RLIKE {_literal(c[1])}" for c in CLASSES[:no])
+        in_class = f"v.m RLIKE {_literal(shape)}{earlier}"
         # The characters are split once, by wrapping them in an array of one.
-        windows = f"transform(array(split(m, '')), chars -> {_windows(symbols, bound)})[0]"
+        windows = f"transform(array(split(v.m, '')), chars -> {_windows(symbols, bound)})[0]"
         here = f"IF({in_class}, {windows}, {none})"
         spans.append(f"transform({here}, z -> named_struct('start', c.start + z.a, 'ord', {3 + no}, 'stop', c.start + z.b))")
-    of_candidate = f"transform(array(substring(text, c.start + 1, c.stop - c.start)), m -> concat({', '.join(spans)}))[0]"
+    _, shape, symbols, bound = CLASSES[0]
+    windows = f"transform(array(split(substring(v.m, p.start + 1, p.stop - p.start), '')), chars -> {_windows(symbols, bound, 'p.start')})[0]"
+    moved = "named_struct('start', c.start + p.start + z.a, 'ord', 3, 'stop', c.start + p.start + z.b)"
+    pieces = f"flatten(transform({_matches(PIECE, 0, 'true', empty, 'v.m')}, p -> transform({windows}, z -> {moved})))"
+    spans.append(f"IF(v.m RLIKE {_literal(shape)}, CAST(array() AS {_SPAN}), {pieces})")
+    of_candidate = (
+        f"transform(transform(array(substring(text, c.start + 1, c.stop - c.start)), m -> named_struct('m', m, 'allowed', {allowed})), "
+        f"v -> concat({', '.join(spans)}))[0]"
+    )
     return f"flatten(transform(candidates, c -> {of_candidate}))"
 
 

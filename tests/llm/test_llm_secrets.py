@@ -64,6 +64,26 @@ def test_added_spans_and_allow_list(spark):
     assert got == {1: ["entropy_hex"], 2: [], 3: []}
 
 
+def test_symbols_and_allowed_parts_hide_nothing_else(spark):
+    secret, sha = "k3j9x0q7w2m5z8t1v4b6", "47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU="
+    cases = {
+        "key=9f8a3c7de1b2045968ac": "9f8a3c7de1b2045968ac", "Key=9f8a3c7de1b2045968ac": "9f8a3c7de1b2045968ac", "KEY=99AA3C7DE1B204996AAC": "99AA3C7DE1B204996AAC",
+        f"sid={secret}": secret, "sk-4f9k2x7q1m8z3w6t5v0b": "4f9k2x7q1m8z3w6t5v0b", "ABCD9-K2X7Q-1M8Z3-W6T5V": "ABCD9-K2X7Q-1M8Z3-W6T5V",
+        f"/sample/a/{secret}": secret, f"é {secret}/example": secret, f"/550e8400-e29b-41d4-a716-446655440000/{secret}": secret,
+        f"sha256-{sha}{secret}": secret,
+    }
+    nothing = [
+        f"sha256-{sha}", "sha1-da39a3ee5e6b4b0d3255", "550e8400-e29b-41d4-a716-446655440000", "a-long-name-of-words-in-one-case",
+        "2024-01-01/2025-12-31-08-15", "example_k3j9x0q7w2m5z8",
+    ]
+    docs = spark.createDataFrame(list(enumerate([*cases, *nothing])), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in ss.find_secrets(docs).collect()}
+    for i, (text, hidden) in enumerate(cases.items()):
+        covered = {at for start, ord_, stop in got[i] if ord_ > 2 for at in range(start, stop)}
+        assert set(range(text.index(hidden), text.index(hidden) + len(hidden))) <= covered, (text, got[i])
+    assert all(not got[len(cases) + i] for i in range(len(nothing))), got
+
+
 def test_odd_and_no_rows(odd_docs, odd_rows, no_docs):
     assert ss.find_secrets(odd_docs).count() == len(odd_rows)
     assert ss.find_secrets(no_docs).collect() == []
