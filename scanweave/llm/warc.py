@@ -6,7 +6,7 @@ a join, all others are written where they are read.  Every task writes archives
 of its own attempt and reports them, so what a lost or repeated task left is not read.
 Every record is a gzip member of its own.
 
-Reading: one archive is one task's stream, in bounded memory.  After a failed check the
+Reading: one archive is one task's stream, of which a record is held, its header of any length.  After a failed check the
 reader looks for the next valid member or version line and goes on; bytes in between are
 rows of kind ``gap`` with offset, length and reason.
 

@@ -14,9 +14,9 @@ VERSION = b"WARC/1.1"
 # Marks by which the next record is found.
 GZIP_MAGIC = b"\x1f\x8b\x08"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+NEXT_VERSION = re.compile(rb"\nWARC/1\.[01]\r\n")
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 READ = 1 << 20
-MAX_HEADER = 1 << 16
 
 
 def digest(payload: bytes) -> str:
@@ -98,8 +98,8 @@ def parse(data: bytes, whole: bool) -> tuple[dict, bytes, int]:
 
     ``whole``: nothing may follow it.
     """
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
-    if not VERSION_LINE.match(data) or end < 0:
+    end = data.find(b"\r\n\r\n") if VERSION_LINE.match(data) else -1
+    if end < 0:
         raise Damaged("no header")
     headers = {}
     for line in data[:end].split(b"\r\n")[1:]:
@@ -155,16 +155,30 @@ def salvage(stream):
 
 def _plain(buffer: _Buffer) -> tuple[dict, bytes, int]:
     """The uncompressed record at the start of the buffer."""
-    buffer.fill(MAX_HEADER)
-    end = buffer.data.find(b"\r\n\r\n", 0, MAX_HEADER)
+    buffer.fill(len(VERSION) + 2)
+    end = _header_end(buffer) if VERSION_LINE.match(buffer.data) else -1
     found = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,15})\r\n", buffer.data[:end + 2]) if end >= 0 else None
-    if not VERSION_LINE.match(buffer.data) or not found:
+    if not found:
         raise Damaged("no header")
     if not buffer.fill(end + 4 + int(found[1]) + 4):
         raise Damaged("record cut off")
     return parse(bytes(buffer.data[:end + 4 + int(found[1]) + 4]), False)
 
 
+def _header_end(buffer: _Buffer) -> int:
+    """Where the blank line after the header begins; -1 if another version line or the end comes first."""
+    seen = 1
+    while True:
+        end = buffer.data.find(b"\r\n\r\n", seen)
+        other = NEXT_VERSION.search(buffer.data, seen, end if end >= 0 else len(buffer.data))
+        if other or end >= 0:
+            return -1 if other else end
+        # A mark may be cut by the end of what was read.
+        seen = max(seen, len(buffer.data) - len(VERSION) - 3)
+        if not buffer.fill(len(buffer.data) + 1):
+            return -1
+
+
 def _next_mark(buffer: _Buffer) -> int:
     """Bytes up to the next place where a record may begin; all that is read if there is none."""
     buffer.fill(READ)

@@ -40,6 +40,23 @@ def test_round_trip(spark):
     assert read_back(pages, min_bytes=5) == expected(rows, 5)
 
 
+def test_urls_of_any_length(spark):
+    rows = [(n, "data:text/html," + "x" * size, f"page {n % 3}") for n, size in enumerate([10, 65_000, 65_536, 200_000, 3_000_000, 200_000])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert read_back(pages) == expected(rows)
+
+
+def test_plain_records_with_long_headers(monkeypatch):
+    urls = ["http://a", "http://b/" + "y" * 200_000, "http://c/WARC/1.1", "http://d/" + "z" * 70_000 + "WARC/1.1"]
+    parts = [warc_io.record(n, url, b"page", 4, sha1(b"page"), None) for n, url in enumerate(urls)]
+    data = parts[0] + b"WARC/1.1\r\nno end\r\n" + b"".join(parts[1:]) + b"WARC/1.1\r\nend"
+    whole = list(warc_io.salvage(io.BytesIO(data)))
+    assert [headers["warc-target-uri"] for _, _, headers, _, _ in whole if headers] == urls
+    assert [length for _, length, headers, _, _ in whole if not headers] == [18, 13] and sum(r[1] for r in whole) == len(data)
+    monkeypatch.setattr(warc_io, "READ", 4099)
+    assert list(warc_io.salvage(io.BytesIO(data))) == whole
+
+
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string, size string")
     assert read_back(pages) == Counter()
