@@ -21,8 +21,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", entry.alias("e")))), lambda x: x["e"]), ",").alias("dropped"),
     )
     counts = lines.groupBy("id", "hash").agg(F.count("*").alias("n_lines"))
-    return counts.join(per_text, ["id", "hash"], "left").select(
-        F.col("id").alias("doc_id"), "n_lines", F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
+    same = counts["id"].eqNullSafe(per_text["id"]) & (counts["hash"] == per_text["hash"])
+    return counts.join(per_text, same, "left").select(
+        counts["id"].alias("doc_id"), "n_lines", F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
         F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", F.lit("")).alias("dropped"),
     )
 

@@ -43,6 +43,15 @@ def test_lines_equal_brute_force(spark):
         assert cleaned[(number, code)] == kept
 
 
+def test_query_counts_lines_of_a_null_id(spark, tmp_path):
+    from scanweave.llm import queries
+
+    rows = [(1, "a b c d e f\nx"), (None, "a b c d e f\na b c d e g"), (2, "alone")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near, r.dropped) for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 0, 0, ""), None: (2, 1, 1, "0:exact:1:0,1:near:1:0"), 2: (1, 0, 0, "")}
+
+
 def test_one_edit():
     yes = [("a b c", "a b c"), ("a b c", "a x c"), ("a b c", "a c"), ("a c", "a b c"), ("", "a"), ("a a b", "a b")]
     no = [("a b c", "x b y"), ("a b", "a b c d"), ("a b c", "b c d"), ("a b c d", "a c b d")]
