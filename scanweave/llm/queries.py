@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, line_dedup, mixing, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
 from .common import read
 
 
@@ -84,10 +85,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_rows(docs, model)
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; ``TOKENIZERS_DIR`` names another folder with them."""
+    folder = os.environ.get("TOKENIZERS_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_exact_dedup, op3_secrets, op4_suffix_dedup, op5_warc, op6_decontamination, op7_mixing, op8_simhash, op9_sharding, op10_toxicity,
+        op11_bpe,
     )
 }
 
