@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, mixing, periodic_runs, secret_scan, sharding, simhash, suffix_dedup, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, line_dedup, mixing, periodic_runs, secret_scan, sharding, simhash, suffix_dedup, token_alignment, toxicity, warc
 from .common import read
 
 
@@ -104,11 +104,18 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.link_statistics(
+        read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    )
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_exact_dedup, op3_secrets, op4_suffix_dedup, op5_warc, op6_decontamination, op7_mixing, op8_simhash, op9_sharding, op10_toxicity,
-        op11_bpe, op12_periodic_runs,
+        op11_bpe, op12_periodic_runs, op13_token_alignment,
     )
 }
 
