@@ -1,24 +1,16 @@
-"""Registered queries against the same queries in SQL, on the smallest tables.
-
-A part of them runs by default; ``SCANWEAVE_ALL_QUERIES=1`` runs all.
-"""
+"""Registered queries against the same queries in SQL, on the smallest tables: all of them."""
 
 import datetime
-import os
 from collections import Counter
 
 import duckdb
 import pytest
-from conftest import SMALL
 
 import __spark_entry__ as entry
 from scanweave.plans import oracle, registered
 
+SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUICK = [
-    "severity_counts", "line_hits", "negative_context", "lookaround_rules", "domains", "configs", "ignored_files", "findings",
-    "review_queue", "npm_audit", "audit_problems", "stream_hourly", "config_problems", "rejected_rules", "unscanned_parts",
-]
 ALL = sorted(registered.QUERIES)
 
 
@@ -34,7 +26,7 @@ def plain(value):
     return value.isoformat() if isinstance(value, datetime.datetime) else value
 
 
-@pytest.mark.parametrize("name", ALL if os.environ.get("SCANWEAVE_ALL_QUERIES") else QUICK)
+@pytest.mark.parametrize("name", ALL)
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SMALL)
     columns = sorted(df.columns)

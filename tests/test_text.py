@@ -60,7 +60,8 @@ def test_globs_equal_fnmatch(spark):
     assert got == {(a, b) for a in set(globs) for b in set(paths) if fnmatch.fnmatchcase(b, a)}
 
 
-def test_read_directory(spark, tmp_path):
+@pytest.fixture()
+def tree(tmp_path):
     (tmp_path / "one" / "src").mkdir(parents=True)
     (tmp_path / "one" / "src" / "a.py").write_bytes(b"print(1)\n\xff")
     (tmp_path / "one" / "big.txt").write_bytes(b"x" * 500_001)
@@ -71,12 +72,24 @@ def test_read_directory(spark, tmp_path):
     (tmp_path / "two" / ".github" / "workflows").mkdir(parents=True)
     (tmp_path / "two" / ".github" / "workflows" / "a.yml").write_text("on:")
     (tmp_path / "loose.txt").write_text("not in a repository")
-    got = {(r.repo_id, r.path): (r.content, r.size) for r in read_directory(spark, str(tmp_path)).collect()}
-    assert got == {
-        ("one", "src/a.py"): ("print(1)\n", 10), ("one", "big.txt"): (None, 500_001), ("two", ".env"): ("A=1", 3),
-        ("two", ".github/workflows/a.yml"): ("on:", 3),
-    }
-    assert read_directory(spark, str(tmp_path), prune=False).count() == 5
+    return str(tmp_path)
+
+
+EXPECTED = {
+    ("one", "src/a.py"): ("print(1)\n", 10), ("one", "big.txt"): ("x" * 500_001, 500_001), ("two", ".env"): ("A=1", 3),
+    ("two", ".github/workflows/a.yml"): ("on:", 3),
+}
+
+
+def test_read_directory(spark, tree):
+    got = {(r.repo_id, r.path): (r.content, r.size) for r in read_directory(spark, tree).collect()}
+    assert got == EXPECTED
+    assert read_directory(spark, tree, prune=False).count() == 5
+
+
+def test_read_directory_with_a_limit(spark, tree):
+    got = {(r.repo_id, r.path): (r.content, r.size) for r in read_directory(spark, tree, max_bytes=500_000).collect()}
+    assert got == {**EXPECTED, ("one", "big.txt"): (None, 500_001)}
 
 
 def test_files_from_binary_table(spark):
