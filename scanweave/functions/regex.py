@@ -88,6 +88,28 @@ def java_name_pattern(pattern: str) -> str:
     return "(?iu)^(?:" + to_java(pattern) + ")"
 
 
+def names_line_break(pattern: str) -> bool:
+    """Was the pattern written for several lines, that is, does it ask for a line feed?"""
+    return _holds_line_feed(_p.parse(pattern, re.IGNORECASE | re.MULTILINE))
+
+
+def _holds_line_feed(items) -> bool:
+    for op, arg in items:
+        if op is _c.LITERAL and arg == 10 or op is _c.IN and (_c.LITERAL, 10) in arg and arg[0][0] is not _c.NEGATE:
+            return True
+        if op is _c.BRANCH:
+            parts = arg[1]
+        elif op is _c.SUBPATTERN:
+            parts = [arg[3]]
+        elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT):
+            parts = [arg[2]]
+        else:  # what is only looked at does not make a match longer
+            continue
+        if any(map(_holds_line_feed, parts)):
+            return True
+    return False
+
+
 def required_words(pattern: str) -> list[list[str]]:
     """Literal text that every match contains, as lower-case ASCII alternatives.
 

@@ -9,6 +9,12 @@ expression runs on a stream.
 Before a regex runs, the file must have one of the rule's suffixes or names, and the
 line must hold the words the regex requires; those are searched for all rules at
 once.
+
+Rules written for several lines never match a single one.  With ``multiline`` they are also
+matched against the file's lines joined by line feeds.  The joined text gets a mark before
+every match, and a match's line is the line that holds its mark: one regex pass and one
+split, however many matches there are.  A line that matches by itself is a hit of its own and
+is masked before, so no match reaches over it and nothing is found twice.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, suffix
-from ..functions.regex import SPACE, java_line_pattern, java_name_pattern
+from ..functions.regex import SPACE, java_line_pattern, java_name_pattern, names_line_break
 from ..functions.text import LINE_BREAK, drop_last_empty, fold_sql, snippet_sql, sql_string, window_sql
 from ..functions.words import candidate_lines_sql, candidate_lines_udf, clauses_of
 from ..rules.catalog import Rule, builtin_rules
@@ -27,6 +33,8 @@ from ..rules.catalog import Rule, builtin_rules
 # With ``parity`` longer lines are not matched; findings show this much code.
 PARITY_LINE_CHARS = 2000
 CODE_CHARS = 200
+# Characters that no text may hold: before a match over several lines, and in place of a masked line.
+MARK, MASK = "\ufdd0", "\ufdd1"
 
 
 def with_lines(files: DataFrame) -> DataFrame:
@@ -41,7 +49,7 @@ def with_lines(files: DataFrame) -> DataFrame:
 
 def scan_lines(
     files: DataFrame, rules: tuple[Rule, ...] | None = None, keep: list[str] | None = None, automaton: bool = True,
-    max_line_chars: int | None = None,
+    max_line_chars: int | None = None, multiline: bool = False,
 ) -> DataFrame:
     """Match line rules and file-name rules against ``files(repo_id, path, content)``.
 
@@ -49,6 +57,8 @@ def scan_lines(
     rule's place in ``rules``), ``line``, ``code`` and ``context``.  Required
     words are searched in an Arrow batch function, or with ``automaton=False`` in SQL.
     ``max_line_chars`` leaves out longer lines; see :func:`unscanned` for what that costs.
+    With ``multiline``, rules that ask for a line feed are matched over several lines too; their
+    ``line`` is the first one.
     """
     rules = builtin_rules() if rules is None else rules
     keep = keep or ["repo_id", "path"]
@@ -63,6 +73,8 @@ def scan_lines(
     else:
         candidates = F.expr(candidate_lines_sql("low", "short", patterns))
     matched = prepared.withColumn("candidates", candidates).withColumn("matched", F.expr(_line_numbers(rules)))
+    if multiline:
+        matched = matched.withColumn("matched", F.concat("matched", F.expr(_first_lines(rules, max_line_chars))))
     hits = matched.select(*keep, F.explode(F.expr(_hit_structs(rules))).alias("hit"))
     return hits.select(*keep, "hit.rule_no", "hit.line", "hit.code", "hit.context")
 
@@ -111,6 +123,31 @@ def _line_numbers(rules: tuple[Rule, ...]) -> str:
 def _matching_lines(no: int, rule: Rule) -> str:
     tried = f"get(candidates, {no})" if clauses_of(rule.pattern) else "short"
     numbers = f"filter({tried}, n -> element_at(lines, n) RLIKE {sql_string(java_line_pattern(rule.pattern))})"
+    return _not_cancelled(numbers, rule)
+
+
+@lru_cache(maxsize=8)
+def _first_lines(rules: tuple[Rule, ...], max_line_chars: int | None = None) -> str:
+    """As :func:`_line_numbers`, of matches that reach over several lines: their first lines."""
+    per_rule = []
+    too_long = f"char_length(t) > {max_line_chars} OR " if max_line_chars is not None else ""
+    for no, rule in enumerate(rules):
+        if rule.file_check or not names_line_break(rule.pattern):
+            continue
+        pattern = sql_string(java_line_pattern(rule.pattern))
+        words = " AND ".join("(" + " OR ".join(f"contains(low, {sql_string(w)})" for w in c) + ")" for c in clauses_of(rule.pattern))
+        free = f"transform(lines, t -> IF({too_long}t RLIKE {pattern}, '{MASK}', translate(t, '{MARK}{MASK}', '\ufffd\ufffd')))"
+        marked = f"split(regexp_replace(array_join({free}, '\\n'), {pattern}, '{MARK}$0'), '\\n', -1)"
+        numbers = f"filter(transform({marked}, (t, i) -> IF(contains(t, '{MARK}'), i + 1, 0)), n -> n > 0)"
+        per_rule.append(
+            f"struct({no} AS rule_no, CASE WHEN ({_applies(rule)}) AND {words or 'true'} THEN {_not_cancelled(numbers, rule)} END AS ns)"
+        )
+    if not per_rule:
+        return "CAST(array() AS ARRAY<STRUCT<rule_no: INT, ns: ARRAY<INT>>>)"
+    return f"filter(array({', '.join(per_rule)}), r -> size(r.ns) > 0)"
+
+
+def _not_cancelled(numbers: str, rule: Rule) -> str:
     if rule.negative_pattern:
         near = f"array_join({window_sql('lines', 'n', 4, 5)}, '\\n')"
         cancel = f"{near} RLIKE {sql_string(java_line_pattern(rule.negative_pattern))}"

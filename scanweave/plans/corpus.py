@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK
-from ..rules.examples import EXAMPLES
+from ..rules.examples import EXAMPLES, MULTILINE_EXAMPLES
 from ..session import configure, materialize, spread
 
 DIRECTORIES = [
@@ -58,6 +58,15 @@ def plants() -> list[tuple[int, str, str, str]]:
     return [(i, r, EXAMPLES[r][0], example_block(i, r)) for i, r in enumerate(EXAMPLES)]
 
 
+def multiline_plants() -> list[tuple[int, str, str, str]]:
+    """As :func:`plants`: a match over several lines, a near miss, and a match that is cancelled."""
+    far, rows = "\n" * 12, []
+    for no, (rule_id, (tail, hit, miss, cancel)) in enumerate(MULTILINE_EXAMPLES.items()):
+        cancelled = far + hit + "\n" * (1 + no % 3) + cancel if cancel else ""
+        rows.append((no, rule_id, tail, hit + far + miss + cancelled))
+    return rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,13 +75,14 @@ def _pick(values: list[str], by: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), by.cast("int"))
 
 
-def plant(docs: DataFrame) -> DataFrame:
+def plant(docs: DataFrame, planted: list[tuple[int, str, str, str]] | None = None) -> DataFrame:
     """Place each row of ``documents``, batch or stream, in a repository."""
-    rows = docs.sparkSession.createDataFrame(plants(), "no INT, rule_id STRING, tail STRING, planted STRING")
+    planted = planted or plants()
+    rows = docs.sparkSession.createDataFrame(planted, "no INT, rule_id STRING, tail STRING, planted STRING")
     repo = F.concat("source", F.lit("-"), F.expr("(doc_id div 20) % 6").cast("string"))
     path = F.concat(_pick(DIRECTORIES, F.col("doc_id") % len(DIRECTORIES)), F.lit("/"), F.col("doc_id").cast("string"), "tail")
     # The planted rows are a fixed list, one per rule.
-    return docs.join(F.broadcast(rows), F.col("doc_id") % len(EXAMPLES) == F.col("no")).select(
+    return docs.join(F.broadcast(rows), F.col("doc_id") % len(planted) == F.col("no")).select(
         repo.alias("repo_id"), "doc_id", "rule_id", path.alias("path"), "text",
         F.concat("text", F.lit("\n"), "planted").alias("content"),
     )
@@ -86,6 +96,12 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("repo_id", "path", "content")
 
 
+def multiline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file that ends in a block of :func:`multiline_plants`."""
+    files = plant(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), multiline_plants())
+    return files.select("repo_id", "path", "content", F.octet_length("content").cast("bigint").alias("size"))
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_files(spread(table(spark, sf_dir, "pages"))).drop("page_id")
 

@@ -6,6 +6,7 @@ DataFrame code.  RE2 has no look-around, so thirteen patterns are restated here.
 
 from __future__ import annotations
 
+from ..functions.regex import names_line_break
 from ..operators import file_filters as ff
 from ..operators import profile as pr
 from ..rules.catalog import CORE_DOMAINS, DOMAINS, OPTIONAL_DOMAINS, builtin_rules
@@ -99,6 +100,38 @@ def _hits_sql() -> str:
       )"""
 
 
+# The one rule over several lines with a look-ahead: what it looks for, then what must not follow.
+SPANNING = {"EMB-041": (r"xSemaphoreTake\s*\(.*\).*\n", "xSemaphoreGive")}
+
+
+def _spanning_hits_sql() -> str:
+    """Matches over several lines: their line is the number of line feeds before them, and one.
+
+    A match is found by what stands between matches; lines that match by themselves part the
+    text, so no match reaches over them.
+    """
+    parts = []
+    for i, r in enumerate(r for r in builtin_rules() if names_line_break(r.pattern)):
+        pattern, not_next = SPANNING.get(r.rule_id, (r.pattern, None))
+        p = q("(?im)" + pattern)
+        alone = "false" if not_next else f"regexp_matches(t, {p})"
+        joined = f"array_to_string(list_transform(lines, lambda t: CASE WHEN {alone} THEN chr(1) ELSE t END), chr(10))"
+        feeds = "(length({0}) - length(replace({0}, chr(10), '')))".format
+        before = f"list_sum(list_transform(pieces[1:k], lambda t: {feeds('t')})) + coalesce(list_sum(list_transform(found[1:k - 1], lambda t: {feeds('t')})), 0)"
+        over = f"""SELECT *, CAST(1 + {before} AS BIGINT) AS n, len(found[k]) > 0 AS real FROM (
+            SELECT *, unnest(range(1, len(found) + 1)) AS k FROM (
+              SELECT repo_id, path, lines, string_split_regex(joined, {p}) AS pieces, regexp_extract_all(joined, {p}) AS found
+              FROM (SELECT repo_id, path, lines, {joined} AS joined FROM ml_scanned WHERE {_applies(r)})))"""
+        after = f"AND NOT contains(lower(coalesce(lines[n + 1], '')), {q((not_next or '').lower())})" if not_next else ""
+        near = "array_to_string(lines[greatest(n - 4, 1):n + 5], chr(10))"
+        cancel = f"AND NOT regexp_matches({near}, {q('(?im)' + r.negative_pattern)})" if r.negative_pattern else ""
+        parts.append(f"SELECT DISTINCT repo_id, path, lines, {q(r.rule_id)} AS id, n FROM ({over}) WHERE real {after} {cancel}")
+        if not not_next:
+            single = f"SELECT repo_id, path, lines, unnest(range(1, len(lines) + 1)) AS n FROM ml_scanned WHERE {_applies(r)}"
+            parts.append(f"SELECT repo_id, path, lines, {q(r.rule_id)}, n FROM ({single}) WHERE regexp_matches(lines[n], {p}) {cancel}")
+    return " UNION ALL ".join(parts)
+
+
 def _architecture_rows() -> list[tuple]:
     rows = []
     for i, (arch, signals) in enumerate(pr.ARCHITECTURES.items()):
@@ -149,6 +182,22 @@ def _fnmatch(path: str, glob: str) -> str:
     return f"regexp_matches({path}, '(?s)^(' || {escaped} || ')(/.*)?$')"
 
 
+def _kept_sql(files: str) -> str:
+    return f"""
+      SELECT *, lower(path) AS lpath, lower(name) AS lname, '/' || lower(array_to_string(dirs, '/')) AS ldir,
+        lower(regexp_extract(name, '(?s)^.+(\\.[^.]+)$', 1)) AS ext
+      FROM (SELECT *, string_split(path, '/')[1:-2] AS dirs, string_split(path, '/')[-1] AS name FROM {files})
+      WHERE len(list_filter(dirs, lambda x: x IN {among(ff.WALK_SKIP)} OR (starts_with(x, '.') AND x NOT IN ('.github', '.gitlab')))) = 0"""
+
+
+def _scanned_sql(kept: str) -> str:
+    return f"""
+      SELECT *, CASE WHEN s[-1] = '' THEN s[1:-2] ELSE s END AS lines
+      FROM (SELECT *, string_split_regex(content, {q(LINE_BREAK)}) AS s FROM {kept})
+      WHERE len(list_filter(dirs, lambda x: x IN {among(ff.SCAN_SKIP)})) = 0
+        AND ext NOT IN {among(ff.BINARY_SUFFIXES)} """
+
+
 _R = builtin_rules()
 
 PARTS: dict[str, tuple[list[str], str]] = {
@@ -178,16 +227,16 @@ PARTS: dict[str, tuple[list[str], str]] = {
             WHEN 1 THEN '{{"accepted_findings": [{{"id": "' || rule_id || '", "file": "' || path || '", "line": ' || line || '}}]}}'
             ELSE '["' || k || '"]' END
           FROM roots WHERE d % 2 = 1)"""),
-    "kept": (["files"], f"""
-      SELECT *, lower(path) AS lpath, lower(name) AS lname, '/' || lower(array_to_string(dirs, '/')) AS ldir,
-        lower(regexp_extract(name, '(?s)^.+(\\.[^.]+)$', 1)) AS ext
-      FROM (SELECT *, string_split(path, '/')[1:-2] AS dirs, string_split(path, '/')[-1] AS name FROM files)
-      WHERE len(list_filter(dirs, lambda x: x IN {among(ff.WALK_SKIP)} OR (starts_with(x, '.') AND x NOT IN ('.github', '.gitlab')))) = 0"""),
-    "scanned": (["kept"], f"""
-      SELECT *, CASE WHEN s[-1] = '' THEN s[1:-2] ELSE s END AS lines
-      FROM (SELECT *, string_split_regex(content, {q(LINE_BREAK)}) AS s FROM kept)
-      WHERE len(list_filter(dirs, lambda x: x IN {among(ff.SCAN_SKIP)})) = 0
-        AND ext NOT IN {among(ff.BINARY_SUFFIXES)} """),
+    "kept": (["files"], _kept_sql("files")),
+    "scanned": (["kept"], _scanned_sql("kept")),
+    "ml_plants": ([], f"SELECT * FROM ({values(co.multiline_plants())}) AS t(no, rule_id, tail, planted)"),
+    "ml_files": (["ml_plants"], f"""
+      SELECT *, strlen(content) AS size FROM (
+        SELECT source || '-' || ((doc_id // 20) % 6) AS repo_id, text || chr(10) || planted AS content,
+          {strings(co.DIRECTORIES)}[CAST(doc_id % {len(co.DIRECTORIES)} AS INT) + 1] || '/' || doc_id || tail AS path
+        FROM documents JOIN ml_plants ON no = doc_id % {len(co.multiline_plants())})"""),
+    "ml_kept": (["ml_files"], _kept_sql("ml_files")),
+    "ml_scanned": (["ml_kept"], _scanned_sql("ml_kept")),
     "rules": ([], f"""SELECT * FROM ({values([
         (i, r.rule_id, r.domain, r.category, r.name, r.severity, r.description, r.fix, r.owasp, r.cwe, r.negative_pattern is not None)
         for i, r in enumerate(_R)
@@ -304,7 +353,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
 }
 
 # Parts that several others read: computed once.
-ONCE = {"files", "kept", "scanned", "raw_hits", "hits", "domains", "findings", "queue"}
+ONCE = {"files", "kept", "scanned", "ml_files", "ml_kept", "ml_scanned", "raw_hits", "hits", "domains", "findings", "queue"}
 
 
 def sql(final: str, *needs: str) -> str:
@@ -546,6 +595,11 @@ def oracle() -> dict[str, str]:
         "manifest_packages": sql("SELECT * FROM packages", "packages"),
         "domains": sql(f"SELECT repo_id, {_joined('security_domains', 'skipped_domains')} FROM domains", "domains"),
         "test_presence": sql("SELECT repo_id, has_tests FROM flags", "flags"),
+        "multiline_hits": sql(f"""SELECT repo_id, path, id, CAST(n AS INT) AS line,
+            substring(regexp_replace(regexp_replace(lines[n], '^[{SPACE}]+', ''), '[{SPACE}]+$', ''), 1, 200) AS code,
+            array_to_string(list_transform(range(greatest(n - 3, 1), least(n + 3, len(lines)) + 1),
+              lambda i: printf('%s %4d: ', CASE WHEN i = n THEN '>>>' ELSE '   ' END, i) || lines[i]), chr(10)) AS context
+          FROM ({_spanning_hits_sql()})""", "ml_scanned"),
         "line_hits": sql(hit.format("", "h.line > 0"), "hits", "rules"),
         "negative_context": sql("SELECT id, count(*) AS matched, count(*) FILTER (NOT cancelled) AS kept FROM raw_hits JOIN rules USING (rule_no) WHERE has_negative GROUP BY id", "raw_hits", "rules"),
         "lookaround_rules": sql(hit.format("", f"r.id IN {listed(_LOOK)}"), "hits", "rules"),

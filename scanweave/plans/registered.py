@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.regex import names_line_break
 from ..operators import file_filters as ff
 from ..operators import profile as pr
 from ..operators import suppression as sp
@@ -196,6 +197,16 @@ def file_name_rules(spark, sf):
     return _named_hits(_scanned(spark, sf), rules).select("repo_id", "path", "id", "line", "code", "context")
 
 
+def multiline_hits(spark, sf):
+    """The rules written for several lines, on whole files: hits on one line and over several."""
+    rules = tuple(r for r in builtin_rules() if names_line_break(r.pattern))
+    files = ff.project_files(co.multiline_files(spark, sf))
+    files = files.where(ff.scannable(F.col("path"), F.col("size")))
+    hits = scan_lines(files, rules, multiline=True)
+    names = spark.createDataFrame([(i, r.rule_id) for i, r in enumerate(rules)], "rule_no INT, id STRING")
+    return hits.join(F.broadcast(names), "rule_no").select("repo_id", "path", "id", "line", "code", "context")
+
+
 def page_hits(spark, sf):
     files = co.page_files(spark, sf).withColumn("size", F.octet_length("content"))
     kept = ff.project_files(files).where(ff.scannable(F.col("path"), F.col("size")))
@@ -459,7 +470,7 @@ QUERIES = {
         severity_counts, risk_level, category_matrix, owasp_coverage, fail_gate,
         project_files, scannable_files, text_lines, rule_applicability, configs, config_problems, unscanned_parts, ignore_globs, baseline_keys,
         ignored_files, language_counts, top_languages, primary_language, frameworks, arch_types, manifest_packages,
-        domains, test_presence, line_hits, negative_context, lookaround_rules, file_name_rules, page_hits,
+        domains, test_presence, line_hits, negative_context, lookaround_rules, file_name_rules, multiline_hits, page_hits,
         secrets_hits, context_snippets, user_rules, rejected_rules, findings, findings_dedup, missing_tests, baseline_antijoin,
         suppressed_counts, min_severity, category_listing, review_queue, top_critical, top_high, top20,
         finding_cards, report_text, report_listing, job_summary, findings_json, pip_audit, npm_audit, osv_audit,

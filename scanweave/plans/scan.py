@@ -30,6 +30,7 @@ def scan(
     parity: bool = False,
     max_line_chars: int | None = None,
     max_file_bytes: int | None = None,
+    multiline: bool = False,
 ) -> Scan:
     """Profile every repository and match the rules of its active domains.
 
@@ -38,6 +39,8 @@ def scan(
     Domains, ignore lists and deduplication are applied to the hits: they are small,
     and the corpus itself is never shuffled.  Everything is scanned; the limits leave out
     longer lines and larger files, and ``parity`` sets both to 2000 and 500,000.
+    ``multiline`` also matches the rules written for several lines, which are silent
+    otherwise; with ``parity`` they stay silent.
     """
     configure(files.sparkSession)
     rules = builtin_rules() if rules is None else rules
@@ -46,7 +49,7 @@ def scan(
     if parity and max_line_chars is None:
         max_line_chars = PARITY_LINE_CHARS
     scanned = project_files(files).where(scannable(F.col("path"), F.col("size"), parity, max_file_bytes))
-    hits = first_of_each(materialize(scan_lines(scanned, rules, max_line_chars=max_line_chars)))
+    hits = first_of_each(materialize(scan_lines(scanned, rules, max_line_chars=max_line_chars, multiline=multiline and not parity)))
     if ignores is not None:
         hits = not_ignored(hits, ignores)
     # A repository left without any domain is scanned with the core ones.
@@ -65,9 +68,10 @@ def full_scan(
     audits: DataFrame | None = None,
     baseline: DataFrame | None = None,
     severity: str = "LOW",
+    multiline: bool = False,
 ) -> Scan:
     """The scan, plus dependency findings, minus accepted and less severe findings."""
-    static = scan(files, rules, configs, ignores)
+    static = scan(files, rules, configs, ignores, multiline=multiline)
     findings = static.findings
     if audits is not None:
         findings = findings.unionByName(audit_findings(selected_audits(audits, configs, files)))

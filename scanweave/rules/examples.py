@@ -190,3 +190,17 @@ EXAMPLES = {
 }
 # Rules that cannot hit line by line, since their pattern needs a line break.
 DEAD_RULES = ["A01-001", "A09-002", "AIML-005", "EMB-041", "PIPE-010", "PIPE-012", "PIPE-015", "PIPE-023"]
+
+# Texts over several lines: suffix, a match, a near miss, and a line that cancels the match.
+MULTILINE_EXAMPLES = {
+    "A01-001": (".py", "@app.route('/pay')  \ndef pay(request):", "@app.route('/pay')\n# first\ndef pay():", "@login_required"),
+    "A09-002": (".py", "try:\n    run()\nexcept ValueError:\n    pass", "except ValueError:\n    log()\n    pass", ""),
+    "CQ-010": (".py", "except Exception:\n    pass", "except Exception:\n    raise", ""),
+    "EMB-041": (".c", "xSemaphoreTake(m, 1);\nrun();", "xSemaphoreTake(m, 1);\nrun(); xSemaphoreGive(m);", ""),
+    "PIPE-010": (".yml", "kind: Secret\nmetadata:", "kind: Secret\ntype: Opaque\nmetadata:", "# vault.hashicorp"),
+    "PIPE-012": (".yaml", "containers:\n  - name: a", "containers:\n  name: a", "limits:"),
+    "PIPE-015": (".yml", "containers:\n\n  - name: a", "containers: a\n  - name: a", "livenessProbe:"),
+    "PIPE-022": (".yml", "permissions:\n  contents: write-all", "permissions:\n  contents: read-all", ""),
+    "PIPE-023": (".yaml", "on:\n  pull_request_target:", "on:\n  push:\n  pull_request_target:", ""),
+    "AIML-005": (".py", "context = find(q)\nmessages.append(context)", "context = find(q)\n\nmessages.append(context)", ""),
+}
