@@ -91,14 +91,17 @@ def ignored_paths(paths: DataFrame, ignores: DataFrame) -> DataFrame:
 def not_ignored(hits: DataFrame, ignores: DataFrame) -> DataFrame:
     """``hits(repo_id, path, ..)``, batch or stream, without those an ignore glob covers.
 
-    The globs of a repository become one pattern, a static row; a stream joins it without
-    state, and its pattern is tested once per hit.
+    A stream joins the patterns without state, and a pattern is tested once per hit.
     """
+    covered = F.coalesce(F.rlike(F.col("path"), F.col("_ignored")), F.lit(False))
+    return hits.join(ignore_patterns(ignores), "repo_id", "left").where(~covered).drop("_ignored")
+
+
+def ignore_patterns(ignores: DataFrame) -> DataFrame:
+    """``(repo_id, _ignored)``: the globs of a repository as one pattern, a static row."""
     globs = ignores.select("repo_id", normalise(F.col("glob")).alias("glob")).where("glob != ''")
     directory = F.concat(F.lit(r"(?s)\A"), F.regexp_replace("glob", r"([^\p{L}\p{N}_/])", r"\\$1"), F.lit(".*"))
     regex = F.when(F.col("glob").endswith("/"), directory).otherwise(glob_regex(F.col("glob"), and_below=True))
-    one = globs.select("repo_id", regex.alias("regex")).groupBy("repo_id").agg(
+    return globs.select("repo_id", regex.alias("regex")).groupBy("repo_id").agg(
         F.concat(F.lit("(?:"), F.array_join(F.array_sort(F.collect_set("regex")), ")|(?:"), F.lit(")")).alias("_ignored")
     )
-    covered = F.coalesce(F.rlike(F.col("path"), F.col("_ignored")), F.lit(False))
-    return hits.join(one, "repo_id", "left").where(~covered).drop("_ignored")

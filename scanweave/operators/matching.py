@@ -60,6 +60,17 @@ def scan_lines(
     With ``multiline``, rules that ask for a line feed are matched over several lines too; their
     ``line`` is the first one.
     """
+    keep = keep or ["repo_id", "path"]
+    found = file_hits(files, rules, keep, automaton, max_line_chars, multiline)
+    hits = found.select(*keep, F.explode("hits").alias("hit"))
+    return hits.select(*keep, "hit.rule_no", "hit.line", "hit.code", "hit.context")
+
+
+def file_hits(
+    files: DataFrame, rules: tuple[Rule, ...] | None = None, keep: list[str] | None = None, automaton: bool = True,
+    max_line_chars: int | None = None, multiline: bool = False,
+) -> DataFrame:
+    """One row per file, also without hits: the ``keep`` columns and ``hits``, an array of what :func:`scan_lines` lists."""
     rules = builtin_rules() if rules is None else rules
     keep = keep or ["repo_id", "path"]
     patterns = tuple("" if r.file_check else r.pattern for r in rules)
@@ -75,8 +86,7 @@ def scan_lines(
     matched = prepared.withColumn("candidates", candidates).withColumn("matched", F.expr(_line_numbers(rules)))
     if multiline:
         matched = matched.withColumn("matched", F.concat("matched", F.expr(_first_lines(rules, max_line_chars))))
-    hits = matched.select(*keep, F.explode(F.expr(_hit_structs(rules))).alias("hit"))
-    return hits.select(*keep, "hit.rule_no", "hit.line", "hit.code", "hit.context")
+    return matched.select(*keep, F.expr(_hit_structs(rules)).alias("hits"))
 
 
 def unscanned(files: DataFrame, max_line_chars: int | None = None, max_file_bytes: int | None = None) -> DataFrame:

@@ -660,7 +660,6 @@ def oracle() -> dict[str, str]:
           ) GROUP BY 1, 2""", "stream_hits"),
         "severity_heads": sql(f"""SELECT DISTINCT repo_id, CAST(5 + rank AS INT) AS section,
             chr(10) || '## ' || {_MARK} || ' ' || severity || ' Severity Findings' || chr(10) AS text FROM queue WHERE rank < 4""", "queue"),
-        "stream_gate": sql(_GATE.format("""SELECT repo_id, 'CRITICAL' AS fail_threshold, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
-            count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (severity = 'INFO') AS info
-          FROM stream_hits s WHERE NOT EXISTS (SELECT 1 FROM baseline b WHERE b.repo_id = s.repo_id AND b.finding_key = s.id || ':' || s.file || ':' || s.line) GROUP BY repo_id"""), "stream_hits", "baseline"),
+        "stream_gate": sql(_GATE.format("SELECT c.*, coalesce(f.fail_threshold, 'CRITICAL') AS fail_threshold FROM counts c LEFT JOIN configs f USING (repo_id)"), "counts", "configs"),
+        "stream_current": sql("SELECT repo_id, file, id, line, severity FROM findings", "findings"),
     }

@@ -18,6 +18,7 @@ from ..session import materialize
 from ..sources import audits as au
 from ..sources import settings as st
 from ..streaming import continuous as cs
+from ..streaming import current as cu
 from . import corpus as co
 from . import documents as docs
 from . import report as rp
@@ -445,11 +446,27 @@ def stream_hourly(spark, sf):
     return per_hour.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "severity", "n")
 
 
-def stream_gate(spark, sf):
+def _current(spark, sf, batches=3):
+    """The corpus followed on a stream to its end, under the settings of its repositories."""
     files = co.files(spark, sf)
-    baseline = st.baseline_from_files(files, st.configs_from_files(files))
-    found = cs.drop_accepted(cs.scan_stream(cs.corpus_versions(spark, sf)), baseline)
-    return cs.gate_once(found).drop("batch")
+    c, ignores, baseline = _settings(files)
+    about = materialize(pr.profile(files, c))
+    found = cu.version_findings(cs.corpus_history(spark, sf, batches), facts=about, ignores=ignores, baseline=baseline)
+    now = cu.CurrentFindings(spark)
+    now.follow(found).awaitTermination()
+    return now, about, c
+
+
+def stream_gate(spark, sf):
+    """The gate as the running counts give it: that of a batch scan of the last versions."""
+    now, about, c = _current(spark, sf)
+    return now.gate(about, c)
+
+
+def stream_current(spark, sf):
+    """What is open after the last micro-batch."""
+    now, _, _ = _current(spark, sf)
+    return now.open_findings().withColumnRenamed("path", "file")
 
 
 def stream_sliding(spark, sf):
@@ -474,6 +491,6 @@ QUERIES = {
         secrets_hits, context_snippets, user_rules, rejected_rules, findings, findings_dedup, missing_tests, baseline_antijoin,
         suppressed_counts, min_severity, category_listing, review_queue, top_critical, top_high, top20,
         finding_cards, report_text, report_listing, job_summary, findings_json, pip_audit, npm_audit, osv_audit,
-        audit_problems, audit_selection, dependency_union, stream_scan, stream_dedup, stream_hourly, stream_sliding, stream_gate, severity_heads,
+        audit_problems, audit_selection, dependency_union, stream_scan, stream_dedup, stream_hourly, stream_sliding, stream_gate, stream_current, severity_heads,
     )
 }

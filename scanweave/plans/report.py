@@ -34,10 +34,16 @@ def _counts() -> list[Column]:
     return [F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES]
 
 
-def severity_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+def severity_counts(findings: DataFrame, repos: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """Findings per repository and severity, as columns, and their total.  With
-    ``repos``, repositories without findings are listed too."""
-    counted = findings.groupBy("repo_id").agg(*_counts(), F.count("*").alias("total"))
+    ``repos``, repositories without findings are listed too.  ``weight`` names a column that
+    says how many findings a row stands for."""
+    if weight is None:
+        counts = [*_counts(), F.count("*").alias("total")]
+    else:
+        of = lambda s: F.sum(F.when(F.col("severity") == s, F.col(weight)).otherwise(0)).alias(s.lower())
+        counts = [*map(of, SEVERITIES), F.sum(weight).alias("total")]
+    counted = findings.groupBy("repo_id").agg(*counts)
     if repos is None:
         return counted
     return repos.select("repo_id").join(counted, "repo_id", "left").na.fill(0)

@@ -89,6 +89,27 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def corpus_history(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The whole corpus, settings files included, as a stream of versions in so many micro-batches.
+
+    A third of the files had an earlier version with more findings, and every repository had a
+    file that is gone now; versions arrive in no order."""
+    files = corpus.files(spark, sf_dir).select("repo_id", "path", "content")
+    first, second = (F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp").alias("commit_ts") for d in (1, 2))
+    earlier = files.where(F.pmod(F.hash("path"), F.lit(3)) == 0).select(
+        "repo_id", first, "path", F.concat("content", F.lit("\neval(x)\nprint(x)\n<?php eval($x);")).alias("content")
+    )
+    gone = files.select("repo_id").distinct().select("repo_id", F.inline(F.array(
+        F.struct(first, F.lit("src/gone.py").alias("path"), F.lit("eval(x)").alias("content")),
+        F.struct(second, F.lit("src/gone.py").alias("path"), F.lit(None).cast("string").alias("content")),
+    )))
+    now = files.select("repo_id", second, "path", "content")
+    where, parts = shared_dir(spark), 15
+    now.unionByName(earlier).unionByName(gone).repartition(parts, "path", "commit_ts").write.parquet(where)
+    schema = "repo_id string, commit_ts timestamp, path string, content string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", -(-parts // batches)).parquet(where)
+
+
 def corpus_versions(spark: SparkSession, sf_dir: str, copies: int = 1, sentinel: bool = False) -> DataFrame:
     """Documents and pages as a stream of file versions, one of each per minute.
 
