@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from hashlib import sha256
 
 import numpy as np
@@ -22,21 +23,59 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+_LONG_SPACE = re.compile(r"\s{10000}")
+
+# Fixed value: how a byte-level tokenizer that uses its regex cuts a text before the merges.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteLevel:
-    """Vocabulary A: the JSON text of a byte-level file; a text is encoded after a blank."""
+    """Vocabulary A: the JSON text of a byte-level file; a text is encoded after a blank.
 
-    def __init__(self, source: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+    A plain file, whose merges make its ids in ascending order, is encoded by ranks where the
+    worker has that library, in a third of the time; tests compare it with the other library
+    over all characters.  Other files, and workers without it, take the other library.
+    """
 
-        self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, source: str, by_ranks: bool = True):
         letters, spec = byte_letters(), json.loads(source)
         entries = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        self.ranks = self._by_ranks(spec, entries) if by_ranks else None
+        self.source, self.tokenizer = source, None
         entries |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
         self.entries = [entries.get(i, b"") for i in range(max(entries) + 1)]
 
+    @staticmethod
+    def _by_ranks(spec: dict, entries: dict[int, bytes]):
+        model, cut = spec["model"], spec["pre_tokenizer"]
+        made = [model["vocab"].get("".join(pair)) for pair in model["merges"]]
+        plain = (
+            model["type"] == "BPE" and not spec["normalizer"] and cut["type"] == "ByteLevel" and cut["use_regex"]
+            and not cut["add_prefix_space"] and not model["continuing_subword_prefix"] and not model["end_of_word_suffix"]
+            and not model["ignore_merges"] and not model["byte_fallback"] and made == list(range(256, 256 + len(made)))
+            and len({entries[i] for i in entries}) == len(entries) == 256 + len(made)
+        )
+        if not plain:
+            return None
+        try:
+            from tiktoken import Encoding
+        except ImportError:
+            return None
+        return Encoding("a", pat_str=CUTS, mergeable_ranks={raw: i for i, raw in entries.items()}, special_tokens={})
+
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.ranks is None:
+            return self._by_library(texts)
+        # The rank library's pattern engine gives up on very long white space.
+        return [self._by_library([t])[0] if _LONG_SPACE.search(t) else self.ranks.encode_ordinary(" " + t) for t in texts]
+
+    def _by_library(self, texts: list[str]) -> list[list[int]]:
+        if self.tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_str(self.source)
+            self.tokenizer.encode_special_tokens = True
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 

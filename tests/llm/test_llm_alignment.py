@@ -90,6 +90,24 @@ def test_statistics_equal_brute_force(spark, libraries, monkeypatch, frequent):
     assert sum(e[1] > 0 for e in expected) > 100 and sum(e[1] == 0 for e in expected) > 5
 
 
+def test_ranks_equal_the_library():
+    with open(A, encoding="utf-8") as file:
+        source = file.read()
+    ranks, library = token_spans.ByteLevel(source), token_spans.ByteLevel(source, by_ranks=False)
+    assert ranks.ranks is not None and library.ranks is None
+    rng = random.Random(6)
+    letters = "aAbé ß한\U0001f600  \t\n\r\x0b\x1c\x85\u00a0 \u2028\u3000'sStTrReElLdDmMvV12３.,!\x00\u0301\U00016ea0"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(5000)]
+    texts += [chr(c) + "a " + chr(c) + "1" for c in range(0x20, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    texts += [" " * 200_000 + "a", "\n" * 50_000, "x" * 100_000, "<|endoftext|>", ""]
+    for low in range(0, len(texts), 500):
+        part = texts[low:low + 500]
+        for text, a, b in zip(part, ranks.encode(part), library.encode(part)):
+            assert a == b, repr(text)[:100]
+    other = source.replace('"use_regex":true', '"use_regex":false').replace('"use_regex": true', '"use_regex": false')
+    assert token_spans.ByteLevel(other).ranks is None
+
+
 def test_groups_are_listed_whole(spark, libraries):
     texts = ["one two", "İstanbul naïve 한글", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
