@@ -36,28 +36,29 @@ def candidate_lines_sql(text: str, short_lines: str, patterns: tuple[str, ...])
     return f"array({', '.join(tests)})"
 
 
-def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int | None = None, library: bool = True):
+def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int | None = None, library: bool = True, bits: tuple[int, ...] | None = None):
     """``array<array<int>>`` of the folded text: per pattern the numbers of the lines, of
     at most ``max_chars`` if given, that hold its required words.
 
+    With ``bits``, one per pattern, the function takes a second column, a mask: only the words
+    of patterns whose bit is set are searched, and with no bit set the text is not looked at.
     The function carries its word lists with it and imports what it needs where it
     runs, so executors need no copy of this package.
     """
     clauses = [[frozenset(c) for c in clauses_of(p)] for p in patterns]
-    asked_by: dict[str, list[int]] = {}
-    for no, needed in enumerate(clauses):
-        for word in needed[0] if needed else ():
-            asked_by.setdefault(word, []).append(no)
-    words = sorted({w for needed in clauses for c in needed for w in c})
     n_patterns, line_break = len(patterns), LINE_BREAK
 
-    @F.pandas_udf("array<array<int>>")
-    def candidate_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def finder(mask):
+        """The search for the patterns of one mask."""
         import re
         from bisect import bisect_right
 
-        import pandas
-
+        asked_by = {}
+        chosen = [no for no in range(n_patterns) if mask is None or bits[no] & mask]
+        for no in chosen:
+            for word in clauses[no][0] if clauses[no] else ():
+                asked_by.setdefault(word, []).append(no)
+        words = sorted({w for no in chosen for c in clauses[no] for w in c})
         try:
             if not library:
                 raise ImportError
@@ -103,7 +104,34 @@ def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int | None = None,
                         out[no].append(n)
             return out
 
-        for texts in batches:
-            yield pandas.Series([find(t) for t in texts], index=texts.index, dtype=object)
+        return find
+
+    if bits is None:
+
+        @F.pandas_udf("array<array<int>>")
+        def candidate_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            import pandas
+
+            find = finder(None)
+            for texts in batches:
+                yield pandas.Series([find(t) for t in texts], index=texts.index, dtype=object)
+
+        return candidate_lines
+
+    @F.pandas_udf("array<array<int>>")
+    def active_candidate_lines(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import pandas
+
+        finders = {}  # as many as there are sets of active domains
+
+        def find(text, mask):
+            if not mask or not text:
+                return []
+            if mask not in finders:
+                finders[mask] = finder(mask)
+            return finders[mask](text)
+
+        for texts, masks in batches:
+            yield pandas.Series([find(t, int(m)) for t, m in zip(texts, masks)], index=texts.index, dtype=object)
 
-    return candidate_lines
+    return active_candidate_lines

@@ -28,7 +28,7 @@ from ..functions.paths import file_name, suffix
 from ..functions.regex import SPACE, java_line_pattern, java_name_pattern, names_line_break
 from ..functions.text import LINE_BREAK, drop_last_empty, fold_sql, snippet_sql, sql_string, window_sql
 from ..functions.words import candidate_lines_sql, candidate_lines_udf, clauses_of
-from ..rules.catalog import Rule, builtin_rules
+from ..rules.catalog import DOMAINS, Rule, builtin_rules
 
 # With ``parity`` longer lines are not matched; findings show this much code.
 PARITY_LINE_CHARS = 2000
@@ -49,7 +49,7 @@ def with_lines(files: DataFrame) -> DataFrame:
 
 def scan_lines(
     files: DataFrame, rules: tuple[Rule, ...] | None = None, keep: list[str] | None = None, automaton: bool = True,
-    max_line_chars: int | None = None, multiline: bool = False,
+    max_line_chars: int | None = None, multiline: bool = False, active: str | None = None,
 ) -> DataFrame:
     """Match line rules and file-name rules against ``files(repo_id, path, content)``.
 
@@ -58,17 +58,18 @@ def scan_lines(
     words are searched in an Arrow batch function, or with ``automaton=False`` in SQL.
     ``max_line_chars`` leaves out longer lines; see :func:`unscanned` for what that costs.
     With ``multiline``, rules that ask for a line feed are matched over several lines too; their
-    ``line`` is the first one.
+    ``line`` is the first one.  ``active`` names a column with a bit per domain, as
+    :func:`~scanweave.operators.pruning.with_active` adds it: rules of other domains are not tried.
     """
     keep = keep or ["repo_id", "path"]
-    found = file_hits(files, rules, keep, automaton, max_line_chars, multiline)
+    found = file_hits(files, rules, keep, automaton, max_line_chars, multiline, active)
     hits = found.select(*keep, F.explode("hits").alias("hit"))
     return hits.select(*keep, "hit.rule_no", "hit.line", "hit.code", "hit.context")
 
 
 def file_hits(
     files: DataFrame, rules: tuple[Rule, ...] | None = None, keep: list[str] | None = None, automaton: bool = True,
-    max_line_chars: int | None = None, multiline: bool = False,
+    max_line_chars: int | None = None, multiline: bool = False, active: str | None = None,
 ) -> DataFrame:
     """One row per file, also without hits: the ``keep`` columns and ``hits``, an array of what :func:`scan_lines` lists."""
     rules = builtin_rules() if rules is None else rules
@@ -78,15 +79,22 @@ def file_hits(
     if max_line_chars is not None:
         numbered = f"filter(transform(lines, (t, i) -> IF(char_length(t) <= {max_line_chars}, i + 1, 0)), n -> n > 0)"
 
-    prepared = with_lines(files).withColumns({"low": F.expr(fold_sql("content")), "short": F.expr(numbered)})
-    if automaton:
+    folded = fold_sql("content")
+    if active is not None and automaton:  # without an active domain nothing of the content is used
+        folded = f"CASE WHEN {active} <> 0 THEN {folded} END"
+        files = files.withColumn("content", F.expr(f"CASE WHEN {active} <> 0 THEN content END"))
+    prepared = with_lines(files).withColumns({"low": F.expr(folded), "short": F.expr(numbered)})
+    if automaton and active is not None:
+        bits = tuple(domain_bit(r.domain) for r in rules)
+        candidates = candidate_lines_udf(patterns, max_line_chars, bits=bits)(F.col("low"), F.col(active))
+    elif automaton:
         candidates = candidate_lines_udf(patterns, max_line_chars)(F.col("low"))
     else:
         candidates = F.expr(candidate_lines_sql("low", "short", patterns))
-    matched = prepared.withColumn("candidates", candidates).withColumn("matched", F.expr(_line_numbers(rules)))
+    matched = prepared.withColumn("candidates", candidates).withColumn("matched", F.expr(_line_numbers(rules, active)))
     if multiline:
-        matched = matched.withColumn("matched", F.concat("matched", F.expr(_first_lines(rules, max_line_chars))))
-    return matched.select(*keep, F.expr(_hit_structs(rules)).alias("hits"))
+        matched = matched.withColumn("matched", F.concat("matched", F.expr(_first_lines(rules, max_line_chars, active))))
+    return matched.select(*keep, F.expr(_hit_structs(rules, active)).alias("hits"))
 
 
 def unscanned(files: DataFrame, max_line_chars: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
@@ -106,7 +114,16 @@ def unscanned(files: DataFrame, max_line_chars: int | None = None, max_file_byte
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _applies(rule: Rule) -> str:
+def domain_bit(domain: str) -> int:
+    return 1 << DOMAINS.index(domain)
+
+
+def _applies(rule: Rule, active: str | None = None) -> str:
+    bound = _bound_to(rule)
+    return bound if active is None else f"({active} & {domain_bit(rule.domain)}L) <> 0 AND ({bound})"
+
+
+def _bound_to(rule: Rule) -> str:
     if rule.langs is not None and not rule.langs:
         return "false"  # bound to no file at all
     tests = []
@@ -118,10 +135,10 @@ def _applies(rule: Rule) -> str:
 
 
 @lru_cache(maxsize=8)
-def _line_numbers(rules: tuple[Rule, ...]) -> str:
+def _line_numbers(rules: tuple[Rule, ...], active: str | None = None) -> str:
     """``array<struct<rule_no, ns>>``: per rule with hits, the numbers of its lines."""
     per_rule = [
-        f"struct({no} AS rule_no, CASE WHEN {_applies(rule)} THEN {_matching_lines(no, rule)} END AS ns)"
+        f"struct({no} AS rule_no, CASE WHEN {_applies(rule, active)} THEN {_matching_lines(no, rule)} END AS ns)"
         for no, rule in enumerate(rules)
         if not rule.file_check
     ]
@@ -137,7 +154,7 @@ def _matching_lines(no: int, rule: Rule) -> str:
 
 
 @lru_cache(maxsize=8)
-def _first_lines(rules: tuple[Rule, ...], max_line_chars: int | None = None) -> str:
+def _first_lines(rules: tuple[Rule, ...], max_line_chars: int | None = None, active: str | None = None) -> str:
     """As :func:`_line_numbers`, of matches that reach over several lines: their first lines."""
     per_rule = []
     too_long = f"char_length(t) > {max_line_chars} OR " if max_line_chars is not None else ""
@@ -150,7 +167,7 @@ def _first_lines(rules: tuple[Rule, ...], max_line_chars: int | None = None) ->
         marked = f"split(regexp_replace(array_join({free}, '\\n'), {pattern}, '{MARK}$0'), '\\n', -1)"
         numbers = f"filter(transform({marked}, (t, i) -> IF(contains(t, '{MARK}'), i + 1, 0)), n -> n > 0)"
         per_rule.append(
-            f"struct({no} AS rule_no, CASE WHEN ({_applies(rule)}) AND {words or 'true'} THEN {_not_cancelled(numbers, rule)} END AS ns)"
+            f"struct({no} AS rule_no, CASE WHEN ({_applies(rule, active)}) AND {words or 'true'} THEN {_not_cancelled(numbers, rule)} END AS ns)"
         )
     if not per_rule:
         return "CAST(array() AS ARRAY<STRUCT<rule_no: INT, ns: ARRAY<INT>>>)"
@@ -165,14 +182,14 @@ def _not_cancelled(numbers: str, rule: Rule) -> str:
     return numbers
 
 
-def _hit_structs(rules: tuple[Rule, ...]) -> str:
+def _hit_structs(rules: tuple[Rule, ...], active: str | None = None) -> str:
     code = f"substring({_strip_sql('element_at(lines, n)')}, 1, {CODE_CHARS})"
     hit = f"struct(m.rule_no AS rule_no, n AS line, {code} AS code, {snippet_sql('lines', 'n')} AS context)"
     line_hits = f"flatten(transform(matched, m -> transform(m.ns, n -> {hit})))"
     # The start of the file as text: every line break written as a line feed.
     head = f"substring(regexp_replace(substring(content, 1, {2 * CODE_CHARS}), '\\\\r\\\\n?', '\\n'), 1, {CODE_CHARS})"
     by_name = [
-        f"CASE WHEN ({_applies(rule)}) AND name RLIKE {sql_string(java_name_pattern(rule.pattern))} THEN "
+        f"CASE WHEN ({_applies(rule, active)}) AND name RLIKE {sql_string(java_name_pattern(rule.pattern))} THEN "
         f"struct({no} AS rule_no, 0 AS line, '.env file detected' AS code, {head} AS context) END"
         for no, rule in enumerate(rules)
         if rule.file_check

@@ -14,9 +14,10 @@ from ..operators import suppression as sp
 from ..operators.matching import PARITY_LINE_CHARS, scan_lines, unscanned, with_lines
 from ..rules.catalog import builtin_rules, merge_rules, rules_frame
 from ..schemas import FINDING
-from ..session import materialize
+from ..session import materialize, shared_dir
 from ..sources import audits as au
 from ..sources import settings as st
+from ..sources.files import read_directory, write_tree
 from ..streaming import continuous as cs
 from ..streaming import current as cu
 from . import corpus as co
@@ -132,6 +133,14 @@ def ignored_files(spark, sf):
     return ff.ignored_paths(ff.project_files(files), st.ignores_from_files(files, st.configs_from_files(files))).distinct()
 
 
+def tree_files(spark, sf):
+    """The corpus as a directory tree, listed and read back: the files of each repository."""
+    root = shared_dir(spark)
+    write_tree(co.files(spark, sf), root)
+    found = read_directory(spark, root)
+    return found.select("repo_id", "path", "size", F.sha2("content", 256).alias("content_sha256"))
+
+
 # --- profile ----------------------------------------------------------------
 
 
@@ -486,7 +495,7 @@ QUERIES = {
     for f in (
         severity_counts, risk_level, category_matrix, owasp_coverage, fail_gate,
         project_files, scannable_files, text_lines, rule_applicability, configs, config_problems, unscanned_parts, ignore_globs, baseline_keys,
-        ignored_files, language_counts, top_languages, primary_language, frameworks, arch_types, manifest_packages,
+        ignored_files, tree_files, language_counts, top_languages, primary_language, frameworks, arch_types, manifest_packages,
         domains, test_presence, line_hits, negative_context, lookaround_rules, file_name_rules, multiline_hits, page_hits,
         secrets_hits, context_snippets, user_rules, rejected_rules, findings, findings_dedup, missing_tests, baseline_antijoin,
         suppressed_counts, min_severity, category_listing, review_queue, top_critical, top_high, top20,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.file_filters import not_ignored, project_files, scannable
 from ..operators.matching import PARITY_LINE_CHARS, scan_lines
 from ..operators.profile import profile as build_profile
+from ..operators.pruning import with_active
 from ..operators.suppression import active_findings, at_least, drop_accepted, first_of_each
 from ..rules.catalog import CORE_DOMAINS, Rule, builtin_rules, rules_frame
 from ..session import configure, materialize
@@ -36,8 +37,8 @@ def scan(
 
     The content is read once, by the matching, which is a narrow pass, and the hits are
     written to the shared folder: nothing after that repeats the pass, whatever fails.
-    Domains, ignore lists and deduplication are applied to the hits: they are small,
-    and the corpus itself is never shuffled.  Everything is scanned; the limits leave out
+    What domains and ignore lists rule out is not matched; they are applied to the hits too, which
+    are small, and so is deduplication: the corpus itself is never shuffled.  Everything is scanned; the limits leave out
     longer lines and larger files, and ``parity`` sets both to 2000 and 500,000.
     ``multiline`` also matches the rules written for several lines, which are silent
     otherwise; with ``parity`` they stay silent.
@@ -49,7 +50,10 @@ def scan(
     if parity and max_line_chars is None:
         max_line_chars = PARITY_LINE_CHARS
     scanned = project_files(files).where(scannable(F.col("path"), F.col("size"), parity, max_file_bytes))
-    hits = first_of_each(materialize(scan_lines(scanned, rules, max_line_chars=max_line_chars, multiline=multiline and not parity)))
+    # Rules of inactive domains are not tried, and ignored files not looked at.
+    scanned = with_active(scanned, about, ignores)
+    found = scan_lines(scanned, rules, max_line_chars=max_line_chars, multiline=multiline and not parity, active="active")
+    hits = first_of_each(materialize(found))
     if ignores is not None:
         hits = not_ignored(hits, ignores)
     # A repository left without any domain is scanned with the core ones.

@@ -2,118 +2,125 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_utf8
 from ..operators.file_filters import WALK_SKIP
+from ..session import materialize, shared_dir
+from . import tree_reader
 
-_LISTED = "repo_id STRING, path STRING, is_dir BOOLEAN, size BIGINT"
+cloudpickle.register_pickle_by_value(tree_reader)
+
+_LISTED = "repo_id STRING, path STRING, is_dir BOOLEAN, size BIGINT, modified BIGINT"
+# Entries one task lists before it hands on the directories that are left.
+LIST_BUDGET = 20_000
+# Bytes of content one task reads, about.
+READ_BYTES = 64 << 20
+
+
+def list_tree(
+    spark: SparkSession, root: str, prune: bool = True, repos: DataFrame | None = None, tasks: int | None = None,
+    budget: int = LIST_BUDGET,
+) -> DataFrame:
+    """``(repo_id, path, size, modified)`` of all files below ``root``, as a stored table.
+
+    Spark's own file sources leave out names that start with a dot, which here are some of the
+    most telling files, so directories are listed in tasks, in rounds.  A task walks down from
+    its directories until it has listed ``budget`` entries; what is left is dealt out anew in the
+    next round, so one huge directory, however deep, is walked by many tasks.  Skipped
+    directories are not entered, and links are not followed.  The repositories are the
+    directories in ``root``, or the names in ``repos(repo_id)``, which spares listing it.
+    """
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    function = tree_reader.lister(root, WALK_SKIP if prune else [], budget)
+    if repos is None:
+        frontier = materialize(spark.createDataFrame([("", "")], "repo_id STRING, path STRING").mapInPandas(function, _LISTED))
+    else:
+        frontier = materialize(repos.selectExpr("repo_id", "'' AS path", "true AS is_dir", "0L AS size", "0L AS modified").distinct())
+    rounds = [frontier]
+    while not (todo := rounds[-1].where("is_dir")).isEmpty():
+        rounds.append(materialize(todo.repartition(tasks, "repo_id", "path").mapInPandas(function, _LISTED)))
+    listed = reduce(DataFrame.unionAll, rounds).where("NOT is_dir")
+    return listed.select("repo_id", "path", "size", F.timestamp_micros("modified").alias("modified"))
+
+
+def write_listing(spark: SparkSession, listing: DataFrame, log: str, version: int) -> None:
+    """Store ``listing`` as a version of ``log``, in part files that hold about ``READ_BYTES`` of content each."""
+    listing = materialize(listing)
+    size = listing.agg(F.sum("size")).first()[0] or 0
+    parts = max(size // READ_BYTES + 1, min(spark.sparkContext.defaultParallelism, 64))
+    dealt = listing.repartition(int(parts), "repo_id", "path")
+    dealt.write.mode("overwrite").parquet(f"{log}/version={version}")
+
+
+def take_snapshot(spark: SparkSession, root: str, log: str, prune: bool = True, at: Column | None = None) -> int | None:
+    """Write what has changed below ``root`` since the last snapshot as the next version of ``log``.
+
+    A file is changed if its size or time is; one that is there no more is listed as gone.  The
+    whole listing is kept beside, to be compared with the next.  Returns the version's number,
+    or nothing if there is no change.  A snapshot that broke off is written anew.
+    """
+    done = tree_reader.finished_versions(log)
+    version = done[-1] + 1 if done else 0
+    full = f"{log}/full/snapshot={version}"
+    list_tree(spark, root, prune).write.mode("overwrite").parquet(full)
+    now = spark.read.parquet(full).withColumn("gone", F.lit(False))
+    if done:
+        before = spark.read.parquet(f"{log}/full/snapshot={version - 1}").withColumn("gone", F.lit(True))
+        same = ["repo_id", "path", "size", "modified"]
+        changed = now.join(before.select(same), same, "left_anti")
+        left = before.join(now.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+        now = changed.unionByName(left)
+    now = materialize(now.withColumn("taken", at if at is not None else F.current_timestamp()))
+    if done and now.isEmpty():
+        return None
+    write_listing(spark, now, log, version)
+    return version
+
+
+def _source(reader, root: str, log: str, max_bytes: int | None):
+    reader = reader.format("repository_files").option("root", root).option("log", log)
+    return reader if max_bytes is None else reader.option("maxBytes", str(max_bytes))
 
 
 def read_directory(
-    spark: SparkSession, root: str, max_bytes: int | None = None, prune: bool = True, tasks: int | None = None
+    spark: SparkSession, root: str, max_bytes: int | None = None, prune: bool = True, tasks: int | None = None,
+    repos: DataFrame | None = None,
 ) -> DataFrame:
     """Repositories kept as sub-directories of ``root``, on any file system.
 
-    Spark's own file sources leave out names that start with a dot, which here are
-    some of the most telling files, so directories are listed in tasks: repositories
-    first, then their top-level entries, then everything below, dealt out anew each
-    time so that a huge repository is walked by many tasks.  Skipped directories are
-    not entered, and links are not followed.  Content is read last, after the listing
-    has been spread; files that cannot be read, and larger files than ``max_bytes``,
-    are listed with null content: :func:`unread` tells them.
+    The tree is listed by :func:`list_tree`; a data source then reads the listing's parts, so
+    planning does not depend on the number of files.  Files that cannot be read, and larger
+    files than ``max_bytes``, have null content: :func:`unread` tells them.
     """
-    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
-    skip = set(WALK_SKIP) if prune else set()
-    start = spark.createDataFrame([("", "", True, 0)], _LISTED)
-    repos = start.mapInPandas(_lister(root, skip, deep=False, name_repo=True), _LISTED).where("is_dir")
-    entries = repos.repartition(tasks, "repo_id").mapInPandas(_lister(root, skip, deep=False), _LISTED)
-    found = entries.repartition(tasks, "repo_id", "path").mapInPandas(_lister(root, skip, deep=True), _LISTED)
-    spread = found.where("NOT is_dir").select("repo_id", "path", "size").repartition(tasks, "repo_id", "path")
-    read = spread.mapInPandas(_reader(root, max_bytes), "repo_id STRING, path STRING, size BIGINT, raw BINARY")
-    return read.select("repo_id", "path", decode_utf8(F.col("raw")).alias("content"), "size")
-
-
-def _lister(root: str, skip: set[str], deep: bool, name_repo: bool = False):
-    """List directories one level (or, with ``deep``, all levels) down; pass files on."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        import pandas
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root)
-
-        def children(repo, path):
-            where = "/".join(p for p in (base.rstrip("/"), repo, path) if p)
-            try:
-                entries = system.get_file_info(fs.FileSelector(where))
-            except OSError:  # gone, or not ours to read
-                return
-            local = isinstance(system, fs.LocalFileSystem)
-            for entry in entries:
-                name, is_dir = entry.base_name, entry.type == fs.FileType.Directory
-                if entry.type == fs.FileType.NotFound or local and os.path.islink(entry.path):
-                    continue
-                hidden = name.startswith(".") and name not in (".github", ".gitlab")
-                if is_dir and repo and skip and (name in skip or hidden):
-                    continue
-                if name_repo:
-                    yield name, "", is_dir, 0
-                else:
-                    yield repo, f"{path}/{name}" if path else name, is_dir, entry.size or 0
-
-        columns = ["repo_id", "path", "is_dir", "size"]
-        for batch in batches:
-            out = []
-            todo = list(batch[columns].itertuples(index=False, name=None))
-            while todo:
-                repo, path, is_dir, size = todo.pop()
-                if not is_dir:
-                    out.append((repo, path, False, size))
-                elif deep:
-                    todo.extend(children(repo, path))
-                else:
-                    for child in children(repo, path):
-                        out.append(child)
-                        if len(out) >= 10_000:
-                            yield pandas.DataFrame(out, columns=columns)
-                            out = []
-                if len(out) >= 10_000:
-                    yield pandas.DataFrame(out, columns=columns)
-                    out = []
-            yield pandas.DataFrame(out, columns=columns)
-
-    return run
-
-
-def _reader(root: str, max_bytes: int | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(root)
-
-        def content(repo, path, size):
-            if max_bytes is not None and size > max_bytes:
-                return None
-            try:
-                with system.open_input_stream("/".join((base.rstrip("/"), repo, path))) as stream:
-                    return stream.read()
-            except OSError:
-                return None
-
-        for batch in batches:
-            for at in range(0, len(batch), 64):  # few files in memory at a time
-                part = batch.iloc[at : at + 64]
-                rows = zip(part["repo_id"], part["path"], part["size"])
-                yield part.assign(raw=[content(*row) for row in rows])[["repo_id", "path", "size", "raw"]]
-
-    return run
+    spark.dataSource.register(tree_reader.RepositoryFiles)
+    log = shared_dir(spark)
+    write_listing(spark, list_tree(spark, root, prune, repos, tasks).withColumn("gone", F.lit(False)), log, 0)
+    read = _source(spark.read, root, log, max_bytes).load()
+    return read.select("repo_id", "path", decode_utf8(F.col("content")).alias("content"), "size")
+
+
+def follow_directory(spark: SparkSession, root: str, log: str, max_bytes: int | None = None) -> DataFrame:
+    """The snapshots of ``log`` as a stream of file versions ``(repo_id, commit_ts, path, content)``.
+
+    A file that is gone has null content.  The time of a version is that of its snapshot, so a
+    file that is put back with an older time is a later version all the same.  Content is read
+    when its version is processed: of a file changed since, it may be the later one already,
+    which the next snapshot lists again.
+    """
+    spark.dataSource.register(tree_reader.RepositoryFiles)
+    rows = _source(spark.readStream, root, log, max_bytes).load()
+    return rows.select("repo_id", F.col("taken").alias("commit_ts"), "path", decode_utf8(F.col("content")).alias("content"))
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write ``files(repo_id, path, content)`` below ``root``, which all executors can reach; returns how many."""
+    written = files.select("repo_id", "path", "content").mapInPandas(tree_reader.tree_writer(root), "n BIGINT")
+    return written.agg(F.sum("n")).first()[0] or 0
 
 
 def unread(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import fnmatch
 import pathlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scanweave.functions.globs import glob_regex
