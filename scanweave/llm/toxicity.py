@@ -48,21 +48,6 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(fold == HELD_OUT, F.lit(False))
 
 
-def _bag_batches(batches):
-    """``(key, label, text)`` to one row per window; numbers travel as bytes."""
-    for batch in batches:
-        keys, labels, found = [], [], []
-        for key, label, text in zip(*(column.to_pylist() for column in batch.columns)):
-            windows = subwords.bags(text)
-            keys += [key] * len(windows)
-            labels += [label] * len(windows)
-            found += [(bucket.tobytes(), count.astype(np.uint8).tobytes()) for bucket, count in windows]
-        packed_bags = [pa.array([w[i] for w in found], type=pa.binary()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, type=pa.int64()), pa.array(labels, type=pa.int32()), *packed_bags], names=["key", "label", "bucket", "count"]
-        )
-
-
 def _slices(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
     """The byte strings of a column as numbers, in the memory they arrived in."""
     found = []
@@ -88,7 +73,7 @@ def fit(
     sample = texts.where(F.octet_length("text") <= max_bytes).join(F.broadcast(chosen), "_id")
     # An id that occurs again stays one row.
     sample = sample.groupBy("_id", "label").agg(F.min("text").alias("text")).select(order.alias("key"), "label", "text")
-    table = map_batches(sample, _bag_batches, "key long, label int, bucket binary, count binary").toArrow()
+    table = map_batches(sample, subwords.bag_batches, "key long, label int, bucket binary, count binary").toArrow()
     keys, targets = table.column("key").to_numpy(), table.column("label").to_numpy().astype(np.int64)
     windows = list(zip(_slices(table.column("bucket"), np.int32), _slices(table.column("count"), np.uint8)))
     del table

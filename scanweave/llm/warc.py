@@ -130,11 +130,6 @@ def write_archives(records: DataFrame, folder: str | None = None, archive_bytes:
     return store(written)
 
 
-def _page(urn: str | None) -> int | None:
-    value = (urn or "").strip("<>").rpartition(":")[2]
-    return int(value) if value.lstrip("-").isdigit() else None
-
-
 def _reader(with_payload: bool):
     names = [c.split()[0] for c in READ_SCHEMA.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -146,9 +141,9 @@ def _reader(with_payload: bool):
         kind, stated = headers.get("warc-type", ""), headers.get("x-payload-length", "")
         size = len(payload) if kind == "response" else int(stated) if stated.isdigit() else None
         sha1 = warc_io.digest(payload) if kind == "response" else headers.get("warc-payload-digest", "").removeprefix("sha1:")
-        refers = _page(headers.get("warc-refers-to")) if kind == "revisit" else None
+        refers = warc_io.page_number(headers.get("warc-refers-to")) if kind == "revisit" else None
         return [
-            archive, offset, length, kind, "", _page(headers.get("warc-record-id")), headers.get("warc-target-uri"), size, sha1, refers,
+            archive, offset, length, kind, "", warc_io.page_number(headers.get("warc-record-id")), headers.get("warc-target-uri"), size, sha1, refers,
             payload if with_payload else None,
         ]
 

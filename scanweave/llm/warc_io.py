@@ -28,6 +28,12 @@ def _line(value: object) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", " ", str(value))
 
 
+def page_number(urn: str | None) -> int | None:
+    """The page in a record's id, if there is one."""
+    value = (urn or "").strip("<>").rpartition(":")[2]
+    return int(value) if value.lstrip("-").isdigit() else None
+
+
 def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, sha1: str, refers_to: int | None) -> bytes:
     """A response record, or a revisit if ``payload`` is None."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"

@@ -85,7 +85,7 @@ def test_salvage_recovers_all_other_records_and_accounts_for_every_byte():
         else:
             data[at:at] = b"noise \x1f\x8b\x08 WARC/1.1\r\n noise"
         found = list(warc_io.salvage(io.BytesIO(bytes(data))))
-        numbers = {warc._page(headers["warc-record-id"]) for _, _, headers, _, _ in found if headers}
+        numbers = {warc.warc_io.page_number(headers["warc-record-id"]) for _, _, headers, _, _ in found if headers}
         assert numbers >= set(range(8)) - {hurt}
         assert sum(length for _, length, *_ in found) == len(data)
         assert all(reason for _, _, headers, _, reason in found if headers is None)
