@@ -602,6 +602,7 @@ def oracle() -> dict[str, str]:
           FROM ({_spanning_hits_sql()})""", "ml_scanned"),
         "tree_files": sql("SELECT repo_id, path, size, sha256(content) AS content_sha256 FROM kept", "kept"),
         "line_hits": sql(hit.format("", "h.line > 0"), "hits", "rules"),
+        "distinct_content_hits": sql(hit.format("", "h.line > 0"), "hits", "rules"),
         "negative_context": sql("SELECT id, count(*) AS matched, count(*) FILTER (NOT cancelled) AS kept FROM raw_hits JOIN rules USING (rule_no) WHERE has_negative GROUP BY id", "raw_hits", "rules"),
         "lookaround_rules": sql(hit.format("", f"r.id IN {listed(_LOOK)}"), "hits", "rules"),
         "file_name_rules": sql(hit.format(", h.code, h.context", "r.id = 'SEC-010'"), "hits", "rules"),

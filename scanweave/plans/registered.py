@@ -11,6 +11,7 @@ from ..functions.regex import names_line_break
 from ..operators import file_filters as ff
 from ..operators import profile as pr
 from ..operators import suppression as sp
+from ..operators.distinct_content import scan_distinct
 from ..operators.matching import PARITY_LINE_CHARS, scan_lines, unscanned, with_lines
 from ..rules.catalog import builtin_rules, merge_rules, rules_frame
 from ..schemas import FINDING
@@ -186,6 +187,13 @@ def line_hits(spark, sf):
     return _named_hits(_scanned(spark, sf)).where("line > 0").select("repo_id", "path", "id", "line")
 
 
+def distinct_content_hits(spark, sf):
+    """:func:`line_hits` with each distinct content matched once."""
+    hits = scan_distinct(_scanned(spark, sf))
+    names = spark.createDataFrame([(i, r.rule_id) for i, r in enumerate(builtin_rules())], "rule_no INT, id STRING")
+    return hits.join(F.broadcast(names), "rule_no").where("line > 0").select("repo_id", "path", "id", "line")
+
+
 def negative_context(spark, sf):
     """Hits of rules with a cancelling pattern: how many stand and how many fell."""
     rules = tuple(r for r in builtin_rules() if r.negative_pattern)
@@ -496,7 +504,7 @@ QUERIES = {
         severity_counts, risk_level, category_matrix, owasp_coverage, fail_gate,
         project_files, scannable_files, text_lines, rule_applicability, configs, config_problems, unscanned_parts, ignore_globs, baseline_keys,
         ignored_files, tree_files, language_counts, top_languages, primary_language, frameworks, arch_types, manifest_packages,
-        domains, test_presence, line_hits, negative_context, lookaround_rules, file_name_rules, multiline_hits, page_hits,
+        domains, test_presence, line_hits, distinct_content_hits, negative_context, lookaround_rules, file_name_rules, multiline_hits, page_hits,
         secrets_hits, context_snippets, user_rules, rejected_rules, findings, findings_dedup, missing_tests, baseline_antijoin,
         suppressed_counts, min_severity, category_listing, review_queue, top_critical, top_high, top20,
         finding_cards, report_text, report_listing, job_summary, findings_json, pip_audit, npm_audit, osv_audit,
