@@ -663,5 +663,7 @@ def oracle() -> dict[str, str]:
         "severity_heads": sql(f"""SELECT DISTINCT repo_id, CAST(5 + rank AS INT) AS section,
             chr(10) || '## ' || {_MARK} || ' ' || severity || ' Severity Findings' || chr(10) AS text FROM queue WHERE rank < 4""", "queue"),
         "stream_gate": sql(_GATE.format("SELECT c.*, coalesce(f.fail_threshold, 'CRITICAL') AS fail_threshold FROM counts c LEFT JOIN configs f USING (repo_id)"), "counts", "configs"),
+        "stream_categories": sql("SELECT * FROM matrix", "matrix"),
+        "stream_owasp": sql("SELECT * FROM owasp", "owasp"),
         "stream_current": sql("SELECT repo_id, file, id, line, severity FROM findings", "findings"),
     }

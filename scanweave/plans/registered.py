@@ -486,6 +486,17 @@ def stream_current(spark, sf):
     return now.open_findings().withColumnRenamed("path", "file")
 
 
+def stream_categories(spark, sf):
+    """The category matrix from the running totals."""
+    return _current(spark, sf)[0].category_matrix()
+
+
+def stream_owasp(spark, sf):
+    """The OWASP coverage from the running totals."""
+    now, about, _ = _current(spark, sf)
+    return now.owasp_coverage(about)
+
+
 def stream_sliding(spark, sf):
     """Findings per six hours, counted every two."""
     found = cs.scan_stream(cs.corpus_versions(spark, sf, sentinel=True))
@@ -508,6 +519,7 @@ QUERIES = {
         secrets_hits, context_snippets, user_rules, rejected_rules, findings, findings_dedup, missing_tests, baseline_antijoin,
         suppressed_counts, min_severity, category_listing, review_queue, top_critical, top_high, top20,
         finding_cards, report_text, report_listing, job_summary, findings_json, pip_audit, npm_audit, osv_audit,
-        audit_problems, audit_selection, dependency_union, stream_scan, stream_dedup, stream_hourly, stream_sliding, stream_gate, stream_current, severity_heads,
+        audit_problems, audit_selection, dependency_union, stream_scan, stream_dedup, stream_hourly, stream_sliding, stream_gate, stream_current, stream_categories, stream_owasp,
+        severity_heads,
     )
 }

@@ -30,20 +30,22 @@ OWASP_TOP_10 = {
 }
 
 
-def _counts() -> list[Column]:
-    return [F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES]
+def _counts(weight: str | None = None) -> list[Column]:
+    """Findings per severity; ``weight`` names a column that says how many a row stands for."""
+    of = lambda s: F.col("severity") == s
+    if weight is None:
+        return [F.count_if(of(s)).alias(s.lower()) for s in SEVERITIES]
+    return [F.sum(F.when(of(s), F.col(weight)).otherwise(0)).alias(s.lower()) for s in SEVERITIES]
+
+
+def _count(weight: str | None = None) -> Column:
+    return F.count("*") if weight is None else F.sum(weight)
 
 
 def severity_counts(findings: DataFrame, repos: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """Findings per repository and severity, as columns, and their total.  With
-    ``repos``, repositories without findings are listed too.  ``weight`` names a column that
-    says how many findings a row stands for."""
-    if weight is None:
-        counts = [*_counts(), F.count("*").alias("total")]
-    else:
-        of = lambda s: F.sum(F.when(F.col("severity") == s, F.col(weight)).otherwise(0)).alias(s.lower())
-        counts = [*map(of, SEVERITIES), F.sum(weight).alias("total")]
-    counted = findings.groupBy("repo_id").agg(*counts)
+    ``repos``, repositories without findings are listed too."""
+    counted = findings.groupBy("repo_id").agg(*_counts(weight), _count(weight).alias("total"))
     if repos is None:
         return counted
     return repos.select("repo_id").join(counted, "repo_id", "left").na.fill(0)
@@ -59,18 +61,18 @@ def risk_levels(counts: DataFrame) -> DataFrame:
     return counts.withColumn("risk_level", level)
 
 
-def category_matrix(findings: DataFrame) -> DataFrame:
+def category_matrix(findings: DataFrame, weight: str | None = None) -> DataFrame:
     """Category by severity; the total leaves INFO out."""
     levels = [s.lower() for s in SEVERITIES[:4]]
-    counted = findings.groupBy("repo_id", "category").agg(*_counts()).drop("info")
+    counted = findings.groupBy("repo_id", "category").agg(*_counts(weight)).drop("info")
     return counted.withColumn("total", reduce(lambda a, b: a + b, map(F.col, levels)))
 
 
-def owasp_coverage(findings: DataFrame, repos: DataFrame) -> DataFrame:
+def owasp_coverage(findings: DataFrame, repos: DataFrame, weight: str | None = None) -> DataFrame:
     """Findings per repository and OWASP class, classes without findings included."""
     classes = F.array(*[F.struct(F.lit(k).alias("owasp"), F.lit(v).alias("name")) for k, v in OWASP_TOP_10.items()])
     grid = repos.select("repo_id", F.inline(classes))
-    counted = findings.where(F.col("owasp") != "").groupBy("repo_id", "owasp").agg(F.count("*").alias("c"))
+    counted = findings.where(F.col("owasp") != "").groupBy("repo_id", "owasp").agg(_count(weight).alias("c"))
     n = F.coalesce("c", F.lit(0))
     status = F.when(n > 0, F.concat(F.lit("⚠️ "), n.cast("string"), F.lit(" issue(s) found")))
     return grid.join(counted, ["repo_id", "owasp"], "left").select(

@@ -23,7 +23,7 @@ from ..functions.text import sql_string
 from ..operators.file_filters import ignore_patterns, in_project, scannable
 from ..operators.matching import file_hits
 from ..operators.suppression import MISSING_TESTS, join_repo_facts
-from ..plans.report import gate, severity_counts
+from ..plans.report import category_matrix, gate, owasp_coverage, severity_counts
 from ..rules.catalog import CORE_DOMAINS, Rule, builtin_rules, rules_frame
 from ..session import configure, shared_dir
 
@@ -204,4 +204,15 @@ class CurrentFindings:
 
     def gate(self, repos: DataFrame, configs: DataFrame | None = None) -> DataFrame:
         """The gate of every repository of ``repos``, also those without findings, from the running totals."""
-        return gate(severity_counts(self.totals().select("repo_id", "severity", "n"), repos, weight="n"), configs)
+        return gate(self.severity_counts(repos), configs)
+
+    # The report's counts, kept up to date: each is an aggregate of the totals, not of findings.
+
+    def severity_counts(self, repos: DataFrame | None = None) -> DataFrame:
+        return severity_counts(self.totals(), repos, weight="n")
+
+    def category_matrix(self) -> DataFrame:
+        return category_matrix(self.totals(), weight="n")
+
+    def owasp_coverage(self, repos: DataFrame) -> DataFrame:
+        return owasp_coverage(self.totals(), repos, weight="n")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanweave import full_scan
-from scanweave.plans.report import gate, severity_counts
+from scanweave.plans.report import category_matrix, gate, owasp_coverage, severity_counts
 from scanweave.schemas import BASELINE, CONFIGS, IGNORES
 from scanweave.sources.settings import with_defaults
 from scanweave.streaming.current import CurrentFindings, version_findings
@@ -58,7 +58,12 @@ def stream_of(spark, rows, batches, folder):
 def outcome(now, about, configs):
     found = {(r.repo_id, r.path, r.id, r.line) for r in now.open_findings().collect()}
     totals = {(r.repo_id, r.severity, r.category, r.owasp): r.n for r in now.totals().collect()}
-    return found, totals, {tuple(r) for r in now.gate(about, configs).collect()}
+    reports = [now.severity_counts(about), now.category_matrix(), now.owasp_coverage(about)]
+    return found, totals, {tuple(r) for r in now.gate(about, configs).collect()}, [as_set(r) for r in reports]
+
+
+def as_set(df):
+    return {tuple(r) for r in df.collect()}
 
 
 @pytest.mark.parametrize("batches", [1, 5])
@@ -75,17 +80,19 @@ def test_equal_to_a_batch_scan(spark, make_files, settings, tmp_path, batches):
     query = now.follow(found)
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == batches
-    got, totals, gates = outcome(now, expected.profile, configs)
+    got, totals, gates, reports = outcome(now, expected.profile, configs)
     wanted = expected.findings.collect()
     assert got == {(r.repo_id, r.file, r.id, r.line) for r in wanted} and len(got) > 10
     assert gates == {tuple(r) for r in gate(severity_counts(expected.findings, expected.profile), configs).collect()}
     assert sum(totals.values()) == len(wanted)
+    full = [severity_counts(expected.findings, expected.profile), category_matrix(expected.findings), owasp_coverage(expected.findings, expected.profile)]
+    assert reports == [as_set(r) for r in full]
     assert {g[2] for g in gates} == {True, False}
     # A micro-batch that is repeated after a failure writes the same tables again.
     last = max(int(n.partition("=")[2]) for n in now._numbers("changes"))
     batch = spark.read.parquet(f"{now.base}/changes/batch={last}").select("repo_id", "path", "commit_ts", "opened", "rule_no", "line", "code")
     now.write(spark.createDataFrame(batch.collect(), batch.schema), last)
-    assert outcome(now, expected.profile, configs) == (got, totals, gates)
+    assert outcome(now, expected.profile, configs) == (got, totals, gates, reports)
 
 
 def test_nothing_yet(spark, tmp_path):
