@@ -22,13 +22,16 @@ MARK = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "🔵", "IN
 PRACTICES = """
 ### Standing Advice
 
-- Keep credentials out of the repository: read them from the environment or a vault, and scan every push for them.
-- Let each build audit its dependencies, with versions locked.
-- Leave sign-in to a proven library, with a second factor.
-- Check what comes in against a schema before any other code sees it.
-- Write logs a machine can read, without personal data, and have someone told of odd events.
-- Test the running application as well as its source.
-- Have changes to sign-in, cryptography and stored data reviewed by a second person."""
+By the domains of the rules that were tried:
+
+- `core`: fix one class of findings across the whole repository before taking up the next.
+- `secrets`: a value that was ever committed counts as known; replace it, then remove it.
+- `code_quality`: give an error handler something to do, or let the error pass on.
+- `web`: decide at the entrance of a request who may do what, not in every page.
+- `mobile`: take it that an app's files and traffic can be read by whoever holds the device.
+- `embedded`: bound every copy and every wait; a device in the field cannot be restarted by hand.
+- `pipeline`: give a job only the rights it uses, and name what it runs by digest.
+- `ai_ml`: treat what a model says, and the files it is loaded from, as input from outside."""
 NOTICE = """Findings come from patterns matched against source lines, so some will be wrong: look at each before acting on it.
 
 **References:**
