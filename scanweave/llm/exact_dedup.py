@@ -1,10 +1,9 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-The first pass reduces every text to its length and the hash of its beginning; these small
-rows are grouped by length, and only lengths that occur again are grouped by prefix hash.
-The second pass computes the full hash, and does so only for texts of surviving groups.
-Texts are never moved: the surviving groups travel to the texts as a filter of fixed size,
-and what it lets through by chance turns out to be alone when full hashes are grouped.
+The first pass takes nothing but lengths.  The second hashes the beginnings of texts whose
+length occurs again, the third hashes whole texts whose length and beginning occur again.
+Texts are never moved: what occurs again travels to the texts as a filter, and what the
+filter lets through by chance turns out to be alone in the next grouping.
 
 Defined cases: a null text counts as empty; empty texts are one group; of equal texts the
 row with the largest id stays, a null id counts as smallest; of rows that share text and
@@ -30,16 +29,15 @@ def exact_duplicates(
     ``digest_all`` asks for every digest.
     """
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    marked = texts.withColumns({
-        "_length": F.octet_length("_text"),
-        "_prefix": F.xxhash64(F.substring("_text", 1, prefix_chars)),
-    })
-    begins = store(marked.groupBy("_length", "_prefix").agg(F.count("*").alias("_n")))
-    lengths = begins.groupBy("_length").agg(F.sum("_n").alias("_of_length")).where("_of_length > 1")
-    repeated = begins.where("_n > 1").join(lengths.select("_length"), "_length", "left_semi")
+    sized = texts.withColumn("_length", F.octet_length("_text"))
+    lengths = store(sized.groupBy("_length").agg(F.count("*").alias("_n")).where("_n > 1").select("_length"))
+    sized = maybe_member(sized, [F.col("_length")], lengths, [F.col("_length")], "_sized")
 
+    marked = sized.withColumn("_prefix", F.when(F.col("_sized"), F.xxhash64(F.substring("_text", 1, prefix_chars))))
+    begins = marked.where("_sized").groupBy("_length", "_prefix").agg(F.count("*").alias("_n"))
+    repeated = store(begins.where("_n > 1").select("_length", "_prefix"))
     keys = [F.col("_length"), F.col("_prefix")]
-    seen = maybe_member(marked, keys, repeated, keys, "_again")
+    seen = maybe_member(marked, keys, repeated, keys, "_again").withColumn("_again", F.col("_again") & F.col("_sized"))
     digest = F.sha2("_text", 256)
     hashed = seen.select(
         F.col("_id"), F.col("_again"), F.monotonically_increasing_id().alias("_row"),

@@ -3,7 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
-from scanweave.llm import exact_dedup, sharding
+from scanweave.llm import common, exact_dedup, sharding
 
 
 def expected_groups(rows):
@@ -49,6 +49,16 @@ def test_full_hash_is_taken_only_where_length_and_prefix_recur(spark):
     assert hashed[2] is None and hashed[3] is None
 
 
+def test_beginnings_are_hashed_only_where_the_length_recurs(spark, monkeypatch):
+    rows = [(i, "x" * i) for i in range(1, 300)] + [(500, "y" * 40), (501, "y" * 41), (502, "x" * 41)]
+    stored = []
+    monkeypatch.setattr(exact_dedup, "store", lambda t: stored.append(common.store(t)) or stored[-1])
+    got = {r.doc_id: r for r in exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lengths, repeated = stored[0], stored[1]
+    assert sorted(r[0] for r in lengths.collect()) == [40, 41] and [r._length for r in repeated.collect()] == [41]
+    assert got[41].keep_id == got[502].keep_id == 502 and got[501].group_size == 1 and len(got) == len(rows)
+
+
 def test_shards_hold_all_rows_gapless_and_near_equal_bytes(odd_docs, odd_rows):
     records, versions = sharding.assign_shards(odd_docs, shards=4, slots=64)
     rows = records.collect()
