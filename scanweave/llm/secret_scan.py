@@ -55,8 +55,9 @@ ALLOWED = (
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
 
 _SPAN = "ARRAY<STRUCT<start: INT, ord: INT, stop: INT>>"
-
-
+_SPAN_TEXT = "ARRAY<STRUCT<start: INT, ord: INT, stop: INT, m: STRING>>"
+# Matches of a text are numbered in blocks of so many.
+BLOCK = 64
 
 
 def _literal(text: str) -> str:
@@ -64,21 +65,30 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(pattern: str, ord_: int, keep: str = "true", extra: str = "''", text: str = "text") -> str:
+def _matches(pattern: str, ord_: int, keep: str = "true", extra: str = "''", text: str = "text", with_text: bool = False) -> str:
     """Spans of the pattern in ``text``: the gaps between matches tell where they are.
 
-    ``keep`` tests a match, ``i.`0` ``, and what ``extra`` has beside it, ``i.`2` ``.
+    ``keep`` tests a match, ``i.`0` ``, and what ``extra`` has beside it, ``i.`2` ``; ``with_text``
+    adds the match as ``m``.  Matches are taken in blocks: the widths of the blocks say where
+    each begins, and an array that grows by one match at a time never gets longer than a block.
     """
-    p = _literal(pattern)
+    p, kind = _literal(pattern), _SPAN_TEXT if with_text else _SPAN
     found = f"arrays_zip(regexp_extract_all({text}, {p}, 0), transform(split({text}, {p}, -1), g -> char_length(g)), {extra})"
+    blocks = f"transform(sequence(0, (size(f) - 1) div {BLOCK}), k -> slice(f, k * {BLOCK} + 1, {BLOCK}))"
+    width = "aggregate(b, 0, (u, i) -> u + i.`1` + coalesce(char_length(i.`0`), 0))"
+    begins = f"aggregate(blocks, array(0), (t, b) -> concat(t, array(element_at(t, -1) + {width})))"
+    held = ", 'm', i.`0`" if with_text else ""
     after = "s.at + i.`1` + char_length(i.`0`)"
-    span = f"named_struct('start', s.at + i.`1`, 'ord', {ord_}, 'stop', {after})"
+    span = f"named_struct('start', s.at + i.`1`, 'ord', {ord_}, 'stop', {after}{held})"
     step = (
         "CASE WHEN i.`0` IS NULL THEN s ELSE named_struct("
         f"'at', {after}, 'spans', IF({keep}, concat(s.spans, array({span})), s.spans)) END"
     )
-    spans = f"aggregate({found}, named_struct('at', 0, 'spans', CAST(array() AS {_SPAN})), (s, i) -> {step}, s -> s.spans)"
-    return f"CASE WHEN {text} RLIKE {p} THEN {spans} ELSE CAST(array() AS {_SPAN}) END"
+    spans = f"aggregate(b, named_struct('at', get(begins, k), 'spans', CAST(array() AS {kind})), (s, i) -> {step}, s -> s.spans)"
+    # Wrapped in arrays of one, so that each is computed once.
+    spans = f"transform(array({begins}), begins -> flatten(transform(blocks, (b, k) -> {spans})))[0]"
+    spans = f"transform(array({found}), f -> transform(array({blocks}), blocks -> {spans})[0])[0]"
+    return f"CASE WHEN {text} RLIKE {p} THEN {spans} ELSE CAST(array() AS {kind}) END"
 
 
 def _windows(symbols: str, bound: float, at: str = "0") -> str:
@@ -131,12 +141,12 @@ def _entropy_spans() -> str:
         here = f"IF({in_class}, {windows}, {none})"
         spans.append(f"transform({here}, z -> named_struct('start', c.start + z.a, 'ord', {3 + no}, 'stop', c.start + z.b))")
     _, shape, symbols, bound = CLASSES[0]
-    windows = f"transform(array(split(substring(v.m, p.start + 1, p.stop - p.start), '')), chars -> {_windows(symbols, bound, 'p.start')})[0]"
+    windows = f"transform(array(split(p.m, '')), chars -> {_windows(symbols, bound, 'p.start')})[0]"
     moved = "named_struct('start', c.start + p.start + z.a, 'ord', 3, 'stop', c.start + p.start + z.b)"
-    pieces = f"flatten(transform({_matches(PIECE, 0, 'true', empty, 'v.m')}, p -> transform({windows}, z -> {moved})))"
+    pieces = f"flatten(transform({_matches(PIECE, 0, 'true', empty, 'v.m', True)}, p -> transform({windows}, z -> {moved})))"
     spans.append(f"IF(v.m RLIKE {_literal(shape)}, CAST(array() AS {_SPAN}), {pieces})")
     of_candidate = (
-        f"transform(transform(array(substring(text, c.start + 1, c.stop - c.start)), m -> named_struct('m', m, 'allowed', {allowed})), "
+        f"transform(transform(array(c.m), m -> named_struct('m', m, 'allowed', {allowed})), "
         f"v -> concat({', '.join(spans)}))[0]"
     )
     return f"flatten(transform(candidates, c -> {of_candidate}))"
@@ -155,7 +165,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
         _matches(HEX, 2, "true", "CAST(array() AS ARRAY<STRING>)"),
     ]
     rows = docs.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], text_of(text_col).alias("text"))
-    rows = rows.withColumn("candidates", F.expr(_matches(CANDIDATE, 0, "true", "CAST(array() AS ARRAY<STRING>)")))
+    rows = rows.withColumn("candidates", F.expr(_matches(CANDIDATE, 0, "true", "CAST(array() AS ARRAY<STRING>)", with_text=True)))
     spans = F.concat(*map(F.expr, base), F.expr(_entropy_spans()))
     return rows.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], F.array_sort(spans).alias("spans"))
 
