@@ -51,7 +51,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(warc.planned(read(spark, sf_dir, "pages")))
-    records = warc.read_archives(archives).where("kind != 'gap'")
+    records = warc.read_archives(archives)
+    # The archives are the query's own: bytes that cannot be read would be lost pages.
+    unreadable = F.raise_error(F.concat(F.lit("gap in "), "archive", F.lit(": "), "reason"))
+    records = records.where(F.when(F.col("kind") == "gap", unreadable.cast("boolean")).otherwise(True))
     return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 

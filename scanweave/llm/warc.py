@@ -6,9 +6,10 @@ a join, all others are written where they are read.  Every task writes archives
 of its own attempt and reports them, so what a lost or repeated task left is not read.
 Every record is a gzip member of its own.
 
-Reading: one archive is one task's stream, of which a record is held, its header of any length.  After a failed check the
-reader looks for the next valid member or version line and goes on; bytes in between are
-rows of kind ``gap`` with offset, length and reason.
+Reading: one archive is one task's stream, of which a record is held, its header of any length.
+A gzip member may hold many records.  After a failed check the reader looks for the next
+valid member or version line and goes on; bytes in between are rows of kind ``gap`` with
+offset, length and reason.  The readable start of a damaged member is kept as far as digests prove it.
 
 The folder must be reachable by its URI from all executors.
 
@@ -154,7 +155,7 @@ def _reader(with_payload: bool):
             for archive in batch.column(0).to_pylist():
                 files, path = FileSystem.from_uri(archive)
                 rows, held = [], 0
-                with files.open_input_stream(path, compression=None) as stream:
+                with files.open_input_file(path) as stream:
                     for found in warc_io.salvage(stream):
                         rows.append(row(archive, *found))
                         held += len(found[3] or b"") if with_payload else 200

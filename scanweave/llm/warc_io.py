@@ -1,6 +1,7 @@
 """WARC records as bytes, and a reader that goes on after damage.
 
-Runs in tasks: one archive is written or read as a stream, a record at a time.
+Runs in tasks: one archive is written or read as a stream, a record at a time.  A gzip member
+may hold any number of records; it is inflated as they are read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 NEXT_VERSION = re.compile(rb"\nWARC/1\.[01]\r\n")
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 READ = 1 << 20
+# Compressed bytes inflated at a time, and records of a member held until its checksum is known.
+PIECE, HELD = 1 << 16, 32 << 20
+# Digest algorithms that are tested; others are taken on trust.
+ALGORITHMS = ("sha1", "sha256", "sha512", "md5")
 
 
 def digest(payload: bytes) -> str:
@@ -79,30 +84,78 @@ class _Buffer:
         del self.data[:size]
         self.offset += size
 
+    def peek(self, at: int, size: int) -> bytes:
+        """Bytes further on; what lies before them is not held if the stream can seek."""
+        if at + size > len(self.data) and not self.ended and self.stream.seekable():
+            here = self.stream.tell()
+            self.stream.seek(self.offset + at)
+            found = self.stream.read(size)
+            self.stream.seek(here)
+            return found
+        self.fill(at + size)
+        return bytes(self.data[at:at + size])
+
 
 class Damaged(Exception):
     pass
 
 
-def _inflate(buffer: _Buffer) -> tuple[bytes, int]:
-    """The member at the start of the buffer, its checksum tested, and its compressed length."""
-    unpacker, out, used = zlib.decompressobj(31), [], 0
+class _Member:
+    """The inflated bytes of the gzip member at the start of ``buffer``, as a stream.
+
+    ``used`` counts the compressed bytes taken; ``damage`` says why it ends early.
+    """
+
+    def __init__(self, buffer: _Buffer):
+        self.buffer, self.unpacker, self.used, self.damage = buffer, zlib.decompressobj(31), 0, ""
+
+    def seekable(self) -> bool:
+        return False
+
+    def read(self, _: int) -> bytes:
+        while not self.unpacker.eof and not self.damage:
+            if not self.buffer.fill(self.used + 1):
+                self.damage = "member cut off"
+                break
+            piece = bytes(self.buffer.data[self.used:self.used + min(READ, PIECE)])
+            before = self.unpacker.copy()
+            try:
+                out = self.unpacker.decompress(piece)
+            except zlib.error as error:
+                self.damage = f"member: {error}"
+                return _readable(before, piece)
+            self.used += len(piece) - len(self.unpacker.unused_data)
+            if out:
+                return out
+        return b""
+
+
+def _readable(unpacker, piece: bytes) -> bytes:
+    """What ``piece`` gives before the error in it."""
+    out = []
     try:
-        while not unpacker.eof:
-            if not buffer.fill(used + 1):
-                raise Damaged("member cut off")
-            chunk = bytes(buffer.data[used:used + READ])
-            out.append(unpacker.decompress(chunk))
-            used += len(chunk)
-    except zlib.error as error:
-        raise Damaged(f"member: {error}") from error
-    return b"".join(out), used - len(unpacker.unused_data)
+        for at in range(len(piece)):
+            out.append(unpacker.decompress(piece[at:at + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
 
 
-def parse(data: bytes, whole: bool) -> tuple[dict, bytes, int]:
-    """``(headers, payload, length)`` of the record at the start of ``data``, its digests tested.
+def _tested(stated: str | None, data: bytes) -> bool | None:
+    """Is ``algorithm:value`` the digest of ``data``?  None if there is none or its algorithm is not known."""
+    name, _, value = (stated or "").partition(":")
+    if name.lower() not in ALGORITHMS:
+        return None
+    raw = hashlib.new(name.lower(), data).digest()
+    forms = (base64.b32encode(raw).decode().rstrip("="), raw.hex().upper())
+    value = value.rstrip("=").upper()
+    return value in forms if len(value) in map(len, forms) else None
 
-    ``whole``: nothing may follow it.
+
+def parse(data: bytes) -> tuple[dict, bytes, int, bool]:
+    """``(headers, payload, length, sure)`` of the record at the start of ``data``.
+
+    Its digests are tested; it is ``sure`` if one that covers the payload is of a known algorithm.
     """
     end = data.find(b"\r\n\r\n") if VERSION_LINE.match(data) else -1
     if end < 0:
@@ -119,15 +172,17 @@ def parse(data: bytes, whole: bool) -> tuple[dict, bytes, int]:
     if not length.isdigit():
         raise Damaged("no length")
     stop = end + 4 + int(length)
-    if data[stop:stop + 4] != b"\r\n\r\n" or whole and len(data) != stop + 4:
+    if data[stop:stop + 4] != b"\r\n\r\n":
         raise Damaged("record end")
     block = bytes(data[end + 4:stop])
-    if headers.get("warc-block-digest", "sha1:" + digest(block)) != "sha1:" + digest(block):
+    by_block = _tested(headers.get("warc-block-digest"), block)
+    if by_block is False:
         raise Damaged("block digest")
     payload = block[block.find(b"\r\n\r\n") + 4:] if b"\r\n\r\n" in block else block
-    if headers.get("warc-type") == "response" and headers.get("warc-payload-digest", "sha1:" + digest(payload)) != "sha1:" + digest(payload):
+    by_payload = _tested(headers.get("warc-payload-digest"), payload) if headers.get("warc-type") == "response" else None
+    if by_payload is False:
         raise Damaged("payload digest")
-    return headers, payload, stop + 4
+    return headers, payload, stop + 4, bool(by_block or by_payload)
 
 
 def salvage(stream):
@@ -135,40 +190,95 @@ def salvage(stream):
 
     After a failed check the search goes on one byte further, for the next member or version
     line at which a whole valid record begins; the bytes between are one gap, with the reason.
+    Of a damaged member, records before the damage count if a digest proves them; its bytes
+    are part of the gap.  The lengths add up to the archive's: of records in one member the
+    first has the member's length and the others 0, as has a gap between records of a member.
     """
-    buffer, gap, reason = _Buffer(stream), None, ""
+    buffer, gap, reason, proved, proved_to = _Buffer(stream), None, "", set(), 0
     while buffer.fill(1):
-        start = buffer.offset
-        try:
-            if buffer.fill(3) and buffer.data[:3] == GZIP_MAGIC:
-                data, used = _inflate(buffer)
-                headers, payload, _ = parse(data, True)
+        if buffer.offset >= proved_to:
+            proved = set()
+        if buffer.fill(3) and buffer.data[:3] == GZIP_MAGIC:
+            member = _Member(buffer)
+            for batch in _member_records(member):
+                if member.damage or not any(headers for headers, _, _ in batch):
+                    break
+                if gap is not None:
+                    yield gap, buffer.offset - gap, None, None, reason
+                    gap = None
+                for place, row in enumerate(batch):
+                    yield buffer.offset, 0 if place else member.used, *row
+                buffer.drop(member.used)
+                member.used = 0
             else:
-                headers, payload, used = _plain(buffer)
-        except Damaged as damage:
+                continue
+            damage = member.damage or (batch[0][2] if batch else "empty member")
+            proved_to = max(proved_to, buffer.offset + member.used)
+            for headers, payload, _ in batch:
+                if headers and headers["warc-record-id"] not in proved:
+                    proved.add(headers["warc-record-id"])
+                    yield buffer.offset, 0, headers, payload, ""
+        else:
+            try:
+                headers, payload, used, _ = _plain(buffer)
+                damage = "record of a damaged member" if headers["warc-record-id"] in proved else ""  # stored there as it is
+            except Damaged as error:
+                damage = str(error)
+        if damage:
             if gap is None:
-                gap, reason = start, str(damage)
+                gap, reason = buffer.offset, damage
             buffer.drop(_next_mark(buffer))
             continue
         if gap is not None:
-            yield gap, start - gap, None, None, reason
+            yield gap, buffer.offset - gap, None, None, reason
             gap = None
-        yield start, used, headers, payload, ""
+        yield buffer.offset, used, headers, payload, ""
         buffer.drop(used)
     if gap is not None:
         yield gap, buffer.offset - gap, None, None, reason
 
 
-def _plain(buffer: _Buffer) -> tuple[dict, bytes, int]:
+def _member_records(member: _Member):
+    """Batches of ``(headers, payload, reason)``, records and gaps (no headers) of a member.
+
+    The last batch comes when the member has ended, and has a record if there is any.  Before
+    it, proved records come whenever ``HELD`` bytes have gathered; those that no digest proves
+    wait for the member's checksum.
+    """
+    inner, batch, waiting, size, broken = _Buffer(member), [], [], 0, False
+    while inner.fill(1):
+        try:
+            headers, payload, used, sure = _plain(inner)
+        except Damaged as error:
+            if not broken:
+                batch.append((None, None, f"in a member: {error}"))
+            broken = True
+            inner.drop(_next_mark(inner))
+            if inner.offset > HELD and len(batch) == 1 and not waiting and not batch[0][0]:
+                member.damage = "no record in a member"
+            continue
+        broken = False
+        (batch if sure else waiting).append((headers, payload, ""))
+        size += used
+        inner.drop(used)
+        if sure and size > HELD and any(h for h, _, _ in batch[:-1]) and not member.damage:
+            yield batch[:-1]
+            batch, size = batch[-1:], used
+    yield batch if member.damage else batch + waiting
+
+
+def _plain(buffer: _Buffer) -> tuple[dict, bytes, int, bool]:
     """The uncompressed record at the start of the buffer."""
     buffer.fill(len(VERSION) + 2)
     end = _header_end(buffer) if VERSION_LINE.match(buffer.data) else -1
     found = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,15})\r\n", buffer.data[:end + 2]) if end >= 0 else None
     if not found:
         raise Damaged("no header")
-    if not buffer.fill(end + 4 + int(found[1]) + 4):
-        raise Damaged("record cut off")
-    return parse(bytes(buffer.data[:end + 4 + int(found[1]) + 4]), False)
+    stop = end + 4 + int(found[1])
+    if buffer.peek(stop, 4) != b"\r\n\r\n":  # a wrong length must not make the reader hold what follows
+        raise Damaged("record end")
+    buffer.fill(stop + 4)
+    return parse(bytes(buffer.data[:stop + 4]))
 
 
 def _header_end(buffer: _Buffer) -> int:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import io
 import random
+import zlib
 from collections import Counter, defaultdict
 
 from scanweave.llm import warc, warc_io
@@ -91,6 +92,93 @@ def test_salvage_recovers_all_other_records_and_accounts_for_every_byte():
         assert all(reason for _, _, headers, _, reason in found if headers is None)
 
 
+def numbers_of(found):
+    return [warc_io.page_number(headers["warc-record-id"]) for _, _, headers, _, _ in found if headers]
+
+
+def one_member(count, salt=b""):
+    rng = random.Random(count)
+    payloads = [rng.randbytes(rng.randint(0, 400)) + salt for _ in range(count)]
+    return [warc_io.record(n, "http://a", p, len(p), sha1(p), None) for n, p in enumerate(payloads)]
+
+
+def test_many_records_in_a_member(monkeypatch):
+    records = one_member(400)
+    data = warc_io.member(b"".join(records)) + warc_io.member(b"".join(one_member(3)))
+    for held, read in ((1 << 25, 1 << 20), (5000, 1 << 20), (5000, 700)):
+        monkeypatch.setattr(warc_io, "HELD", held)
+        monkeypatch.setattr(warc_io, "READ", read)
+        found = list(warc_io.salvage(io.BytesIO(data)))
+        assert numbers_of(found) == [*range(400), 0, 1, 2] and len(found) == 403
+        assert sum(length for _, length, *_ in found) == len(data)
+    inside = warc_io.member(b"".join(records[:5]) + b"noise" + b"".join(records[5:9]))
+    found = list(warc_io.salvage(io.BytesIO(inside + records[20])))
+    assert numbers_of(found) == [*range(9), 20] and [r[4] for r in found if not r[2]] == ["in a member: no header"]
+    assert sum(r[1] for r in found) == len(inside + records[20])
+
+
+def test_readable_start_of_a_damaged_member(monkeypatch):
+    records = one_member(199)
+    whole, other = warc_io.member(b"".join(records)), warc_io.member(one_member(1, b"other")[0])
+    cut = whole[:len(whole) * 3 // 4]
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 16
+    for held in (1 << 25, 3000):
+        monkeypatch.setattr(warc_io, "HELD", held)
+        for data, least in ((cut, 140), (cut + other, 140), (bytes(flipped) + other, 90), (whole[:-1], 199)):
+            found = list(warc_io.salvage(io.BytesIO(data)))
+            got = numbers_of(found)[:-1] if data.endswith(other) else numbers_of(found)
+            assert got == list(range(len(got))) and len(got) >= least
+            assert sum(r[1] for r in found) == len(data) and sum(r[2] is None for r in found) == 1
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = stored.compress(b"".join(records)) + stored.flush()
+    assert Counter(numbers_of(warc_io.salvage(io.BytesIO(stored[:-3])))) == Counter(range(199))
+
+
+def test_unproved_records_of_a_damaged_member_do_not_count():
+    bare = [b"\r\n".join(x for x in r.split(b"\r\n") if b"Digest" not in x) for r in one_member(3)]
+    data = warc_io.member(b"".join(bare))
+    assert numbers_of(warc_io.salvage(io.BytesIO(data))) == [0, 1, 2]
+    found = list(warc_io.salvage(io.BytesIO(data[:-2])))
+    assert numbers_of(found) == [] and [r[1] for r in found] == [len(data) - 2]
+
+
+def test_digests_of_other_algorithms():
+    record = one_member(1)[0]
+    block = record[record.index(b"\r\n\r\n") + 4:-4]
+    old = b"WARC-Block-Digest: sha1:" + sha1(block).encode()
+    assert old in record
+    for stated, fine in (
+        ("sha256:" + hashlib.sha256(block).hexdigest(), True), ("sha256:" + base64.b32encode(hashlib.sha256(block).digest()).decode(), True),
+        ("blake3:00ff", True), ("sha256:" + hashlib.sha256(b"x").hexdigest(), False), ("md5:" + hashlib.md5(block).hexdigest(), True),
+    ):
+        changed = record.replace(old, f"WARC-Block-Digest: {stated}".encode())
+        assert numbers_of(warc_io.salvage(io.BytesIO(changed))) == ([0] if fine else []), stated
+
+
+def test_wrong_length_does_not_make_the_reader_hold_the_rest():
+    records = one_member(30)
+    at = records[3].index(b"Content-Length: ")
+    stop = records[3].index(b"\r\n", at)
+    records[3] = records[3][:at] + b"Content-Length: 999999999" + records[3][stop:]
+    data = b"".join(records) + b"".join(warc_io.record(100 + n, "u", b"x" * 100_000, 100_000, sha1(b"x" * 100_000), None) for n in range(200))
+    most = 0
+
+    class Watched(warc_io._Buffer):
+        def fill(self, size):
+            nonlocal most
+            done = super().fill(size)
+            most = max(most, len(self.data))
+            return done
+
+    plain, warc_io._Buffer = warc_io._Buffer, Watched
+    try:
+        found = list(warc_io.salvage(io.BytesIO(data)))
+    finally:
+        warc_io._Buffer = plain
+    assert numbers_of(found) == [n for n in range(30) if n != 3] + list(range(100, 300)) and most <= 3 << 20
+
+
 def test_small_reads_give_the_same_records(monkeypatch):
     data = b"".join(archive(random.Random(2), True)) + b"tail" + b"".join(archive(random.Random(3), False))
     whole = list(warc_io.salvage(io.BytesIO(data)))
