@@ -615,9 +615,12 @@ def oracle() -> dict[str, str]:
           SELECT repo_id, path, 'file size' AS reason, CAST(NULL AS BIGINT) AS lines, CAST(size AS BIGINT) AS bytes FROM scanned WHERE size > 500000
           UNION ALL SELECT repo_id, path, 'line length', CAST(len(long) AS BIGINT), CAST(list_sum(list_transform(long, lambda x: strlen(x))) AS BIGINT) FROM (
             SELECT repo_id, path, list_filter(lines, lambda x: length(x) > 2000) AS long FROM scanned WHERE size <= 500000) WHERE len(long) > 0""", "scanned"),
-        "rejected_rules": sql("""SELECT t.*, n_files FROM (VALUES ('X-002', 'bad pattern: missing ), unterminated subpattern at position 0'),
-            ('A01-001', 'id already in use'), ('X-003', 'unknown domain nowhere'), ('X-005', 'langs is not a list of suffixes and file names'),
-            ('X-006', 'unknown severity GRAVE')) AS t(rule_id, reason), (SELECT count(*) AS n_files FROM scanned)""", "scanned"),
+        "rejected_rules": sql("""SELECT t.rule_id, t.reason, (SELECT nullif(count(*), 0) FROM scanned s WHERE list_contains(t.langs, s.ext)) AS n_files
+          FROM (VALUES ('X-002', 'bad pattern: missing ), unterminated subpattern at position 0', ['.py', '.go']),
+            ('A01-001', 'id already in use', []), ('X-003', 'unknown domain nowhere', []),
+            ('X-005', 'langs is not a list of suffixes and file names', []), ('X-006', 'unknown severity GRAVE', []),
+            ('X-007', 'slow pattern: exponential time: a text leads round a loop in two ways', ['.js']),
+            ('X-008', 'slow pattern: time grows with power 5 of a line''s length', ['.java', '.py'])) AS t(rule_id, reason, langs)""", "scanned"),
         "user_rules": sql(f"""SELECT id, count(*) AS n FROM hits JOIN rules USING (rule_no) GROUP BY id
           UNION ALL SELECT 'X-001', sum(len(list_filter(lines, lambda x: {matches('x', own_rule)})))::BIGINT FROM scanned WHERE ext IN ('.py', '.js', '.java')""", "hits", "rules", "scanned"),
         "findings": sql("SELECT repo_id, id, category, name, severity, description, fix, file, line, code, context, owasp, cwe FROM static_findings", "static_findings"),

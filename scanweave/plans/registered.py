@@ -244,12 +244,15 @@ EXTRA_RULES = [
     dict(rule_id="X-001", domain="core", category="Own", name="Loose word", severity="LOW",
          pattern=r"(^|\s)(the|les|und)\s+[a-z]+[.,]", description="A word.", fix="Drop it.", langs=[".py", ".js", ".java"]),
     dict(rule_id="X-002", domain="core", category="Own", name="Broken", severity="LOW", pattern="(unclosed",
-         description="d", fix="f"),
+         description="d", fix="f", langs=[".py", ".go"]),
     dict(rule_id="A01-001", domain="core", category="Own", name="Taken", severity="LOW", pattern="x", description="d", fix="f"),
     dict(rule_id="X-003", domain="nowhere", category="Own", name="Lost", severity="LOW", pattern="x", description="d", fix="f"),
     dict(rule_id="X-004", domain="core", category="Own", name="No file", severity="LOW", pattern=".", description="d", fix="f", langs=[]),
     dict(rule_id="X-005", domain="core", category="Own", name="Text", severity="LOW", pattern="x", description="d", fix="f", langs=".py"),
     dict(rule_id="X-006", domain="core", category="Own", name="Odd", severity="GRAVE", pattern="x", description="d", fix="f"),
+    dict(rule_id="X-007", domain="core", category="Own", name="Slow", severity="LOW", pattern=r"(\w+\s?)+;$", description="d", fix="f", langs=[".js"]),
+    dict(rule_id="X-008", domain="core", category="Own", name="Slower", severity="LOW", pattern=".*a.*b.*c.*d.*;", description="d", fix="f",
+         langs=[".java", ".py"]),
 ]
 
 
@@ -260,10 +263,17 @@ def user_rules(spark, sf):
 
 
 def rejected_rules(spark, sf):
-    """The user's rules that were left out, with how many files each would have been tried on."""
+    """The user's rules that were left out, why, and how many files of each language miss them."""
     _, rejected = merge_rules(spark, EXTRA_RULES)
-    scanned = _scanned(spark, sf).agg(F.count("*").alias("n_files"))
-    return rejected.select("rule_id", "reason").join(F.broadcast(scanned))  # one row
+    # The rules are a short list; those for every file have no suffix to count.
+    wanted = spark.createDataFrame([(r["rule_id"], x) for r in EXTRA_RULES for x in _list_of(r.get("langs"))], "rule_id STRING, ext STRING")
+    per_suffix = _scanned(spark, sf).groupBy("ext").agg(F.count("*").alias("n"))
+    missed = per_suffix.join(F.broadcast(wanted), "ext").groupBy("rule_id").agg(F.sum("n").alias("n_files"))
+    return rejected.select("rule_id", "reason").join(missed, "rule_id", "left")
+
+
+def _list_of(langs) -> list[str]:
+    return langs if isinstance(langs, list) else []
 
 
 # --- findings ---------------------------------------------------------------

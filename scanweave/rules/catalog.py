@@ -10,6 +10,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.ambiguity import slow_pattern
 from ..functions.regex import java_line_pattern, java_name_pattern
 from ..functions.severity import SEVERITIES
 from ..schemas import REJECTED, RULES as RULES_SCHEMA
@@ -69,7 +70,8 @@ def merge_rules(spark: SparkSession, extra: list[dict], base: tuple[Rule, ...] |
 
     ``extra`` holds dicts with the columns of the rules table.  Returns the merged
     rules and a DataFrame of the rejected ones: missing fields, an unknown domain or
-    severity, suffixes that are no list, an id already taken, or a pattern that one of the two regex engines refuses.
+    severity, suffixes that are no list, an id already taken, a pattern that one of the two regex engines
+    refuses, or one that takes exponential or high polynomial time on some lines.
     """
     rules, rejected = list(builtin_rules() if base is None else base), []
     taken = {r.rule_id for r in rules}
@@ -121,6 +123,9 @@ def _bad_pattern(spark: SparkSession, rule: Rule | None) -> str | None:
             return f"bad pattern: {error}"
         except (Py4JJavaError, PySparkException) as error:
             return f"pattern not portable: {str(error).splitlines()[0]}"
+        slow = slow_pattern(pattern)
+        if slow:
+            return f"slow pattern: {slow}"
     return None
 
 
