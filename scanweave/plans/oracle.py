@@ -639,6 +639,10 @@ def oracle() -> dict[str, str]:
         "report_listing": sql(_listing_sql(), "queue"),
         "job_summary": sql(_summary_sql(), "domains", "counts", "queue"),
         "findings_json": sql(_json_sql(), "domains", "configs", "languages", "queue", "counts"),
+        "report_files": sql(f"""SELECT repo_id, volume, strlen(string_agg(text, '' ORDER BY section, block)) AS n_bytes,
+            sha256(string_agg(text, '' ORDER BY section, block)) AS sha256
+          FROM (SELECT *, (row_number() OVER (PARTITION BY repo_id ORDER BY section, block) - 1) // 100 + 1 AS volume FROM ({_json_sql()}))
+          GROUP BY repo_id, volume""", "domains", "configs", "languages", "queue", "counts"),
         "pip_audit": sql(f"SELECT {_DEP} FROM pip", "pip"),
         "npm_audit": sql(f"SELECT {_DEP} FROM npm", "npm"),
         "osv_audit": sql(f"SELECT {_DEP} FROM osv", "osv"),

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import file_name, suffix
 from ..functions.regex import names_line_break
 from ..operators import file_filters as ff
 from ..operators import profile as pr
@@ -24,6 +25,7 @@ from ..streaming import current as cu
 from . import corpus as co
 from . import documents as docs
 from . import report as rp
+from . import sinks
 from .scan import Scan, full_scan, scan
 
 CLOCK = "2024-01-02 03:04:05"
@@ -267,7 +269,7 @@ def rejected_rules(spark, sf):
     _, rejected = merge_rules(spark, EXTRA_RULES)
     # The rules are a short list; those for every file have no suffix to count.
     wanted = spark.createDataFrame([(r["rule_id"], x) for r in EXTRA_RULES for x in _list_of(r.get("langs"))], "rule_id STRING, ext STRING")
-    per_suffix = _scanned(spark, sf).groupBy("ext").agg(F.count("*").alias("n"))
+    per_suffix = _scanned(spark, sf).groupBy(suffix(file_name(F.col("path"))).alias("ext")).agg(F.count("*").alias("n"))
     missed = per_suffix.join(F.broadcast(wanted), "ext").groupBy("rule_id").agg(F.sum("n").alias("n_files"))
     return rejected.select("rule_id", "reason").join(missed, "rule_id", "left")
 
@@ -411,6 +413,17 @@ def findings_json(spark, sf):
     return docs.json_blocks(profile, found, c)
 
 
+def report_files(spark, sf):
+    """The findings documents as finished files, read back: every volume's size and digest."""
+    profile, found, c = _reported(spark, sf)
+    folder = shared_dir(spark)
+    sinks.write_files(docs.json_blocks(profile, found, c), folder, "findings.json", "", volume_blocks=100)
+    written = sinks.read_files(spark, folder)
+    return written.select(
+        F.col("repository").alias("repo_id"), "volume", F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("sha256")
+    )
+
+
 # --- dependency audits --------------------------------------------------------
 
 _DEPENDENCY = ["repo_id", "id", "name", "severity", "description", "fix", "file", "code", "context", "owasp", "cwe"]
@@ -528,7 +541,7 @@ QUERIES = {
         domains, test_presence, line_hits, distinct_content_hits, negative_context, lookaround_rules, file_name_rules, multiline_hits, page_hits,
         secrets_hits, context_snippets, user_rules, rejected_rules, findings, findings_dedup, missing_tests, baseline_antijoin,
         suppressed_counts, min_severity, category_listing, review_queue, top_critical, top_high, top20,
-        finding_cards, report_text, report_listing, job_summary, findings_json, pip_audit, npm_audit, osv_audit,
+        finding_cards, report_text, report_listing, job_summary, findings_json, report_files, pip_audit, npm_audit, osv_audit,
         audit_problems, audit_selection, dependency_union, stream_scan, stream_dedup, stream_hourly, stream_sliding, stream_gate, stream_current, stream_categories, stream_owasp,
         severity_heads,
     )
