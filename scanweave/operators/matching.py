@@ -63,7 +63,9 @@ def scan_lines(
     """
     keep = keep or ["repo_id", "path"]
     found = file_hits(files, rules, keep, automaton, max_line_chars, multiline, active)
-    hits = found.select(*keep, F.explode("hits").alias("hit"))
+    # Not ``explode``: it brings a filter on the size of ``hits``, which moves below the expressions that
+    # make them.  All of them would run twice, and a file would be split anew for every line that is tried.
+    hits = found.select(*keep, F.explode_outer("hits").alias("hit")).where("hit IS NOT NULL")
     return hits.select(*keep, "hit.rule_no", "hit.line", "hit.code", "hit.context")
 
 

@@ -132,3 +132,12 @@ def test_user_rules_are_checked_and_merged(spark, make_files):
 def test_scan_is_one_narrow_stage(make_files):
     plan = scan_lines(make_files([("r", "a.py", "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_files_are_matched_once(make_files):
+    """No filter repeats the expressions that make the hits, in which lines would be split anew per element."""
+    found = scan_lines(make_files([("r", "a.py", "eval(x)\n\nprint(x)")])).where("line > 0")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bArrowEvalPython\b", plan)) == 1
+    assert plan.count("split(content") == 1
+    assert sorted({r.line for r in found.collect()}) == [1, 3]
