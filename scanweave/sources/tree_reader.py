@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # Bytes of content in one batch, unless a file has more.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 SCHEMA = "repo_id string, path string, content binary, size bigint, modified timestamp, taken timestamp, gone boolean, version bigint"
 
 

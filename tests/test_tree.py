@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanweave.sources import tree_reader
-from scanweave.sources.files import follow_directory, list_tree, read_directory, take_snapshot, unread, write_tree
+from scanweave.sources.files import follow_directory, list_tree, read_directory, take_snapshot, unread, write_listing, write_tree
 from scanweave.streaming.continuous import run_once
 from scanweave.streaming.current import CurrentFindings, version_findings
 
@@ -111,3 +111,16 @@ def test_stream_of_snapshots(spark, tmp_path):
     rows = run_once(follow_directory(spark, root, log)).collect()
     assert {r.content for r in rows if r.path == "a.py"} == {None, "print(1)"}
     assert len(rows) == 6 and sum(r.content is None for r in rows) == 1
+
+
+def test_batches_of_content_are_small(spark, tmp_path):
+    """A worker holds few megabytes of content at a time, however much its part of the listing names."""
+    root, log = tmp_path / "tree", str(tmp_path / "log")
+    for no in range(16):
+        (root / "r" / str(no)).mkdir(parents=True)
+        (root / "r" / str(no) / "a.py").write_bytes(b"x" * (3 << 20))
+    write_listing(spark, list_tree(spark, str(root)).withColumn("gone", F.lit(False)), log, 0)
+    reader = tree_reader.TreeReader({"root": str(root), "log": log})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert sum(b.num_rows for b in batches) == 16
+    assert max(b.nbytes for b in batches) < 8 << 20
