@@ -189,7 +189,8 @@ def round_copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     left = folded.select(*_SOURCE, F.col("f.p").alias("_left"), "_units")
     small = known.where(~is_large)
     small = join_facts(small.drop("_units"), store(left), _SOURCE, "_units") if not folded.isEmpty() else small.withColumn("_left", F.col("p"))
-    small = small.withColumn("x", F.coalesce("_left", "p"))
+    # Read by three queries: stored, so that none of them repeats the joins and their broadcasts.
+    small = store(small.withColumn("x", F.coalesce("_left", "p")))
     empty = F.col("weight") == 0
     certain = (F.col("x") <= EPSILON) | (F.col("x") >= 1 - EPSILON)
     chance = F.expr(_uniform("item")) < F.col("x")

@@ -71,3 +71,10 @@ def test_odd_rows(odd_docs, odd_rows):
 
 def test_empty_table(no_docs):
     assert mixing.mix_words(no_docs).collect() == [] and mixing.mix(no_docs).collect() == []
+
+
+def test_joins_of_the_units_are_not_repeated(spark):
+    """The units that are left are stored; the plan of the result holds only joins of what follows."""
+    docs = spark.createDataFrame([(i, "ab c" * (i % 7 + 1), f"s{i % 3}") for i in range(900)], "doc_id LONG, text STRING, source STRING")
+    plan = mixing.mix_words(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0
