@@ -71,9 +71,12 @@ def scan_lines(
 
 def file_hits(
     files: DataFrame, rules: tuple[Rule, ...] | None = None, keep: list[str] | None = None, automaton: bool = True,
-    max_line_chars: int | None = None, multiline: bool = False, active: str | None = None,
+    max_line_chars: int | None = None, multiline: bool = False, active: str | None = None, context: bool = True,
 ) -> DataFrame:
-    """One row per file, also without hits: the ``keep`` columns and ``hits``, an array of what :func:`scan_lines` lists."""
+    """One row per file, also without hits: the ``keep`` columns and ``hits``, an array of what :func:`scan_lines` lists.
+
+    Without ``context`` the lines around a hit are neither made nor listed.
+    """
     rules = builtin_rules() if rules is None else rules
     keep = keep or ["repo_id", "path"]
     patterns = tuple("" if r.file_check else r.pattern for r in rules)
@@ -96,7 +99,7 @@ def file_hits(
     matched = prepared.withColumn("candidates", candidates).withColumn("matched", F.expr(_line_numbers(rules, active)))
     if multiline:
         matched = matched.withColumn("matched", F.concat("matched", F.expr(_first_lines(rules, max_line_chars, active))))
-    return matched.select(*keep, F.expr(_hit_structs(rules, active)).alias("hits"))
+    return matched.select(*keep, F.expr(_hit_structs(rules, active, context)).alias("hits"))
 
 
 def unscanned(files: DataFrame, max_line_chars: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
@@ -184,15 +187,17 @@ def _not_cancelled(numbers: str, rule: Rule) -> str:
     return numbers
 
 
-def _hit_structs(rules: tuple[Rule, ...], active: str | None = None) -> str:
+def _hit_structs(rules: tuple[Rule, ...], active: str | None = None, context: bool = True) -> str:
     code = f"substring({_strip_sql('element_at(lines, n)')}, 1, {CODE_CHARS})"
-    hit = f"struct(m.rule_no AS rule_no, n AS line, {code} AS code, {snippet_sql('lines', 'n')} AS context)"
+    around = f", {snippet_sql('lines', 'n')} AS context" if context else ""
+    hit = f"struct(m.rule_no AS rule_no, n AS line, {code} AS code{around})"
     line_hits = f"flatten(transform(matched, m -> transform(m.ns, n -> {hit})))"
     # The start of the file as text: every line break written as a line feed.
     head = f"substring(regexp_replace(substring(content, 1, {2 * CODE_CHARS}), '\\\\r\\\\n?', '\\n'), 1, {CODE_CHARS})"
+    start = f", {head} AS context" if context else ""
     by_name = [
         f"CASE WHEN ({_applies(rule, active)}) AND name RLIKE {sql_string(java_name_pattern(rule.pattern))} THEN "
-        f"struct({no} AS rule_no, 0 AS line, '.env file detected' AS code, {head} AS context) END"
+        f"struct({no} AS rule_no, 0 AS line, '.env file detected' AS code{start}) END"
         for no, rule in enumerate(rules)
         if rule.file_check
     ]

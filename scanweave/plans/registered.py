@@ -14,6 +14,7 @@ from ..operators import profile as pr
 from ..operators import suppression as sp
 from ..operators.distinct_content import scan_distinct
 from ..operators.matching import PARITY_LINE_CHARS, scan_lines, unscanned, with_lines
+from ..operators.pruning import with_active
 from ..rules.catalog import builtin_rules, merge_rules, rules_frame
 from ..schemas import FINDING
 from ..session import materialize, shared_dir
@@ -491,7 +492,10 @@ def _current(spark, sf, batches=3):
     files = co.files(spark, sf)
     c, ignores, baseline = _settings(files)
     about = materialize(pr.profile(files, c))
-    found = cu.version_findings(cs.corpus_history(spark, sf, batches), facts=about, ignores=ignores, baseline=baseline)
+    # Stored, so that no micro-batch reads the files for them again, and their size is known to its joins.
+    ignores, baseline = materialize(ignores), materialize(baseline)
+    versions = with_active(cs.corpus_history(spark, sf, batches), about, ignores)
+    found = cu.version_findings(versions, facts=about, ignores=ignores, baseline=baseline, active="active")
     now = cu.CurrentFindings(spark)
     now.follow(found).awaitTermination()
     return now, about, c

@@ -104,7 +104,8 @@ def corpus_history(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFr
         F.struct(second, F.lit("src/gone.py").alias("path"), F.lit(None).cast("string").alias("content")),
     )))
     now = files.select("repo_id", second, "path", "content")
-    where, parts = shared_dir(spark), 15
+    # A file is one task or more: every micro-batch has enough of them for all cores.
+    where, parts = shared_dir(spark), batches * max(5, 2 * spark.sparkContext.defaultParallelism)
     now.unionByName(earlier).unionByName(gone).repartition(parts, "path", "commit_ts").write.parquet(where)
     schema = "repo_id string, commit_ts timestamp, path string, content string"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", -(-parts // batches)).parquet(where)

@@ -38,13 +38,15 @@ CHANGE = "repo_id string, path string, commit_ts timestamp, opened boolean, rule
 
 def version_findings(
     versions: DataFrame, rules: tuple[Rule, ...] | None = None, facts: DataFrame | None = None,
-    ignores: DataFrame | None = None, baseline: DataFrame | None = None, multiline: bool = False,
+    ignores: DataFrame | None = None, baseline: DataFrame | None = None, multiline: bool = False, active: str | None = None,
 ) -> DataFrame:
     """One row per file version, :data:`VERSION`: the findings that count in it.
 
     ``versions`` is ``(repo_id, commit_ts, path, content)``; null content says that the file is
     gone.  ``facts`` (profiles), ``ignores`` and ``baseline`` are static tables as in a batch
-    scan.  A change of theirs shows in a file from its next version on.
+    scan.  A change of theirs shows in a file from its next version on.  ``active`` names a column
+    of ``versions`` with a bit per domain, as for :func:`~scanweave.operators.matching.scan_lines`:
+    rules of other domains are not tried, also if the settings change while the stream is followed.
     """
     configure(versions.sparkSession)
     rules = builtin_rules() if rules is None else rules
@@ -56,7 +58,8 @@ def version_findings(
     })
     rows = rows.withColumn("wanted", wanted)
     keep = ["repo_id", "path", "commit_ts", "digest", "wanted"]
-    found = file_hits(rows, rules, keep, multiline=multiline)
+    # Findings travel without the lines around them, which are not kept.
+    found = file_hits(rows, rules, keep, multiline=multiline, active=active, context=False)
     counted = F.when(F.col("wanted"), F.col("hits")).otherwise(F.slice("hits", 1, 0))
     ids = F.array(*[F.lit(r.rule_id) for r in rules])
     id_of = lambda h: F.element_at(ids, h["rule_no"] + 1)
