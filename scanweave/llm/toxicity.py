@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import subwords
-from .common import map_batches, packed, ship, text_of
+from .common import map_batches, packed, release_memory, ship, text_of
 
 MAX_ROWS = 4096
 MAX_BYTES = 1 << 14
@@ -64,6 +64,12 @@ def fit(
     max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
 ) -> Model:
     """Train on rows of ``labels`` that are not held out, chosen by a hash of their id."""
+    model = _fit(docs, labels, label_col, id_col, text_col, max_rows, max_bytes)
+    release_memory()  # the sample and what the training made of it
+    return model
+
+
+def _fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int, max_bytes: int) -> Model:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     order = F.xxhash64("_id")
