@@ -78,7 +78,8 @@ def full_scan(
     static = scan(files, rules, configs, ignores, multiline=multiline)
     findings = static.findings
     if audits is not None:
-        findings = findings.unionByName(audit_findings(selected_audits(audits, configs, files)))
+        # Stored: the findings of every tool read them, and none of these repeats the selection.
+        findings = findings.unionByName(audit_findings(materialize(selected_audits(audits, configs, files))))
     if baseline is not None:
         findings = drop_accepted(findings, baseline)
     return Scan(static.profile, at_least(findings, severity))
