@@ -79,8 +79,13 @@ def to_java(pattern: str) -> str:
 
 
 def java_line_pattern(pattern: str) -> str:
-    """Search pattern for one line (or a few joined lines): ignore case, multi-line."""
-    return "(?imu)" + to_java(pattern)
+    """Search pattern for one line (or a few joined lines): ignore case, multi-line.
+
+    A pattern that looks around before it takes a digit would look around at every character;
+    the digit is asked for first.
+    """
+    digit = f"(?=[{DIGIT}])" if _looks_before_digit(pattern) else ""
+    return "(?imu)" + digit + to_java(pattern)
 
 
 def java_name_pattern(pattern: str) -> str:
@@ -110,6 +115,24 @@ def _holds_line_feed(items) -> bool:
     return False
 
 
+def _looks_before_digit(pattern: str) -> bool:
+    """Does every match start with a digit, and the pattern with an assertion?"""
+    items = _p.parse(pattern, re.IGNORECASE | re.MULTILINE)
+    return bool(items) and items[0][0] in (_c.ASSERT, _c.ASSERT_NOT, _c.AT) and _starts_with_digit(items)
+
+
+def _starts_with_digit(items) -> bool:
+    for op, arg in items:
+        if op in (_c.ASSERT, _c.ASSERT_NOT, _c.AT):
+            continue  # takes no character
+        if op is _c.SUBPATTERN:
+            return _starts_with_digit(arg[3])
+        if op in (_c.MAX_REPEAT, _c.MIN_REPEAT):
+            return arg[0] >= 1 and _starts_with_digit(arg[2])
+        return op is _c.IN and arg == [(_c.CATEGORY, _c.CATEGORY_DIGIT)]
+    return False
+
+
 def required_words(pattern: str) -> list[list[str]]:
     """Literal text that every match contains, as lower-case ASCII alternatives.
 

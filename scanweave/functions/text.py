@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .regex import SPACE
 
 # Fixed value: the line boundaries of Python's str.splitlines.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029](?:(?<=\r)\n)?"
+# The boundaries left when line feeds, alone or after a carriage return, are taken away.
+_RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 _REPLACEMENT, _KEEP = "\ufffd", "\U0010ffff"
 
@@ -21,6 +25,17 @@ def decode_utf8(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(cleaned, F.lit(_KEEP), F.lit(_REPLACEMENT)))
 
 
+def split_lines(text: Column) -> Column:
+    """``split`` at every :data:`LINE_BREAK`.
+
+    The regex takes far longer than anything else that reads the whole text, so it is only used
+    where there are other breaks than line feeds and carriage returns before them.
+    """
+    plain = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    rare = reduce(lambda a, b: a | b, [F.contains(plain, F.lit(c)) for c in _RARE_BREAKS])
+    return F.when(rare, F.split(text, LINE_BREAK, -1)).otherwise(F.split(plain, "\n", -1))
+
+
 def drop_last_empty(parts: Column) -> Column:
     """A final line break ends the last line; it does not start another one."""
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)

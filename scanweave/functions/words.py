@@ -37,8 +37,9 @@ def candidate_lines_sql(text: str, short_lines: str, patterns: tuple[str, ...])
 
 
 def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int | None = None, library: bool = True, bits: tuple[int, ...] | None = None):
-    """``array<array<int>>`` of the folded text: per pattern the numbers of the lines, of
-    at most ``max_chars`` if given, that hold its required words.
+    """``array<array<int>>`` of the text: per pattern the numbers of the lines, of
+    at most ``max_chars`` if given, that hold its required words, as
+    :func:`~scanweave.functions.text.fold_sql` writes them.
 
     With ``bits``, one per pattern, the function takes a second column, a mask: only the words
     of patterns whose bit is set are searched, and with no bit set the text is not looked at.
@@ -48,6 +49,14 @@ def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int | None = None,
     clauses = [[frozenset(c) for c in clauses_of(p)] for p in patterns]
     n_patterns, line_break = len(patterns), LINE_BREAK
 
+    def folded(text):
+        """ASCII letters in lower case, and the characters that match one; words have no others."""
+        if text.isascii():
+            return text.lower()
+        for odd, letter in zip("\u017f\u212a\u0131\u0130", "skii"):
+            text = text.replace(odd, letter)
+        return text.encode().lower().decode()
+
     def finder(mask):
         """The search for the patterns of one mask."""
         import re
@@ -83,6 +92,7 @@ def candidate_lines_udf(patterns: tuple[str, ...], max_chars: int | None = None,
         def find(text):
             on_line = {}
             if text and words:
+                text = folded(text)
                 ends = None
                 for at, word in occurrences(text):
                     if ends is None:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import file_name, suffix
 from ..functions.regex import SPACE, java_line_pattern, java_name_pattern, names_line_break
-from ..functions.text import LINE_BREAK, drop_last_empty, fold_sql, snippet_sql, sql_string, window_sql
+from ..functions.text import drop_last_empty, fold_sql, snippet_sql, split_lines, sql_string, window_sql
 from ..functions.words import candidate_lines_sql, candidate_lines_udf, clauses_of
 from ..rules.catalog import DOMAINS, Rule, builtin_rules
 
@@ -39,7 +39,7 @@ MARK, MASK = "\ufdd0", "\ufdd1"
 
 def with_lines(files: DataFrame) -> DataFrame:
     """Add ``name``, ``ext`` and ``lines`` to ``files``."""
-    split = files.withColumn("lines", F.split("content", LINE_BREAK, -1))
+    split = files.withColumn("lines", split_lines(F.col("content")))
     return (
         split.withColumn("lines", drop_last_empty(F.col("lines")))
         .withColumn("name", file_name(F.col("path")))
@@ -84,16 +84,15 @@ def file_hits(
     if max_line_chars is not None:
         numbered = f"filter(transform(lines, (t, i) -> IF(char_length(t) <= {max_line_chars}, i + 1, 0)), n -> n > 0)"
 
-    folded = fold_sql("content")
     if active is not None and automaton:  # without an active domain nothing of the content is used
-        folded = f"CASE WHEN {active} <> 0 THEN {folded} END"
         files = files.withColumn("content", F.expr(f"CASE WHEN {active} <> 0 THEN content END"))
-    prepared = with_lines(files).withColumns({"low": F.expr(folded), "short": F.expr(numbered)})
+    prepared = with_lines(files).withColumns({"low": F.expr(fold_sql("content")), "short": F.expr(numbered)})
+    text = F.make_valid_utf8("content")  # Python reads no other; it folds the text itself
     if automaton and active is not None:
         bits = tuple(domain_bit(r.domain) for r in rules)
-        candidates = candidate_lines_udf(patterns, max_line_chars, bits=bits)(F.col("low"), F.col(active))
+        candidates = candidate_lines_udf(patterns, max_line_chars, bits=bits)(text, F.col(active))
     elif automaton:
-        candidates = candidate_lines_udf(patterns, max_line_chars)(F.col("low"))
+        candidates = candidate_lines_udf(patterns, max_line_chars)(text)
     else:
         candidates = F.expr(candidate_lines_sql("low", "short", patterns))
     matched = prepared.withColumn("candidates", candidates).withColumn("matched", F.expr(_line_numbers(rules, active)))
@@ -143,7 +142,7 @@ def _bound_to(rule: Rule) -> str:
 def _line_numbers(rules: tuple[Rule, ...], active: str | None = None) -> str:
     """``array<struct<rule_no, ns>>``: per rule with hits, the numbers of its lines."""
     per_rule = [
-        f"struct({no} AS rule_no, CASE WHEN {_applies(rule, active)} THEN {_matching_lines(no, rule)} END AS ns)"
+        f"struct({no} AS rule_no, CASE WHEN {_worth_trying(no, rule, active)} THEN {_matching_lines(no, rule)} END AS ns)"
         for no, rule in enumerate(rules)
         if not rule.file_check
     ]
@@ -152,6 +151,12 @@ def _line_numbers(rules: tuple[Rule, ...], active: str | None = None) -> str:
     return f"filter(array({', '.join(per_rule)}), r -> size(r.ns) > 0)"
 
 
+def _worth_trying(no: int, rule: Rule, active: str | None) -> str:
+    """:func:`_applies` for files that hold the words: most files lack them, and that is the cheaper test."""
+    applies = _applies(rule, active)
+    return f"get(candidates, {no}) IS NOT NULL AND ({applies})" if clauses_of(rule.pattern) else applies
+
+
 def _matching_lines(no: int, rule: Rule) -> str:
     tried = f"get(candidates, {no})" if clauses_of(rule.pattern) else "short"
     numbers = f"filter({tried}, n -> element_at(lines, n) RLIKE {sql_string(java_line_pattern(rule.pattern))})"

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_BREAK
+from ..functions.text import split_lines
 from ..rules.examples import EXAMPLES, MULTILINE_EXAMPLES
-from ..session import configure, materialize, spread
+from ..session import configure, deal_splits, materialize, spread
 
 DIRECTORIES = [
     "src", "src/pages", "lib", "app", "vendor", "tests", "build/out", "generated", "docs", ".github/workflows",
@@ -68,7 +68,7 @@ def multiline_plants() -> list[tuple[int, str, str, str]]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return deal_splits(configure(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: list[str], by: Column) -> Column:
@@ -118,7 +118,7 @@ def as_files(pages: DataFrame) -> DataFrame:
 
 def root_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest and settings files, chosen by the first document of the repository."""
-    first_line = F.size(F.split("text", LINE_BREAK, -1)) + 1
+    first_line = F.size(split_lines(F.col("text"))) + 1
     docs = _documents(spark, sf_dir).select("repo_id", "doc_id", "rule_id", "path", first_line.alias("line"))
     first = docs.groupBy("repo_id").agg(F.min(F.struct("doc_id", "rule_id", "path", "line")).alias("f")).select("repo_id", "f.*")
     d = F.col("doc_id")

@@ -13,7 +13,7 @@ from ..operators.profile import profile as build_profile
 from ..operators.pruning import with_active
 from ..operators.suppression import active_findings, at_least, drop_accepted, first_of_each
 from ..rules.catalog import CORE_DOMAINS, Rule, builtin_rules, rules_frame
-from ..session import configure, materialize
+from ..session import configure, deal_splits, materialize
 from ..sources.audits import audit_findings, selected_audits
 
 
@@ -43,7 +43,7 @@ def scan(
     ``multiline`` also matches the rules written for several lines, which are silent
     otherwise; with ``parity`` they stay silent.
     """
-    configure(files.sparkSession)
+    deal_splits(configure(files.sparkSession))
     rules = builtin_rules() if rules is None else rules
     # One row per repository, used by the findings and by every report.
     about = materialize(build_profile(files, configs))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SPLIT_BYTES = 128 << 20
+MIN_SPLITS = "spark.sql.files.minPartitionNum"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -24,6 +25,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def deal_splits(spark: SparkSession) -> SparkSession:
+    """Read tables in at least four splits a core, unless the session sets a number.
+
+    Matching takes seconds per megabyte and core: with one or two splits of 128 MB a core, most
+    cores would wait for the last ones.  Larger tables have more splits anyhow.
+    """
+    if spark.conf.get(MIN_SPLITS, None) is None:
+        spark.conf.set(MIN_SPLITS, str(4 * spark.sparkContext.defaultParallelism))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the storage the cluster names in ``spark.checkpoint.dir``.
 

@@ -17,7 +17,7 @@ from ..operators.suppression import drop_accepted as _drop_accepted
 from ..plans import corpus
 from ..plans.report import gate, severity_counts
 from ..rules.catalog import Rule, builtin_rules, rules_frame
-from ..session import configure, shared_dir
+from ..session import configure, deal_splits, shared_dir
 
 
 def scan_stream(
@@ -30,7 +30,7 @@ def scan_stream(
     them: only rules of active domains apply then.  Without it all given rules apply.
     ``ignores`` is a static table of globs; findings in files they cover are left out.
     """
-    spark = configure(versions.sparkSession)
+    spark = deal_splits(configure(versions.sparkSession))
     rules = builtin_rules() if rules is None else rules
     path = F.col("path")
     wanted = versions.where(in_project(path) & scannable(path, F.octet_length("content").cast("bigint")))
