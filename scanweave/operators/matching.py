@@ -123,8 +123,11 @@ def domain_bit(domain: str) -> int:
 
 
 def _applies(rule: Rule, active: str | None = None) -> str:
-    bound = _bound_to(rule)
-    return bound if active is None else f"({active} & {domain_bit(rule.domain)}L) <> 0 AND ({bound})"
+    return _if_active(rule, active, _bound_to(rule))
+
+
+def _if_active(rule: Rule, active: str | None, test: str) -> str:
+    return test if active is None else f"({active} & {domain_bit(rule.domain)}L) <> 0 AND ({test})"
 
 
 def _bound_to(rule: Rule) -> str:
@@ -153,8 +156,9 @@ def _line_numbers(rules: tuple[Rule, ...], active: str | None = None) -> str:
 
 def _worth_trying(no: int, rule: Rule, active: str | None) -> str:
     """:func:`_applies` for files that hold the words: most files lack them, and that is the cheaper test."""
-    applies = _applies(rule, active)
-    return f"get(candidates, {no}) IS NOT NULL AND ({applies})" if clauses_of(rule.pattern) else applies
+    if not clauses_of(rule.pattern):
+        return _applies(rule, active)
+    return _if_active(rule, active, f"get(candidates, {no}) IS NOT NULL AND ({_bound_to(rule)})")
 
 
 def _matching_lines(no: int, rule: Rule) -> str:

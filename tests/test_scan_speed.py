@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from scanweave.functions.regex import java_line_pattern, to_java
 from scanweave.functions.text import fold_sql, split_lines
-from scanweave.functions.words import candidate_lines_udf
-from scanweave.operators.matching import scan_lines
+from scanweave.functions.words import candidate_lines_udf, clauses_of
+from scanweave.operators.matching import _line_numbers, scan_lines
 from scanweave.rules.catalog import builtin_rules
+from scanweave.session import MIN_SPLITS, deal_splits
 
 RULES = {r.rule_id: r for r in builtin_rules()}
 
@@ -53,3 +54,22 @@ def test_text_that_is_no_utf8_is_matched(spark):
 def test_the_file_is_not_folded_in_sql(spark, make_files):
     plan = scan_lines(make_files([("r", "a.py", "eval(x)")]))._jdf.queryExecution().executedPlan().toString()
     assert "lower(content" not in plan and "translate(content" not in plan
+
+
+def test_words_are_tested_before_suffixes():
+    sql = _line_numbers(builtin_rules())
+    no, rule = next((i, r) for i, r in enumerate(builtin_rules()) if not r.file_check and r.suffixes and clauses_of(r.pattern))
+    assert f"struct({no} AS rule_no, CASE WHEN get(candidates, {no}) IS NOT NULL AND (ext IN (" in sql
+
+
+def test_tables_are_read_in_several_splits_a_core_unless_the_session_says_otherwise(spark):
+    before = spark.conf.get(MIN_SPLITS, None)
+    try:
+        spark.conf.unset(MIN_SPLITS)
+        deal_splits(spark)
+        assert spark.conf.get(MIN_SPLITS) == str(4 * spark.sparkContext.defaultParallelism)
+        spark.conf.set(MIN_SPLITS, "3")
+        deal_splits(spark)
+        assert spark.conf.get(MIN_SPLITS) == "3"
+    finally:
+        spark.conf.unset(MIN_SPLITS) if before is None else spark.conf.set(MIN_SPLITS, before)
