@@ -19,6 +19,8 @@ except ImportError:  # pragma: no cover
 SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
+# Not before one of the printable ASCII characters, none of which is a space.
+NO_SPACE = "(?-i:(?![!-~]))"
 
 _CLASS = {"s": SPACE, "w": WORD, "d": DIGIT}
 _EDGE = (
@@ -82,10 +84,11 @@ def java_line_pattern(pattern: str) -> str:
     """Search pattern for one line (or a few joined lines): ignore case, multi-line.
 
     A pattern that looks around before it takes a digit would look around at every character;
-    the digit is asked for first.
+    the digit is asked for first.  One that starts with a space would compare every character with
+    ten ranges, each in both cases; the printable ASCII ones, nearly all, are ruled out by one range.
     """
-    digit = f"(?=[{DIGIT}])" if _looks_before_digit(pattern) else ""
-    return "(?imu)" + digit + to_java(pattern)
+    first = f"(?=[{DIGIT}])" if _looks_before_digit(pattern) else NO_SPACE if _starts_with_space(pattern) else ""
+    return "(?imu)" + first + to_java(pattern)
 
 
 def java_name_pattern(pattern: str) -> str:
@@ -118,18 +121,24 @@ def _holds_line_feed(items) -> bool:
 def _looks_before_digit(pattern: str) -> bool:
     """Does every match start with a digit, and the pattern with an assertion?"""
     items = _p.parse(pattern, re.IGNORECASE | re.MULTILINE)
-    return bool(items) and items[0][0] in (_c.ASSERT, _c.ASSERT_NOT, _c.AT) and _starts_with_digit(items)
+    return bool(items) and items[0][0] in (_c.ASSERT, _c.ASSERT_NOT, _c.AT) and _starts_with(items, _c.CATEGORY_DIGIT)
 
 
-def _starts_with_digit(items) -> bool:
+def _starts_with_space(pattern: str) -> bool:
+    """Does every match start with a space, which the pattern takes before anything else?"""
+    items = _p.parse(pattern, re.IGNORECASE | re.MULTILINE)
+    return bool(items) and items[0][0] not in (_c.ASSERT, _c.ASSERT_NOT, _c.AT) and _starts_with(items, _c.CATEGORY_SPACE)
+
+
+def _starts_with(items, category) -> bool:
     for op, arg in items:
         if op in (_c.ASSERT, _c.ASSERT_NOT, _c.AT):
             continue  # takes no character
         if op is _c.SUBPATTERN:
-            return _starts_with_digit(arg[3])
+            return _starts_with(arg[3], category)
         if op in (_c.MAX_REPEAT, _c.MIN_REPEAT):
-            return arg[0] >= 1 and _starts_with_digit(arg[2])
-        return op is _c.IN and arg == [(_c.CATEGORY, _c.CATEGORY_DIGIT)]
+            return arg[0] >= 1 and _starts_with(arg[2], category)
+        return op is _c.IN and arg == [(_c.CATEGORY, category)]
     return False
 
 

@@ -35,6 +35,8 @@ PARITY_LINE_CHARS = 2000
 CODE_CHARS = 200
 # Characters that no text may hold: before a match over several lines, and in place of a masked line.
 MARK, MASK = "\ufdd0", "\ufdd1"
+# Rules whose words are looked up together, before each by itself.
+GROUP = 12
 
 
 def with_lines(files: DataFrame) -> DataFrame:
@@ -144,14 +146,22 @@ def _bound_to(rule: Rule) -> str:
 @lru_cache(maxsize=8)
 def _line_numbers(rules: tuple[Rule, ...], active: str | None = None) -> str:
     """``array<struct<rule_no, ns>>``: per rule with hits, the numbers of its lines."""
-    per_rule = [
-        f"struct({no} AS rule_no, CASE WHEN {_worth_trying(no, rule, active)} THEN {_matching_lines(no, rule)} END AS ns)"
-        for no, rule in enumerate(rules)
-        if not rule.file_check
-    ]
-    if not per_rule:
-        return "CAST(array() AS ARRAY<STRUCT<rule_no: INT, ns: ARRAY<INT>>>)"
-    return f"filter(array({', '.join(per_rule)}), r -> size(r.ns) > 0)"
+    groups: dict[tuple, list[tuple[int, str]]] = {}
+    for no, rule in enumerate(rules):
+        if rule.file_check:
+            continue
+        searched = bool(clauses_of(rule.pattern))
+        row = f"struct({no} AS rule_no, CASE WHEN {_worth_trying(no, rule, active)} THEN {_matching_lines(no, rule)} END AS ns)"
+        groups.setdefault((no // GROUP, searched), []).append((no, row))
+    none = "CAST(array() AS ARRAY<STRUCT<rule_no: INT, ns: ARRAY<INT>>>)"
+    parts = []
+    for (_, searched), rows in groups.items():
+        found = f"filter(array({', '.join(row for _, row in rows)}), r -> size(r.ns) > 0)"
+        if searched:  # a file has words of few rules: the others are passed over a group at a time
+            first, last = rows[0][0], rows[-1][0]
+            found = f"CASE WHEN exists(slice(candidates, {first + 1}, {last - first + 1}), c -> c IS NOT NULL) THEN {found} ELSE {none} END"
+        parts.append(found)
+    return f"concat({', '.join(parts)})" if parts else none
 
 
 def _worth_trying(no: int, rule: Rule, active: str | None) -> str:

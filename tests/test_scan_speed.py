@@ -1,13 +1,14 @@
 """What keeps the match of a file cheap, with the same result."""
 
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from scanweave.functions.regex import java_line_pattern, to_java
+from scanweave.functions.regex import NO_SPACE, java_line_pattern, to_java
 from scanweave.functions.text import fold_sql, split_lines
 from scanweave.functions.words import candidate_lines_udf, clauses_of
-from scanweave.operators.matching import _line_numbers, scan_lines
+from scanweave.operators.matching import GROUP, _line_numbers, scan_lines
 from scanweave.rules.catalog import builtin_rules
 from scanweave.session import MIN_SPLITS, deal_splits
 
@@ -73,3 +74,30 @@ def test_tables_are_read_in_several_splits_a_core_unless_the_session_says_otherw
         assert spark.conf.get(MIN_SPLITS) == "3"
     finally:
         spark.conf.unset(MIN_SPLITS) if before is None else spark.conf.set(MIN_SPLITS, before)
+
+
+def test_spaces_are_asked_for_by_one_range_first(spark):
+    pattern = RULES["CQ-020"].pattern
+    assert java_line_pattern(pattern) == "(?imu)" + NO_SPACE + to_java(pattern)
+    for other in (r"\s*a", r"(\s|a)b", r"\bfor\s", r"^\s+a", r"[\sa]b", r"\S\s"):
+        assert java_line_pattern(other) == "(?imu)" + to_java(other)
+    random.seed(11)
+    spaces = "\t\x1f \xa0   　"
+    texts = ["".join(random.choices(spaces + "aſ", [9] * len(spaces) + [1, 1], k=random.randint(0, 45))) + random.choice(["if ", "FOR\t", "tr", "a"]) for _ in range(900)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    new, old = (F.rlike("t", F.lit(p)) for p in (java_line_pattern(pattern), "(?imu)" + to_java(pattern)))
+    got = rows.select("t", new.alias("new"), old.alias("old")).collect()
+    assert all(r.new == r.old for r in got) and 50 < sum(r.old for r in got) < 850
+
+
+def test_a_group_of_rules_without_words_in_the_file_is_passed_over(spark, make_files):
+    """No rule is lost at the edges of a group, nor one that asks for no word."""
+    sql = _line_numbers(builtin_rules())
+    searched = {i // GROUP for i, r in enumerate(builtin_rules()) if not r.file_check and clauses_of(r.pattern)}
+    assert sql.count("exists(slice(candidates, ") == len(searched)
+    bound = [r for r in builtin_rules() if not r.file_check][: 2 * GROUP + 1]
+    rules = tuple(replace(r, rule_id=f"X-{i}", pattern=f"word{i:03}x", negative_pattern=None, langs=(".py",)) for i, r in enumerate(bound))
+    rules += (replace(rules[0], rule_id="X-any", pattern=r"^\s*\d"),)
+    files = make_files([("r", f"{i}.py", f"a\nword{i:03}X") for i in range(len(bound))] + [("r", "no.py", "a\n\n 7"), ("r", "all.py", " ".join(f"word{i:03}x" for i in range(len(bound))))])
+    hits = {(r.path, r.rule_no, r.line) for r in scan_lines(files, rules).collect()}
+    assert hits == {(f"{i}.py", i, 2) for i in range(len(bound))} | {("all.py", i, 1) for i in range(len(bound))} | {("no.py", len(bound), 3)}
