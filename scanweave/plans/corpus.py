@@ -7,6 +7,9 @@ repository also gets a manifest and settings files at its root.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,9 +121,14 @@ def as_files(pages: DataFrame) -> DataFrame:
 
 def root_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest and settings files, chosen by the first document of the repository."""
-    first_line = F.size(split_lines(F.col("text"))) + 1
-    docs = _documents(spark, sf_dir).select("repo_id", "doc_id", "rule_id", "path", first_line.alias("line"))
-    first = docs.groupBy("repo_id").agg(F.min(F.struct("doc_id", "rule_id", "path", "line")).alias("f")).select("repo_id", "f.*")
+    docs = _documents(spark, sf_dir)
+    # Stored, so that its size decides how it is joined: texts stay where they are if there are few repositories.
+    least = materialize(docs.groupBy("repo_id").agg(F.min(F.struct("doc_id", "rule_id", "path")).alias("least")))
+    # Lines are counted in the first documents only, one of each repository, or more that agree in all three.
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"l.{at}")) for c, at in [("repo_id", "repo_id"), *[(c, f"least.{c}") for c in ("doc_id", "rule_id", "path")]]]
+    first_line = F.min(F.struct((F.size(split_lines(F.col("d.text"))) + 1).alias("line")))
+    first = docs.alias("d").join(least.alias("l"), reduce(and_, same)).groupBy("d.repo_id", "l.least").agg(first_line.alias("f"))
+    first = first.select("repo_id", "least.*", "f.line")
     d = F.col("doc_id")
     key = F.concat_ws(":", "rule_id", "path", F.col("line").cast("string"))
     as_text = F.concat(F.lit('{"accepted_findings": ["'), key, F.lit('", "X-1:none.py:1"]}'))
